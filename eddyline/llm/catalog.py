@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eddyline.llm import exact_dedup, mixing, token_counts
+from eddyline.llm import exact_dedup, mixing, near_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
