@@ -123,7 +123,8 @@ def mix(
     away = placed.filter(~on_line).select(*out, taken(F.when(whole, F.col("size")).otherwise(0)))
     order = Window.partitionBy("source").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    there = placed.filter(on_line).withColumn("left", left).select(*out, taken(F.greatest(F.lit(0), F.least("left", "size"))))
+    # written first: then the join may split a large source, which the window above it would forbid
+    there = base.written(placed.filter(on_line), "mix-on-line").withColumn("left", left).select(*out, taken(F.greatest(F.lit(0), F.least("left", "size"))))
     return away.unionByName(there)
 
 
