@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eddyline.llm import exact_dedup, mixing, near_dedup, token_counts
+from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op7_decontaminate": decontam.op7_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
-ORACLES = {"op1_mix": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
