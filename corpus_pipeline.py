@@ -1,14 +1,55 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written to the shared folder and read again by the next.
+
+Every stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a
+DataFrame. All but the last return the columns of documents; the last returns, for every document
+that is left, how many of its words the mix takes (0 where it takes none).
+"""
 
 from __future__ import annotations
 
-from eddyline.llm import base
+from pyspark.sql import DataFrame, SparkSession
+
+from eddyline.llm import base, decontam, exact_dedup, mixing, near_dedup, toxicity
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score as toxic; the classifier is fitted on labels that are not held out."""
+    return toxicity.reject_toxic(docs, base.read(spark, sf_dir, "labels"))
+
+
+def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the smallest id stays."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8), one stays."""
+    return near_dedup.near_dedup(docs, size=5, percent=80)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    return decontam.decontaminate(docs, base.read(spark, sf_dir, "benchmark"))
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources to their target weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("exact_dedup", _exact),
+    ("near_dedup", _near),
+    ("decontamination", _decontaminate),
+    ("mixing", _mix),
+]
 
-STAGES: list = []
+#: The classifier of the first stage can't be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = base.written(stage(spark, docs, sf_dir), f"stage-{name}")

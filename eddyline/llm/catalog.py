@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, token_counts
+from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

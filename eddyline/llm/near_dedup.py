@@ -38,8 +38,6 @@ MISSED = 1e-5
 _A = np.random.default_rng(5).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(6).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BLOCK = 1024
-#: Texts hashed together.
-SLICE = 1 << 22
 
 
 def bands_for(threshold: float) -> int:
@@ -60,13 +58,8 @@ def packed(m: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE bytes of text each."""
-    sizes = np.cumsum(np.diff(text_hash.buffers(batch.column(text))[1]))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-        yield batch.slice(at, to - at)
-        at = to
+    """Parts of a batch with a bounded amount of text each."""
+    return (batch.slice(*part) for part in text_hash.slices(batch.column(text)))
 
 
 def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:

@@ -47,8 +47,13 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _tile(data: np.ndarray, begins: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in data and their first bytes' places; begins: where texts begin."""
+def _tile(
+    data: np.ndarray, begins: np.ndarray, outside: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in data and their first bytes' places; begins: where texts begin.
+
+    With prefixes, hashes have a column more for each: of the word's first so many bytes, 0 if it has no more.
+    """
     inside = ~outside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -56,16 +61,26 @@ def _tile(data: np.ndarray, begins: np.ndarray, outside: np.ndarray) -> tuple[np
     first[begins] = inside[begins]
     start = np.flatnonzero(first)
     if not len(start):
-        return np.zeros(0, np.uint64), start
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), start
     power, inverse = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(np.where(inside, LOWER[data], 0).astype(np.uint64) * power, out=total[1:])
     # bytes outside words add nothing, so a word's sum ends where the next word begins
     ends = np.append(start[1:], len(data))
-    return mixed((total[ends] - total[start]) * inverse[start]), start
-
-
-def words(array: pa.Array, outside: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    whole = mixed((total[ends] - total[start]) * inverse[start])
+    if not prefixes:
+        return whole, start
+    # a word ends before the first byte outside or the next text's first
+    last = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True))
+    columns = [whole]
+    for k in prefixes:
+        long = last + 1 - start > k
+        to = np.where(long, start + k, start)
+        columns.append(np.where(long, mixed((total[to] - total[start]) * inverse[start] + np.uint64(k)), np.uint64(0)))
+    return np.stack(columns, axis=1), start
+
+
+def words(array: pa.Array, outside: np.ndarray = BLANKS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes in order, and for n texts the n + 1 places in them where texts begin and end."""
     data, ends = buffers(array)
     found, starts, at = [], [], 0
@@ -80,15 +95,25 @@ def words(array: pa.Array, outside: np.ndarray = BLANKS) -> tuple[np.ndarray, np
                 while to < nxt and not outside[data[to]]:
                     to += 1
         inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
-        h, s = _tile(data[at:to], inner, outside)
+        h, s = _tile(data[at:to], inner, outside, prefixes)
         found.append(h)
         starts.append(s + at)
         at = to
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(len(ends), np.int64)
     return np.concatenate(found), np.searchsorted(np.concatenate(starts), ends, "left")
 
 
+def slices(array: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of an array, as (start, length), with about limit bytes of text each."""
+    sizes = np.cumsum(np.diff(buffers(array)[1]))
+    at = 0
+    while at < len(array):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield at, to - at
+        at = to
+
+
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """The distinct hashes of size consecutive words; fewer words make one shingle, none make none."""
     if not len(h):
