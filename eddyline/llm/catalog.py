@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, token_counts, toxicity
+from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_pii": pii.op2_pii,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_decontaminate": decontam.op7_decontaminate,
