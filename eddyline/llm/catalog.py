@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eddyline.llm import decontam, exact_dedup, mixing, near_dedup, pii, token_counts, toxicity
+from eddyline.llm import decontam, exact_dedup, html_extract, mixing, near_dedup, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_html_text": html_extract.op10_html_text,
 }
 ORACLES = {"op1_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
