@@ -6,14 +6,16 @@ most once in 100,000. Of every minimum the two low bits are kept, packed into fo
 are equal become one class before anything is paired. In each bucket every class is first
 paired with the bucket's smallest one; pairs whose similarity, estimated from equal low bits and
 corrected for chance collisions, is hopeless (six standard deviations below the threshold) go, and the others
-are confirmed on the full sets. Connected components join what is linked. Whatever buckets then
-still hold different components, their members are paired too, under the same estimate and
-confirmation, so that no link between buckets' members is lost.
+are confirmed on the full sets. Connected components join what is linked. Where a bucket then
+still holds several components, its members are compared across them too, under the same estimate and
+confirmation, so that no link between members of a bucket is lost. This second round works in pairs of
+blocks of bounded size and lets only links out of its tasks.
 
-Scale. Texts are read twice, once for signatures and once for the sets of documents in candidate
-pairs. Copies are summed within tasks before the shuffle. Buckets and centres with very many
+Scale. Texts are read twice, once for signatures and once for the sets of documents that share a
+bucket. Copies are summed within tasks before the shuffle. Buckets and centres with very many
 members are joined through plain shuffled joins against written tables, whose large partitions
-Spark splits; nothing collects a bucket.
+Spark splits; nothing collects a bucket. Work grows with the square of a group only where thousands of
+texts are all nearly, but not quite, similar enough to link.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words
 than a shingle make one shingle; rows that share an id are one document for linking; a null id links with
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eddyline.llm import base, text_hash
 from eddyline.llm.components import components
@@ -38,6 +41,8 @@ MISSED = 1e-5
 _A = np.random.default_rng(5).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(6).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BLOCK = 1024
+#: Shingles of a block of set members that are compared with another in one task.
+BLOCK_SHINGLES = 500_000
 
 
 def bands_for(threshold: float) -> int:
@@ -124,10 +129,8 @@ def hopeless_below(threshold: float) -> float:
     return threshold - 6 * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) of ids whose full sets are similar enough. texts: id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = base.written(full_sets(texts.join(ids, "id", "left_semi"), size).dropDuplicates(["id"]), "near-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"
     )
@@ -135,6 +138,108 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members: key, label, n and more; buckets that hold several labels. Adds g, a pair of blocks, and side.
+
+    A bucket's most frequent label is held apart: its own members need no comparison. The others
+    and it are dealt into blocks of about BLOCK_SHINGLES shingles, at least one each; each pair of a block of others with any block
+    is a g. Pairs are due across sides, and within side 0 of g's that end in d0.
+    """
+    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    tops = by_label.groupBy("key").agg(F.max(F.struct("c", "label", "n")).alias("top"), F.sum("n").alias("all"))
+    count = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+    tops = base.written(
+        tops.select("key", F.col("top.label").alias("top"), count(F.col("top.n")).alias("nd"), count(F.col("all") - F.col("top.n")).alias("no")), "near-tops"
+    )
+    dealt = members.join(tops, "key").withColumn("other", F.col("label") != F.col("top"))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("no")).otherwise(F.col("nd"))).cast("int"))
+    code = lambda i, j, side: F.struct(F.concat_ws(":", F.col("key").cast("string"), i.cast("string"), j).alias("g"), side.cast("int").alias("side"))
+    count_from_0 = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    top_of = lambda j: F.concat(F.lit("d"), j.cast("string"))
+    with_top = F.transform(count_from_0("nd"), lambda j: code(F.col("at"), top_of(j), F.lit(0)))
+    with_others = F.transform(
+        F.filter(count_from_0("no"), lambda k: k != F.col("at")),
+        lambda k: code(F.least(k, F.col("at")), F.greatest(k, F.col("at")).cast("string"), F.col("at") > k),
+    )
+    of_top = F.transform(count_from_0("no"), lambda i: code(i, top_of(F.col("at")), F.lit(1)))
+    to = F.when(F.col("other"), F.concat(with_top, with_others)).otherwise(of_top)
+    return dealt.select("*", F.explode(to).alias("to")).select("*", "to.g", "to.side").drop("to", "top", "nd", "no", "other", "at")
+
+
+def _compared(rows: list[dict], inside: bool, percent: int, cut: float) -> Iterator[tuple]:
+    """Confirmed links among the rows of one pair of blocks."""
+    side = np.array([r["side"] for r in rows])
+    label = [r["label"] for r in rows]
+    names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    label = np.array([names[x] for x in label])
+    n = np.array([r["n"] for r in rows])
+    band = np.array([r["band"] for r in rows])[0]
+    keys = np.array([r["keys"] for r in rows], np.int64)
+    bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    sets: dict[int, frozenset] = {}
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    ones, chance = np.uint64(0x5555555555555555), 0.5**BITS
+    left = np.flatnonzero(side == 0)
+    for a in left:
+        due = side == 1
+        if inside:
+            due |= (side == 0) & (np.arange(len(rows)) > a)
+        to = np.flatnonzero(due & (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])))
+        # each pair once: in the first of its common buckets
+        to = to[~(keys[to, :band] == keys[a, :band]).any(axis=1)]
+        x = bits[to] ^ bits[a]
+        equal = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & ones).sum(axis=1)
+        estimate = (equal / MINIMA - chance) / (1 - chance)
+        to = to[estimate >= cut]
+        for b in to:
+            x, y = find(label[a]), find(label[b])
+            if x == y:
+                continue
+            for k in (a, b):
+                if k not in sets:
+                    sets[k] = frozenset(rows[k]["shingles"])
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (n[a] + n[b] - common):
+                root[x] = y
+                yield rows[a]["rep"], rows[b]["rep"]
+
+
+def _links_in_blocks(dealt: DataFrame, percent: int, cut: float) -> DataFrame:
+    """dealt: what _blocks gives, with keys, bits and shingles. Returns links (a, b) that join differing labels.
+
+    The rows of one g come together and are held in memory, two blocks at most; no pair leaves
+    the task unless it is a link.
+    """
+    kind = dealt.schema["rep"].dataType
+    schema = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done() -> pa.RecordBatch:
+            found = list(_compared(held, held[0]["g"].endswith(":d0"), percent, cut))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for row in whole.slice(at, 256).to_pylist():
+                    if held and held[0]["g"] != row["g"]:
+                        yield done()
+                    held.append(row)
+        if held:
+            yield done()
+
+    columns = ("g", "side", "rep", "label", "n", "band", "keys", "bits", "shingles")
+    return dealt.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -151,31 +256,31 @@ def near_duplicates(
         slim.filter("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in keys + bits]),
         "near-classes",
     )
-    buckets = classes.select("rep", "n", *bits, F.posexplode(F.array(*keys)).alias("band", "value")).withColumn("key", F.xxhash64("band", "value")).drop("band", "value")
+    buckets = classes.select("rep", "n", *bits, F.posexplode(F.array(*keys)).alias("band", "value")).withColumn("key", F.xxhash64("band", "value")).drop("value")
     centres = base.written(buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "near-centres")
 
+    # sets of the classes that share a bucket with another; the text is dealt by id at any size of the table
+    shared = buckets.join(centres, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
+    sets = base.written(full_sets(texts.join(shared.hint("merge"), "id", "left_semi"), size).dropDuplicates(["id"]), "near-sets")
+
     signed = lambda p: classes.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in bits])
-    likely = lambda l, r: (
-        (100 * F.least(f"{l}n", f"{r}n") >= percent * F.greatest(f"{l}n", f"{r}n")) & (similarity(l, r) >= hopeless_below(threshold))
-    )
+    cut = hopeless_below(threshold)
+    likely = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (similarity("a_", "b_") >= cut)
     pairs = buckets.select("key", F.col("rep").alias("b")).join(centres, "key").filter("a != b").select("a", "b").distinct()
-    pairs = base.written(pairs.join(signed("b"), "b").join(signed("a"), "a").filter(likely("a_", "b_")).select("a", "b").distinct(), "near-pairs")
-    links = base.written(_confirmed(pairs, texts, size, percent), "near-links")
+    pairs = base.written(pairs.hint("merge").join(signed("b"), "b").join(signed("a").hint("merge"), "a").filter(likely).select("a", "b"), "near-pairs")
+    links = base.written(_confirmed(pairs, sets, percent), "near-links")
     labels = base.written(components(links), "near-labels")
 
-    # buckets that still hold several components: the rest of their members' pairs
-    labelled = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    # buckets that still hold several components
+    labelled = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
     mixed = base.written(mixed, "near-mixed")
-    rest = base.written(labelled.join(mixed, "key", "left_semi"), "near-rest")
-    side = lambda p: rest.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "label", *bits)])
-    more = side("x_").join(side("y_"), "key").filter((F.col("x_label") != F.col("y_label")) & (F.col("x_rep") < F.col("y_rep")) & likely("x_", "y_"))
-    more = more.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = base.written(more.join(known, ["a", "b"], "left_anti"), "near-more")
+    rest = base.written(labelled.join(mixed, "key", "left_semi").select("key", "band", "rep", "label", "n"), "near-rest")
+    every = classes.select("rep", F.array(*keys).alias("keys"), F.array(*bits).alias("bits"))
+    whole = every.join(sets.withColumnRenamed("id", "rep"), "rep")
+    more = base.written(_links_in_blocks(_blocks(rest).join(whole, "rep"), percent, cut), "near-more")
     if not more.isEmpty():
-        links = links.union(_confirmed(more, texts, size, percent))
-        labels = base.written(components(links), "near-labels")
+        labels = base.written(components(links.union(more)), "near-labels")
 
     placed = classes.select("s1", "s2", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     placed = base.written(placed.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")), "near-placed")
