@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eddyline.llm import decontam, exact_dedup, html_extract, language_id, mixing, near_dedup, pii, token_counts, toxicity
+from eddyline.llm import decontam, exact_dedup, html_extract, language_id, mixing, near_dedup, pii, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_pii": pii.op2_pii,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontaminate": decontam.op7_decontaminate,
