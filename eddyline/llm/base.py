@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space and words as the contracts define them: ASCII blanks only.
 BLANK = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch to a Python worker.
+ARROW_BATCH = str(8 << 20)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,8 +22,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors' Python workers, once for each context."""
+    """Sends this package's sources to the executors' Python workers, once for each context, and
+    bounds the batches that they get by bytes as well as by rows."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     if not getattr(sc, "_eddyline_shipped", False):
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="eddyline-src-")) / "eddyline-src.zip"

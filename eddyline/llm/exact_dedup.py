@@ -29,7 +29,10 @@ OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores that are done with go soon
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no files laid out in advance
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time, so that scratch arrays stay small however long a text is.
-TILE = 1 << 20
+TILE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -104,7 +104,7 @@ def words(array: pa.Array, outside: np.ndarray = BLANKS, prefixes: tuple[int, ..
     return np.concatenate(found), np.searchsorted(np.concatenate(starts), ends, "left")
 
 
-def slices(array: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of an array, as (start, length), with about limit bytes of text each."""
     sizes = np.cumsum(np.diff(buffers(array)[1]))
     at = 0
