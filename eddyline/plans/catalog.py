@@ -1,6 +1,418 @@
-"""Every named query over the event tables, and the SQL each must agree with."""
+"""Every named query over the event tables, and the SQL that each must agree with.
+
+The store of these queries: partition = user_id mod 8, arrival order = event_id, 1000 events kept
+per partition. ``late`` queries let events arrive in reversed blocks of 16, so that some are late.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eddyline import schema
+from eddyline.operators import aggregate, dashboard, ingest, retention, scan, telemetry, window
+from eddyline.sources import events as source
+
+P, CAP = 8, 1000
+START, END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
+NOW = dt.datetime(2024, 1, 15, 12)
+HALF_HOUR, HOUR = 30 * schema.MINUTE, 60 * schema.MINUTE
+T0, T1 = (schema.EPOCH_TICKS + int((t - dt.datetime(1970, 1, 1)).total_seconds()) * schema.SECOND for t in (START, END))
+VALUE = F.col
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+_R = "r AS (SELECT *, (user_id % 8)::INT AS part FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id DESC) <= 1000)"
+_IN = "ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'"
+_D = "sum(value::DECIMAL(18,2))::DOUBLE"
+_FIVE = f"count(*) AS count, coalesce({_D}, 0) AS sum, coalesce(min(value), 0) AS min, coalesce(max(value), 0) AS max, coalesce({_D} / count(*), 0) AS avg"
+_TICKS = "(epoch_us(ts) * 10 + 621355968000000000)"
+#: Events in reversed blocks of 16, with their clock.
+_L = (
+    f"l AS (SELECT *, event_id - event_id % 16 + (15 - event_id % 16) AS seq, (user_id % 8)::INT AS part, {_TICKS} AS ts_ticks FROM events), "
+    "c AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock FROM l)"
+)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.events(spark, sf_dir, P)
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.retain(_log(spark, sf_dir), CAP)
+
+
+def _between(df: DataFrame, start=START, end=END) -> DataFrame:
+    bound = lambda t: F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return scan.selected(df, None, "ts", bound(start), bound(end))
+
+
+def _late_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    e = F.col("event_id")
+    return log.withColumns({"seq": e - e % 16 + (15 - e % 16), "ts_ticks": schema.ticks(log, "ts")})
+
+
+def query(sql: str | None):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_COLUMNS = ("part", "event_id", "ts", "user_id", "event_type", "value")
+_LIST = "part, event_id, ts, user_id, event_type, value"
+
+
+# scans
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r")
+def snapshot_all(spark, sf_dir):
+    return scan.ordered(_kept(spark, sf_dir)).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE value > 100")
+def snapshot_filtered(spark, sf_dir):
+    return scan.ordered(scan.selected(_kept(spark, sf_dir), F.col("value") > 100)).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE {_IN}")
+def snapshot_time(spark, sf_dir):
+    return scan.ordered(_between(_kept(spark, sf_dir))).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE {_IN} AND event_type = 'click' AND value > 50")
+def snapshot_time_filtered(spark, sf_dir):
+    return scan.ordered(_between(_kept(spark, sf_dir)).filter((F.col("event_type") == "click") & (F.col("value") > 50))).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE event_type = 'purchase'")
+def stream_events(spark, sf_dir):
+    """All events of a named stream."""
+    return _kept(spark, sf_dir).filter(F.col("event_type") == "purchase").select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE part = 3 ORDER BY event_id LIMIT 200")
+def partition_prefix(spark, sf_dir):
+    """A copy of one partition's oldest events into a destination of 200."""
+    return scan.newest_of(_kept(spark, sf_dir), 3, 200).select(*_COLUMNS)
+
+
+@query(
+    f"WITH {_R}, v AS (SELECT part, count(*) AS n, arg_min(ts, event_id) AS first_ts, arg_max(ts, event_id) AS last_ts FROM r GROUP BY part) "
+    "SELECT p::INT AS part, coalesce(n, 0) AS n, first_ts, last_ts, coalesce(n, 0) >= 1000 AS is_full FROM range(8) t(p) LEFT JOIN v ON v.part = p"
+)
+def partition_views(spark, sf_dir):
+    return scan.views(_kept(spark, sf_dir), P, CAP, "ts")
+
+
+@query(
+    f"WITH {_R}, v AS (SELECT part, count(*) AS n FROM r WHERE {_IN} GROUP BY part) SELECT p::INT AS part, coalesce(n, 0) AS n FROM range(8) t(p) LEFT JOIN v ON v.part = p"
+)
+def partition_views_time(spark, sf_dir):
+    bound = lambda t: F.lit(t.strftime("%Y-%m-%d")).cast("timestamp_ntz")
+    return scan.views(_kept(spark, sf_dir), P, CAP, "ts", start=bound(START), end=bound(END)).select("part", "n")
+
+
+@query(f"WITH {_R} SELECT event_type, count(*) AS n, {_D} AS sum FROM r WHERE value > 20 GROUP BY event_type")
+def chunked_partials(spark, sf_dir):
+    """Chunks of events reduced on the executors, then combined."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def reduce(batch: pa.RecordBatch):
+        cents = pc.cast(pc.round(pc.multiply(batch.column("value"), 100)), pa.int64())
+        table = pa.table({"event_type": batch.column("event_type"), "cents": cents})
+        by = table.group_by("event_type").aggregate([("cents", "sum"), ("cents", "count")])
+        yield from by.select(["event_type", "cents_sum", "cents_count"]).to_batches()
+
+    kept = _kept(spark, sf_dir).filter("value > 20").select("event_type", "value")
+    parts = scan.chunks(kept, reduce, "event_type string, cents_sum long, cents_count long", 4096)
+    return parts.groupBy("event_type").agg(F.sum("cents_count").alias("n"), (F.sum("cents_sum") / 100).alias("sum"))
+
+
+# aggregates
+
+
+@query(f"WITH {_R} SELECT count(*) AS n FROM r WHERE {_IN}")
+def count_time(spark, sf_dir):
+    return aggregate.count(_between(_kept(spark, sf_dir)))
+
+
+@query(f"WITH {_R} SELECT coalesce({_D}, 0) AS sum FROM r WHERE {_IN}")
+def sum_time(spark, sf_dir):
+    return _between(_kept(spark, sf_dir)).agg(aggregate.exact_sum(F.col("value")).alias("sum"))
+
+
+@query(f"WITH {_R} SELECT coalesce(sum(user_id), 0)::BIGINT AS sum FROM r WHERE {_IN}")
+def sum_whole_numbers(spark, sf_dir):
+    return aggregate.total(_between(_kept(spark, sf_dir)), F.col("user_id"))
+
+
+@query(f"WITH {_R} SELECT min(value) AS min FROM r WHERE {_IN}")
+def min_time(spark, sf_dir):
+    return aggregate.least(_between(_kept(spark, sf_dir)), F.col("value"))
+
+
+@query(f"WITH {_R} SELECT max(value) AS max FROM r WHERE {_IN}")
+def max_time(spark, sf_dir):
+    return aggregate.most(_between(_kept(spark, sf_dir)), F.col("value"))
+
+
+@query(f"WITH {_R} SELECT coalesce({_D} / count(*), 0) AS avg FROM r WHERE {_IN}")
+def avg_time(spark, sf_dir):
+    return aggregate.average(_between(_kept(spark, sf_dir)), F.col("value").cast(aggregate.MONEY))
+
+
+@query(f"WITH {_R} SELECT coalesce(sum(user_id)::DOUBLE / count(*), 0) AS avg FROM r WHERE {_IN}")
+def avg_whole_numbers(spark, sf_dir):
+    return aggregate.average(_between(_kept(spark, sf_dir)), F.col("user_id"))
+
+
+@query(f"WITH {_R} SELECT min(ts) AS min, max(ts) AS max FROM r")
+def min_max_of_times(spark, sf_dir):
+    return _kept(spark, sf_dir).agg(F.min("ts").alias("min"), F.max("ts").alias("max"))
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE {_IN}")
+def window_aggregate(spark, sf_dir):
+    return aggregate.window_aggregate(_between(_kept(spark, sf_dir)), F.col("value"), exact=True)
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE {_IN} AND event_type = 'view'")
+def window_aggregate_filtered(spark, sf_dir):
+    return aggregate.window_aggregate(_between(_kept(spark, sf_dir)).filter("event_type = 'view'"), F.col("value"), exact=True)
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE ts < TIMESTAMP '2000-01-01'")
+def window_aggregate_empty(spark, sf_dir):
+    return aggregate.window_aggregate(_between(_kept(spark, sf_dir), dt.datetime(1990, 1, 1), dt.datetime(1999, 1, 1)), F.col("value"), exact=True)
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-10'")
+def window_aggregate_inverted(spark, sf_dir):
+    return aggregate.window_aggregate(_between(_kept(spark, sf_dir), END, START), F.col("value"), exact=True)
+
+
+@query(f"WITH {_R}, p AS (SELECT part, {_FIVE} FROM r WHERE {_IN} GROUP BY part) SELECT sum(count)::BIGINT AS count, sum(sum::DECIMAL(18,2))::DOUBLE AS sum, min(min) AS min, max(max) AS max FROM p")
+def merged_partials(spark, sf_dir):
+    """Aggregates of the partitions, merged into one."""
+    partials = _between(_kept(spark, sf_dir)).groupBy("part").agg(*aggregate.five(F.col("value"), exact=True))
+    return aggregate.merged(partials.withColumn("sum", F.col("sum").cast(aggregate.MONEY))).select("count", F.col("sum").cast("double").alias("sum"), "min", "max")
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE value > 150 ORDER BY part, event_id LIMIT 1")
+def find_first(spark, sf_dir):
+    return scan.find_first(_kept(spark, sf_dir), F.col("value") > 150).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT event_type, count(*) AS n, {_D} AS sum, min(value) AS min, max(value) AS max FROM r WHERE {_IN} GROUP BY event_type")
+def group_by_label(spark, sf_dir):
+    return _between(_kept(spark, sf_dir)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), aggregate.exact_sum(F.col("value")).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+@query(f"WITH {_R} SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY part, event_id) AS ids FROM r GROUP BY user_id")
+def group_lists(spark, sf_dir):
+    """The events of every key, in scan order."""
+    listed = aggregate.groups(_kept(spark, sf_dir), "user_id", ["event_id"])
+    return listed.select("user_id", F.concat_ws(",", F.transform("events", lambda e: e["event_id"].cast("string"))).alias("ids"))
+
+
+@query(
+    f"WITH {_R}, o AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY event_id) AS k, event_id FROM r) "
+    "SELECT part, (sum(event_id * (k % 7)))::BIGINT AS result FROM o GROUP BY part"
+)
+def ordered_fold(spark, sf_dir):
+    """A fold whose result depends on the order: each event weighs by its place in the partition."""
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("total"))
+    step = lambda acc, e: F.struct((acc["k"] + 1).alias("k"), (acc["total"] + e["event_id"] * ((acc["k"] + 1) % 7)).alias("total"))
+    folded = aggregate.fold(_kept(spark, sf_dir), ["event_id"], start, step, by=["part"])
+    return folded.select("part", F.col("result.total").alias("result"))
+
+
+@query(
+    f"WITH {_R}, s AS (SELECT part AS sp, event_id AS se FROM r WHERE value >= 200 ORDER BY part, event_id LIMIT 1) "
+    "SELECT count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM r LEFT JOIN s ON true WHERE se IS NULL OR (part, event_id) <= (sp, se)"
+)
+def early_stop_fold(spark, sf_dir):
+    """A fold that ends with the first value of 200 or more."""
+    until = aggregate.until(_kept(spark, sf_dir), F.col("value") >= 200)
+    return until.agg(F.count(F.lit(1)).alias("n"), aggregate.exact_sum(F.col("value")).alias("sum"))
+
+
+@query(
+    f"WITH {_R} SELECT part, event_id, count(*) OVER w AS run_n, (sum(value::DECIMAL(18,2)) OVER w)::DOUBLE AS run_sum, min(value) OVER w AS run_min, max(value) OVER w AS run_max "
+    "FROM r WINDOW w AS (PARTITION BY part ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
+)
+def running_totals(spark, sf_dir):
+    return aggregate.running(_kept(spark, sf_dir), "value").select("part", "event_id", "run_n", "run_sum", "run_min", "run_max")
+
+
+# keys and routing
+
+
+@query("SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id))::INT AS key_id FROM events GROUP BY event_type")
+def key_dictionary(spark, sf_dir):
+    return ingest.dictionary(_log(spark, sf_dir), "event_type", "seq")
+
+
+@query(
+    "WITH k AS (SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id))::INT AS key_id FROM events GROUP BY event_type) "
+    "SELECT (key_id % 4)::INT AS part, key_id, count(*) AS n FROM events JOIN k ON key = event_type GROUP BY ALL"
+)
+def append_by_key(spark, sf_dir):
+    log = _log(spark, sf_dir).drop("part")
+    coded = ingest.encoded(log, ingest.dictionary(log, "event_type", "seq"), "event_type")
+    return ingest.by_key(coded, "key_id", 4).groupBy("part", "key_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (((user_id - 75) % 8 + 8) % 8)::INT AS part, count(*) AS n FROM events GROUP BY part")
+def route_negative_keys(spark, sf_dir):
+    return ingest.by_key(_log(spark, sf_dir).withColumn("k", F.col("user_id") - 75), "k", P).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 5 AS part, count(*) AS n, max(event_id) AS last FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 300)")
+def append_to_partition(spark, sf_dir):
+    """All events to one partition that keeps 300."""
+    kept = retention.retain(ingest.to_partition(_log(spark, sf_dir), 5, P), 300)
+    return kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS seq FROM events")
+def numbered_by_time(spark, sf_dir):
+    """Consecutive numbers in order of time, given without sorting in one task."""
+    return ingest.numbered(_log(spark, sf_dir).drop("seq"), ["ts", "event_id"]).select("event_id", "seq")
+
+
+@query("SELECT event_id AS id, key_id, CASE key_id WHEN 1 THEN value ELSE value / 2 END AS value FROM events, (SELECT unnest([1, 2])::INT AS key_id) WHERE value IS NOT NULL")
+def sensor_fan_out(spark, sf_dir):
+    """Every reading as two keyed events."""
+    readings = _log(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("deviceId"), F.col("value").alias("temperature"), (F.col("value") / 2).alias("humidity"), F.col("ts").cast("timestamp").alias("timestampUtc")
+    )
+    return ingest.sensor_events(readings).select(F.col("deviceId").cast("long").alias("id"), "key_id", "value")
+
+
+# retention and state
+
+
+@query(f"SELECT {_LIST.replace('part', '(user_id % 8)::INT AS part')} FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id DESC) > 1000")
+def discarded_events(spark, sf_dir):
+    return retention.discarded(_log(spark, sf_dir), CAP).select(*_COLUMNS)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r WHERE ts >= TIMESTAMP '2024-01-20'")
+def purge_older_than(spark, sf_dir):
+    return retention.purge(_kept(spark, sf_dir), "ts", F.lit("2024-01-20").cast("timestamp_ntz")).select(*_COLUMNS)
+
+
+@query(
+    f"WITH {_L}, n AS (SELECT part, count(*) AS n FROM l GROUP BY part), a AS (SELECT count(*) FILTER (WHERE b IS NULL OR clock > b) AS m FROM "
+    "(SELECT clock, lag(clock) OVER (PARTITION BY part ORDER BY seq) AS b FROM c)) SELECT sum(n)::BIGINT AS append_count, sum(greatest(0, n - 1000))::BIGINT AS dropped_count, "
+    "sum(least(1000, n))::BIGINT AS buffered, any_value(m)::BIGINT AS window_advance_count FROM n, a"
+)
+def store_stats(spark, sf_dir):
+    return telemetry.store_stats(_late_log(spark, sf_dir), CAP, "ts_ticks")
+
+
+@query(
+    "SELECT (user_id % 8)::INT AS part, greatest(0, count(*) - 1000)::BIGINT AS head, count(*) AS tail, least(1000, count(*))::BIGINT AS n, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY part"
+)
+def partition_stats(spark, sf_dir):
+    return telemetry.partition_stats(_log(spark, sf_dir), CAP)
+
+
+@query(f"WITH {_R}, n AS (SELECT part, count(*) AS n FROM r GROUP BY part) SELECT sum(n)::BIGINT AS count, sum(n) = 0 AS is_empty, max(n) >= 1000 AS is_full FROM n")
+def store_fullness(spark, sf_dir):
+    return telemetry.fullness(_kept(spark, sf_dir), CAP)
+
+
+# the event-time window
+
+
+@query(f"WITH {_L} SELECT part, event_id, ts_ticks, clock FROM c WHERE ts_ticks < clock - {HALF_HOUR}")
+def late_events(spark, sf_dir):
+    return window.late(_late_log(spark, sf_dir), HALF_HOUR).select("part", "event_id", "ts_ticks", "clock")
+
+
+@query(
+    f"WITH {_L} SELECT part, ts_ticks - ts_ticks % {HOUR} AS bucket, count(*) AS count, {_D} AS sum, min(value) AS min, max(value) AS max FROM c WHERE ts_ticks >= clock - {HALF_HOUR} GROUP BY ALL"
+)
+def bucket_rollup(spark, sf_dir):
+    return window.bucketed(window.admitted(_late_log(spark, sf_dir), HALF_HOUR), HOUR, "value")
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE {_TICKS} - {_TICKS} % {HOUR} <= {T1} AND {_TICKS} - {_TICKS} % {HOUR} + {HOUR} > {T0}")
+def bucket_window(spark, sf_dir):
+    """The whole buckets that a range overlaps, from the rollup; bounds come inverted."""
+    kept = _kept(spark, sf_dir)
+    rollup = window.bucketed(kept.withColumn("ts_ticks", schema.ticks(kept, "ts")), HOUR, "value")
+    return window.bucket_window(rollup, HOUR, T1, T0)
+
+
+@query(
+    f"WITH {_L}, e AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part) AS stop FROM c WHERE ts_ticks >= clock - {24 * HOUR}) "
+    f"SELECT part, max(stop) AS window_end, count(*) AS count, {_D} AS sum, min(value) AS min, max(value) AS max FROM e WHERE ts_ticks >= stop - {24 * HOUR} GROUP BY part"
+)
+def sliding_window_exact(spark, sf_dir):
+    return window.sliding(_late_log(spark, sf_dir), 24 * HOUR, "value")
+
+
+@query(f"WITH {_L}, b AS (SELECT part, clock, lag(clock) OVER (PARTITION BY part ORDER BY seq) AS b FROM c) SELECT part, count(*) FILTER (WHERE b IS NULL OR clock > b) AS advances FROM b GROUP BY part")
+def window_advances(spark, sf_dir):
+    return window.advances(_late_log(spark, sf_dir))
+
+
+# the dashboard
+
+
+@query(f"WITH {_R} SELECT coalesce({_D}, 0) AS sum FROM r WHERE {_IN} AND event_type = 'purchase'")
+def metrics_sum_label(spark, sf_dir):
+    return dashboard.metric_sum(_between(_kept(spark, sf_dir)), "purchase", "event_type", "value", "ts")
+
+
+@query(f"WITH {_R} SELECT coalesce({_D}, 0) AS sum FROM r WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 600 MINUTE AND TIMESTAMP '2024-01-15 12:00:00'")
+def metrics_sum_window(spark, sf_dir):
+    """The sum of the last minutes before a given now."""
+    return dashboard.metric_sum(_between(_kept(spark, sf_dir), NOW - dt.timedelta(minutes=600), NOW), "click", "event_type", "value", "ts")
+
+
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE {_IN} AND event_type = 'error'")
+def metrics_window_label(spark, sf_dir):
+    return dashboard.metric_window(_between(_kept(spark, sf_dir)), "error", "event_type", "value", "ts", None, None)
+
+
+@query(f"WITH {_R} SELECT count(*) AS processed, count(*) FILTER (WHERE contains(event_type, 'ic') AND value > 50) AS above FROM r")
+def metrics_process_events(spark, sf_dir):
+    return dashboard.above(_kept(spark, sf_dir), "ic", "event_type", "value")
+
+
+@query(f"WITH {_R} SELECT event_type, {_D} AS total FROM r WHERE {_IN} GROUP BY event_type ORDER BY total DESC, event_type LIMIT 3")
+def metrics_top_k(spark, sf_dir):
+    return aggregate.top_k(_between(_kept(spark, sf_dir)), "event_type", F.col("value"), 3)
+
+
+@query(f"WITH {_R} SELECT part AS gateway_id, count(*) AS count, {_D} AS sum FROM r WHERE event_type = 'purchase' GROUP BY ROLLUP (part)")
+def stream_by_gateway(spark, sf_dir):
+    """Count and sum of a stream by gateway, and in all."""
+    kept = _kept(spark, sf_dir).filter("event_type = 'purchase'").withColumn("gateway_id", F.col("part"))
+    return dashboard.by_gateway(kept, "gateway_id", "value")
+
+
+@query(f"WITH {_R} SELECT count(*) AS count, coalesce({_D}, 0) AS sum FROM r WHERE event_type = 'purchase'")
+def stream_totals(spark, sf_dir):
+    return _kept(spark, sf_dir).filter("event_type = 'purchase'").agg(F.count(F.lit(1)).alias("count"), aggregate.exact_sum(F.col("value")).alias("sum"))
+
+
+@query(f"WITH {_R} SELECT (user_id % 2 + 1)::INT AS key_id, {_FIVE} FROM r GROUP BY key_id")
+def sensor_state(spark, sf_dir):
+    return dashboard.sensor_state(_kept(spark, sf_dir).withColumn("key_id", (F.col("user_id") % 2 + 1).cast("int")), "key_id", "value")
