@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eddyline.sources.scratch import ship
+
 #: Values with two decimals are summed exactly.
 MONEY = "decimal(18,2)"
 
@@ -95,6 +97,7 @@ def chunked(df: DataFrame, each: Callable[[pa.Table], dict], schema: str, merge:
             for at in range(0, batch.num_rows, size):
                 yield pa.RecordBatch.from_pylist([each(pa.Table.from_batches([batch.slice(at, size)]))])
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema).agg(*merge)
 
 

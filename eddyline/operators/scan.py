@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eddyline.sources.scratch import ship
+
 
 def in_range(column: str, start=None, end=None) -> Column:
     """Inclusive at both ends; an absent bound is open; an inverted range holds nothing."""
@@ -68,4 +70,5 @@ def chunks(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             for at in range(0, batch.num_rows, size):
                 yield from each(batch.slice(at, size))
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from eddyline import schema
 from eddyline.operators import aggregate, dashboard, ingest, retention, scan, telemetry, window
 from eddyline.sources import events as source
+from eddyline.sources import scratch, snapshots
+from eddyline.streaming import append, ring, windowed
 
 P, CAP = 8, 1000
 START, END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
 NOW = dt.datetime(2024, 1, 15, 12)
 HALF_HOUR, HOUR = 30 * schema.MINUTE, 60 * schema.MINUTE
 T0, T1 = (schema.EPOCH_TICKS + int((t - dt.datetime(1970, 1, 1)).total_seconds()) * schema.SECOND for t in (START, END))
-VALUE = F.col
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -416,3 +417,93 @@ def stream_totals(spark, sf_dir):
 @query(f"WITH {_R} SELECT (user_id % 2 + 1)::INT AS key_id, {_FIVE} FROM r GROUP BY key_id")
 def sensor_state(spark, sf_dir):
     return dashboard.sensor_state(_kept(spark, sf_dir).withColumn("key_id", (F.col("user_id") % 2 + 1).cast("int")), "key_id", "value")
+
+
+# snapshots
+
+_META = "(SELECT event_type AS part_key, user_id AS version, event_id AS taken FROM events)"
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    return log.select(F.col("event_type").alias("part_key"), F.col("user_id").alias("version"), F.col("event_id").alias("taken"))
+
+
+@query(f"SELECT * FROM {_META} QUALIFY row_number() OVER (PARTITION BY part_key ORDER BY version DESC, taken DESC) = 1")
+def snapshot_latest(spark, sf_dir):
+    """Each partition's snapshot with the largest (version, taken)."""
+    return snapshots.newest(_catalog(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {_META} QUALIFY row_number() OVER (PARTITION BY part_key ORDER BY version DESC, taken DESC) > 3")
+def snapshot_prune_plan(spark, sf_dir):
+    """What pruning to three snapshots would delete."""
+    return snapshots.expendable(_catalog(spark, sf_dir), 3)
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r")
+def snapshot_roundtrip(spark, sf_dir):
+    """Every partition saved, then restored."""
+    kept = _kept(spark, sf_dir)
+    store = snapshots.SnapshotStore(spark, scratch.folder(spark, "snapshots"))
+    store.save_all(kept, dict.fromkeys(range(P), CAP), T0)
+    return store.restore(CAP, kept.schema)[0].select(*_COLUMNS)
+
+
+# streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, in the log's form."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a pattern, as a stream's plain path has to be a folder and the table may be one file
+    read = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")
+    return read.withColumns({"part": F.pmod("user_id", F.lit(P)).cast("int"), "seq": F.col("event_id")})
+
+
+@query("SELECT event_type AS label, value, ts FROM events WHERE value IS NOT NULL")
+def json_metrics(spark, sf_dir):
+    """Metric events that came as JSON lines."""
+    path = scratch.folder(spark, "metrics")
+    log = _log(spark, sf_dir)
+    log.select(F.col("event_type").alias("label"), "value", F.col("ts").cast("timestamp").alias("ts")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    return source.metrics(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    f"SELECT bucket, event_type, count(*) AS count, {_D} AS sum, min(value) AS min, max(value) AS max FROM (SELECT date_trunc('hour', ts) AS bucket, * FROM events) "
+    "WHERE bucket + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY bucket, event_type"
+)
+def stream_windowed(spark, sf_dir):
+    """Hourly windows of a stream that the watermark, an hour behind, has closed."""
+    stream = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    result = windowed.windowed(stream, "1 hour", "1 hour", "ts", "value", ["event_type"])
+    done = windowed.drained(result, scratch.folder(spark, "windowed"), scratch.folder(spark, "windowed-state"))
+    return done.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_R} SELECT {_LIST} FROM r")
+def stream_ring(spark, sf_dir):
+    """A stream appended to a bounded store: what each partition holds in the end."""
+    table = append.RingTable(spark, scratch.folder(spark, "ring"), CAP)
+    return table.drain(_stream(spark, sf_dir), scratch.folder(spark, "ring-state")).select(*_COLUMNS)
+
+
+@query(
+    f"WITH {_L}, e AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part) AS stop, lag(clock) OVER (PARTITION BY part ORDER BY seq) AS b FROM c) "
+    f"SELECT part, max(clock) AS clock, count(*) AS appended, count(*) FILTER (WHERE ts_ticks < clock - {HALF_HOUR}) AS late, "
+    "count(*) FILTER (WHERE b IS NULL OR clock > b) AS advances, "
+    f"count(*) FILTER (WHERE ts_ticks >= clock - {HALF_HOUR} AND ts_ticks - ts_ticks % {5 * schema.MINUTE} + {5 * schema.MINUTE} > stop - {HALF_HOUR}) AS count FROM e GROUP BY part"
+)
+def stream_clock(spark, sf_dir):
+    """Each partition's clock, counters and bucketed window, kept in the state of a stream."""
+    stream = _stream(spark, sf_dir)
+    e = F.col("event_id")
+    stream = stream.withColumns({"seq": e - e % 16 + (15 - e % 16), "ts_ticks": schema.ticks(stream, "ts")})
+    result = ring.bucket_windows(stream, HALF_HOUR, 5 * schema.MINUTE)
+    path = scratch.folder(spark, "clock")
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/b{n}")
+    result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch.folder(spark, "clock-state")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/*")
+    columns = ("clock", "appended", "late", "advances", "count")
+    return rows.groupBy("part").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("part", *[f"x.{c}" for c in columns])

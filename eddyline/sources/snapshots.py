@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eddyline import schema
+from eddyline.sources.scratch import ship
 
 log = logging.getLogger("eddyline.snapshots")
 SCHEMA_VERSION = 1
@@ -262,5 +263,6 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
                 types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.snap").load(path).select("content")
     return files.mapInArrow(rows, "part_key string, version long, taken long, schema_version int, seq long, key_id int, value double, ts_ticks long")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eddyline.sources.scratch import ship
+
 _OUT = "part int, clock long, appended long, late long, advances long, count long, sum_cents long, min double, max double"
 _STATE = "clock long, appended long, late long, advances long, buckets array<struct<bucket:long,n:long,cents:long,low:double,high:double>>"
 
@@ -54,5 +56,6 @@ def bucket_windows(stream: DataFrame, window: int, width: int) -> DataFrame:
             min((b[3] for b in kept), default=0.0), max((b[4] for b in kept), default=0.0),
         )], columns=["part", "clock", "appended", "late", "advances", "count", "sum_cents", "min", "max"])
 
+    ship(stream.sparkSession)
     columns = stream.select("part", "seq", "ts_ticks", "value")
     return columns.groupBy("part").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
