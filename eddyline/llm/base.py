@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddyline.sources import scratch
+
 #: White space and words as the contracts define them: ASCII blanks only.
 BLANK = r"[\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch to a Python worker.
@@ -22,31 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors' Python workers, once for each context, and
-    bounds the batches that they get by bytes as well as by rows."""
-    sc = spark.sparkContext
+    """Sends this package to the executors' Python workers, and bounds the batches that they get by
+    bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
-    if not getattr(sc, "_eddyline_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="eddyline-src-")) / "eddyline-src.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(archive))
-        sc._eddyline_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is set."""
-    for key in ("spark.checkpoint.dir", "eddyline.scratch.dir"):
-        if found := spark.conf.get(key, None):
-            return found.rstrip("/")
-    spark.conf.set("eddyline.scratch.dir", made := tempfile.mkdtemp(prefix="eddyline-"))
-    return made
+    scratch.ship(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the folder that all executors share, as the session names it."""
+    return scratch.folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
