@@ -24,8 +24,10 @@ def above(df: DataFrame, part_of_label: str, label_col: str, value: str, bound:
 
 
 def by_gateway(df: DataFrame, gateway: str, value: str) -> DataFrame:
-    """Count and sum of each gateway, and of all as the row without one."""
-    return df.rollup(gateway).agg(F.count(F.lit(1)).alias("count"), aggregate.exact_sum(F.col(value)).alias("sum"))
+    """Count and sum of each gateway, and of all under the name ``all``."""
+    name = F.when(F.grouping(gateway) == 1, "all").otherwise(F.col(gateway).cast("string")).alias(gateway)
+    rolled = df.rollup(gateway).agg(name.alias("__name"), F.count(F.lit(1)).alias("count"), aggregate.exact_sum(F.col(value)).alias("sum"))
+    return rolled.select(F.col("__name").alias(gateway), "count", "sum")
 
 
 def sensor_state(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -402,7 +402,7 @@ def metrics_top_k(spark, sf_dir):
     return aggregate.top_k(_between(_kept(spark, sf_dir)), "event_type", F.col("value"), 3)
 
 
-@query(f"WITH {_R} SELECT part AS gateway_id, count(*) AS count, {_D} AS sum FROM r WHERE event_type = 'purchase' GROUP BY ROLLUP (part)")
+@query(f"WITH {_R} SELECT CASE GROUPING(part) WHEN 1 THEN 'all' ELSE part::VARCHAR END AS gateway_id, count(*) AS count, {_D} AS sum FROM r WHERE event_type = 'purchase' GROUP BY ROLLUP (part)")
 def stream_by_gateway(spark, sf_dir):
     """Count and sum of a stream by gateway, and in all."""
     kept = _kept(spark, sf_dir).filter("event_type = 'purchase'").withColumn("gateway_id", F.col("part"))
