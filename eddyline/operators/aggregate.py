@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eddyline.operators import prefix
 from eddyline.sources.scratch import ship
 
 #: Values with two decimals are summed exactly.
@@ -82,11 +83,12 @@ def fold(df: DataFrame, columns: list[str], seed: Column, step: Callable[[Column
 def until(df: DataFrame, stop: Column, seq: str = "seq") -> DataFrame:
     """Events in scan order up to the first that meets stop, itself included.
 
-    The first stopping place is one aggregate; the rest is a filter, so nothing is sorted in one task.
+    The first stopping place is one aggregate, used as a scalar; the rest is a filter, so nothing is sorted
+    in one task.
     """
     place = F.struct("part", seq)
-    first = df.filter(stop).agg(F.min(place).alias("__stop"))
-    return df.crossJoin(F.broadcast(first)).filter(F.col("__stop").isNull() | (place <= F.col("__stop"))).drop("__stop")
+    first = df.filter(stop).agg(F.min(place)).scalar()
+    return df.filter(first.isNull() | (place <= first))
 
 
 def chunked(df: DataFrame, each: Callable[[pa.Table], dict], schema: str, merge: list[Column], size: int = 4096) -> DataFrame:
@@ -114,5 +116,6 @@ def top_k(df: DataFrame, key: str, value: Column, k: int) -> DataFrame:
 
 def running(df: DataFrame, value: str, seq: str = "seq") -> DataFrame:
     """Each partition's running count, sum, min and max by arrival."""
-    w = Window.partitionBy("part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"run_n": F.count(value).over(w), "run_sum": F.sum(F.col(value).cast(MONEY)).over(w).cast("double"), "run_min": F.min(value).over(w), "run_max": F.max(value).over(w)})
+    v = F.col(value)
+    adds = {"run_n": ("count", v), "run_sum": ("sum", v.cast(MONEY)), "run_min": ("min", v), "run_max": ("max", v)}
+    return prefix.running(df, adds, seq).withColumn("run_sum", F.col("run_sum").cast("double"))

@@ -49,14 +49,14 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0)
 def dictionary(df: DataFrame, key: str, seq: str, known: DataFrame | None = None) -> DataFrame:
     """(key, key_id): ids from 1 in order of first arrival, continuing the known ones.
 
-    First arrivals are found by an aggregate; only distinct keys are ranked.
+    First arrivals are found by an aggregate; only distinct keys are numbered, and not in one task.
     """
     firsts = df.groupBy(F.col(key).alias("key")).agg(F.min(seq).alias("first")).filter("key IS NOT NULL")
     base = 0
     if known is not None:
         firsts = firsts.join(known.select("key"), "key", "left_anti")
         base = known.agg(F.coalesce(F.max("key_id"), F.lit(0))).first()[0]
-    fresh = firsts.select("key", (F.row_number().over(Window.orderBy("first", "key")) + base).cast("int").alias("key_id"))
+    fresh = numbered(firsts, ["first", "key"], "key_id", base + 1).select("key", F.col("key_id").cast("int"))
     return fresh if known is None else known.select("key", "key_id").unionByName(fresh)
 
 

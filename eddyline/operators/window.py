@@ -7,9 +7,10 @@ window behind the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eddyline.operators import prefix
 from eddyline.operators.aggregate import MONEY
 
 
@@ -21,8 +22,7 @@ def align_down(tick: Column, width: int | Column) -> Column:
 
 def clocked(df: DataFrame, ticks: str = "ts_ticks", seq: str = "seq") -> DataFrame:
     """Adds clock: the partition's largest event time up to and with this event."""
-    so_far = Window.partitionBy("part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("clock", F.max(ticks).over(so_far))
+    return prefix.running(df, {"clock": ("max", F.col(ticks))}, seq)
 
 
 def late(df: DataFrame, window: int, ticks: str = "ts_ticks", seq: str = "seq") -> DataFrame:
@@ -56,8 +56,10 @@ def bucket_window(rollup: DataFrame, width: int, start: int, end: int) -> DataFr
 
 def sliding(df: DataFrame, window: int, value: str, ticks: str = "ts_ticks", seq: str = "seq") -> DataFrame:
     """Every partition's window as it stands: admitted events from its largest time minus the window on."""
-    ends = Window.partitionBy("part")
-    inside = admitted(df, window, ticks, seq).withColumn("end", F.max(ticks).over(ends)).filter(F.col(ticks) >= F.col("end") - window)
+    taken = admitted(df, window, ticks, seq)
+    # one row per partition; an admitted event holds the largest time, so that of all events will do
+    ends = df.groupBy(F.col("part").alias("__p")).agg(F.max(ticks).alias("end"))
+    inside = taken.join(ends, F.col("part") == F.col("__p")).filter(F.col(ticks) >= F.col("end") - window)
     return inside.groupBy("part").agg(
         F.max("end").alias("window_end"),
         F.count(value).alias("count"),
@@ -69,9 +71,9 @@ def sliding(df: DataFrame, window: int, value: str, ticks: str = "ts_ticks", seq
 
 def advances(df: DataFrame, ticks: str = "ts_ticks", seq: str = "seq") -> DataFrame:
     """How often each partition's clock moved forward."""
-    before = F.lag("clock").over(Window.partitionBy("part").orderBy(seq))
-    moved = clocked(df, ticks, seq).withColumn("moved", F.coalesce(F.col("clock") > before, F.lit(True)).cast("int"))
-    return moved.groupBy("part").agg(F.sum("moved").alias("advances"))
+    before = prefix.running(df, {"__before": ("max", F.col(ticks))}, seq, own=False)
+    moved = F.coalesce(F.col(ticks) > F.col("__before"), F.lit(True))
+    return before.groupBy("part").agg(F.count_if(moved).alias("advances"))
 
 
 def usable_rollup(width: int | None, where: Column | None, start: int | None, end: int | None) -> bool:
