@@ -34,8 +34,9 @@ from eddyline.llm import base
 DICTIONARY, NEAR = 5000, 48
 #: Rows of a candidate batch that are scored together.
 BATCH = 2000
-_KEY = "[A-Za-z0-9+/_=.~-]"
-CANDIDATE = re.compile(rf"(?<!{_KEY}){_KEY}{{16,}}+")
+_KEY = "[A-Za-z0-9+/_.~-]"
+#: A run of key characters, with what pads it; names before an equals sign are none of it.
+CANDIDATE = re.compile(rf"(?<!{_KEY}){_KEY}{{16,}}+={{0,2}}")
 _POSITIVE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "credential", "bearer", "access", "private")
 _NEGATIVE = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "integrity", "example", "revision", "http", "etag", "version", "public", "fingerprint")
 _PATHS = ("test", "example", "sample", "vendor", "node_modules", "lock", "min.js", "fixture", "doc")
@@ -45,6 +46,15 @@ _CLASSES[ord("A") : ord("Z") + 1] = 2
 _CLASSES[ord("0") : ord("9") + 1] = 3
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(start, candidate) in a text, without the punctuation of the sentence around it."""
+    for m in CANDIDATE.finditer(text):
+        bare = m[0].lstrip(".-_~")
+        value = bare.rstrip("." if len(bare) == len(m[0]) else ".=-_~")
+        if len(value) >= 16:
+            yield m.start() + len(m[0]) - len(bare), value
+
+
 def _covered(value: str, words: frozenset[str]) -> float:
     """The share of characters inside dictionary words of four letters or more, longest first from the left."""
     low, at, n = value.lower(), 0, 0
@@ -195,10 +205,15 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
 
     paths = ("src/app.py", "config/prod.env", "main.go", "", "", "web/index.js", "docs/readme.md", "tests/test_auth.py", "package-lock.json", "settings.yaml")
     out = []
-    for k in range(n):
-        v, b, a, y = secret() if k % 2 else benign()
+    while len(out) < n:
+        v, b, a, y = secret() if len(out) % 2 else benign()
         path = r.choice(paths if not y else paths[:6] + paths[-1:])
-        out.append((v, b, a, path, y))
+        # as a scan sees it
+        at = next(((i, c) for i, c in candidates(b + v + a) if i < len(b) + len(v) and i + len(c) > len(b)), None)
+        if at:
+            i, c = at
+            text = b + v + a
+            out.append((c, text[:i], text[i + len(c) :], path, y))
     return out
 
 
@@ -234,16 +249,12 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, ident: str = "doc_
         for whole in batches:
             for k in range(whole.num_rows):
                 ident, body, where = (whole.column(c)[k].as_py() for c in range(3))
-                for m in CANDIDATE.finditer(body):
-                    a, b = m.span()
-                    value = m[0].strip(".=-_~") if len(m[0].strip(".=-_~")) >= 16 and m[0][0] in ".-_~=" else m[0].rstrip(".")
-                    a += m[0].index(value)
+                for a, value in candidates(body):
                     b = a + len(value)
-                    if len(value) >= 16:
-                        found.append((ident, a, b, value))
-                        numbers.append(features(value, body[max(0, a - NEAR) : a], body[b : b + NEAR], where or "", forest.words))
-                        if len(found) >= BATCH:
-                            yield scored()
+                    found.append((ident, a, b, value))
+                    numbers.append(features(value, body[max(0, a - NEAR) : a], body[b : b + NEAR], where or "", forest.words))
+                    if len(found) >= BATCH:
+                        yield scored()
         yield scored()
 
     return rows.mapInArrow(find, f"id {kind.simpleString()}, start long, end long, secret string, score double").withColumnRenamed("id", ident)

@@ -1,0 +1,60 @@
+import numpy as np
+import pytest
+
+from eddyline.llm import secrets
+from tests.llm import helpers as H
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    words = secrets.dictionary(spark.read.parquet(f"{H.SMALL}/documents.parquet"))
+    return secrets.fit(secrets.composed_findings(words[:: max(1, len(words) // 400)]), frozenset(words))
+
+
+def test_held_out_findings(forest):
+    """Composed findings of another seed."""
+    some = secrets.composed_findings(sorted(forest.words)[::9], 800, seed=123)
+    x = np.array([secrets.features(*f[:4], forest.words) for f in some])
+    y = np.array([f[4] for f in some])
+    got = forest.scores(x) >= 0.5
+    assert (got == y).mean() > 0.95
+
+
+def test_dictionary_counts_all_documents(spark):
+    docs = spark.createDataFrame([(1, "Word word other"), (2, "word thing, thing"), (3, None)], "doc_id long, text string")
+    assert secrets.dictionary(docs, size=2) == ["thing", "word"]
+
+
+def test_scan(spark, forest):
+    key = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a"
+    rows = [
+        (1, f'then token = "{key}" and on', "a"),
+        (2, "commit 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a fixes it", "a"),
+        (3, "see https://example.com/a/long/path/to/some/page", "a"),
+        (4, 'password = "xxxxxxxxxxxxxxxxxxxxxxxx"', None),
+        (5, f"😀 export api_key={key}.", "a"),
+        (6, None, "a"), (6, "", "a"),
+        (7, ("word " * 50_000) + f'secret: "{key}"', "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.scan(docs, forest).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert {1, 5, 7} <= set(got) and not {2, 3, 4, 6} & set(got)
+    for d in (1, 5, 7):
+        assert texts[d][got[d]["start"] : got[d]["end"]] == got[d]["secret"] == key
+
+
+def test_documents(spark):
+    """Planted keys are found; card numbers, addresses and prose are not."""
+    got = secrets.op4_secrets(spark, H.SMALL)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{H.SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(d, m.start(1)) for d, t in docs.items() for m in H.re.finditer(r'token = "([0-9a-f]{40})"', t or "")}
+    assert {(r["doc_id"], r["start"]) for r in got.collect()} == want and want
+
+
+def test_odd_rows(spark, forest):
+    docs = H.odd(spark, start=1, end=2, secret="s", score=0.1, path="p")
+    assert secrets.scan(docs, forest).columns == ["doc_id", "start", "end", "secret", "score"]
+    assert secrets.scan(H.empty(spark), forest).count() == 0
+    assert secrets.scan(docs, forest, path=None).count() == 0
+    assert secrets.Forest([], frozenset()).scores(np.zeros((2, 3))).tolist() == [0, 0]
