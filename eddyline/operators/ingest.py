@@ -92,11 +92,14 @@ def generated_orders(spark: SparkSession, n: int, gateway: str, seed: int = 0) -
     )
 
 
+#: Labels of generated metrics, and the range of each one's values.
+SPREAD = {"cpu_usage": (0, 100), "memory_usage": (1024, 8192), "disk_io": (0, 500), "network_io": (0, 1000)}
+
+
 def generated_metrics(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """n metric events over four labels, each with its own range of values."""
-    spread = {"cpu_usage": (0, 100), "memory_usage": (1024, 8192), "disk_io": (0, 500), "network_io": (0, 1000)}
-    labels = F.array(*map(F.lit, spread))
-    low, high = (F.array(*[F.lit(float(v[i])) for v in spread.values()]) for i in (0, 1))
+    labels = F.array(*map(F.lit, SPREAD))
+    low, high = (F.array(*[F.lit(float(v[i])) for v in SPREAD.values()]) for i in (0, 1))
     k = F.pmod(F.col("id"), F.lit(4)).cast("int")
     return spark.range(n).select(
         F.get(labels, k).alias("label"),

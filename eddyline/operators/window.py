@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.operators import prefix
+from eddyline.operators import aggregate, prefix, scan
 from eddyline.operators.aggregate import MONEY
 
 
@@ -81,3 +81,10 @@ def usable_rollup(width: int | None, where: Column | None, start: int | None, en
     if width is None or where is not None or start is None or end is None or start > end:
         return False
     return start % width == 0 and (end + 1) % width == 0
+
+
+def rollup_or_scan(kept: DataFrame, rollup: DataFrame, width: int, value: str, where: Column | None = None, start: int | None = None, end: int | None = None, ticks: str = "ts_ticks") -> DataFrame:
+    """The five numbers of a range of ticks: from the rollup where that gives just the scan's answer, else from the scan."""
+    if usable_rollup(width, where, start, end):
+        return bucket_window(rollup, width, start, end)
+    return aggregate.window_aggregate(scan.selected(kept, where, ticks, start, end), F.col(value), exact=True)

@@ -303,6 +303,15 @@ def sensor_fan_out(spark, sf_dir):
     return ingest.sensor_events(readings).select(F.col("deviceId").cast("long").alias("id"), "key_id", "value")
 
 
+@query("SELECT label, 2500::BIGINT AS n, true AS in_range FROM (SELECT unnest(['cpu_usage', 'memory_usage', 'disk_io', 'network_io']) AS label)")
+def generated_load(spark, sf_dir):
+    """Metric events made on the executors: as many of each label, each label in its own range."""
+    made = ingest.generated_metrics(spark, 10_000)
+    low, high = (F.create_map(*[x for k, v in ingest.SPREAD.items() for x in (F.lit(k), F.lit(float(v[i])))]) for i in (0, 1))
+    inside = F.col("value").between(low[F.col("label")], high[F.col("label")])
+    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"))
+
+
 # retention and state
 
 
@@ -360,6 +369,14 @@ def bucket_window(spark, sf_dir):
     return window.bucket_window(rollup, HOUR, T1, T0)
 
 
+@query(f"WITH {_R} SELECT {_FIVE} FROM r WHERE {_TICKS} BETWEEN {T0} AND {T1 - 1}")
+def window_from_rollup(spark, sf_dir):
+    """A range whose ends are buckets' edges, answered from the rollup."""
+    kept = _kept(spark, sf_dir)
+    ticked = kept.withColumn("ts_ticks", schema.ticks(kept, "ts"))
+    return window.rollup_or_scan(ticked, window.bucketed(ticked, HOUR, "value"), HOUR, "value", None, T0, T1 - 1)
+
+
 @query(
     f"WITH {_L}, e AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part) AS stop FROM c WHERE ts_ticks >= clock - {24 * HOUR}) "
     f"SELECT part, max(stop) AS window_end, count(*) AS count, {_D} AS sum, min(value) AS min, max(value) AS max FROM e WHERE ts_ticks >= stop - {24 * HOUR} GROUP BY part"
@@ -409,6 +426,16 @@ def stream_by_gateway(spark, sf_dir):
     return dashboard.by_gateway(kept, "gateway_id", "value")
 
 
+@query(
+    "SELECT CASE GROUPING(g) WHEN 1 THEN 'all' ELSE g::VARCHAR END AS gateway_id, count(*) AS count, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS sum "
+    "FROM (SELECT o_custkey % 3 AS g, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY ROLLUP (g)"
+)
+def order_stream_by_gateway(spark, sf_dir):
+    """One of the orders' streams by gateway."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("stream"), (F.col("o_custkey") % 3).alias("gateway_id"), "o_totalprice")
+    return dashboard.by_gateway(append.named(orders, "1-URGENT"), "gateway_id", "o_totalprice")
+
+
 @query(f"WITH {_R} SELECT count(*) AS count, coalesce({_D}, 0) AS sum FROM r WHERE event_type = 'purchase'")
 def stream_totals(spark, sf_dir):
     return _kept(spark, sf_dir).filter("event_type = 'purchase'").agg(F.count(F.lit(1)).alias("count"), aggregate.exact_sum(F.col("value")).alias("sum"))

@@ -196,6 +196,38 @@ class SnapshotStore:
         return self.spark.createDataFrame([tuple(self._counters.values())], ", ".join(f"{k} long" for k in self._counters))
 
 
+class Snapshotter:
+    """Saves a store's partitions when its snapshot options say that they are due, and once more at the end.
+
+    store: has appended (how many events so far) and save(target, taken). tick() belongs after every batch,
+    such as in foreachBatch; as a context manager, what came after the last snapshot is saved on the way out.
+    """
+
+    def __init__(self, store, target: SnapshotStore, clock: Callable[[], float] = time.time):
+        self.store, self.target, self.clock = store, target, clock
+        self._when, self._at = clock(), store.appended
+
+    def tick(self) -> dict[str, int]:
+        """The versions saved by key; none if nothing is due."""
+        fresh = self.store.appended - self._at
+        return self._save() if fresh and self.target.options.due(self.clock() - self._when, fresh) else {}
+
+    def close(self) -> dict[str, int]:
+        return self._save() if self.store.appended > self._at else {}
+
+    def _save(self) -> dict[str, int]:
+        now = self.clock()
+        saved = self.store.save(self.target, schema.EPOCH_TICKS + int(now * schema.SECOND))
+        self._when, self._at = now, self.store.appended
+        return saved
+
+    def __enter__(self) -> Snapshotter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def newest(catalog: DataFrame) -> DataFrame:
     """Each partition's snapshot with the largest (version, taken)."""
     w = Window.partitionBy("part_key").orderBy(F.desc("version"), F.desc("taken"))

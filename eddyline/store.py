@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from eddyline import schema
 from eddyline.operators import aggregate, ingest, retention, scan, telemetry, window
 from eddyline.options import StoreOptions
+from eddyline.sources import scratch
 from eddyline.sources.snapshots import SnapshotStore
 
 
@@ -24,7 +26,8 @@ class EventStore:
         self.spark, self.options = spark, options or StoreOptions()
         self.kind = T.StructType([*kind.fields])
         self._log = spark.createDataFrame([], T.StructType([*kind.fields, *self._system(kind)]))
-        self._appended = self._stats = self._version = 0
+        self._appended = self._stats = self._version = self._dropped = 0
+        self._last: float | None = None
         self.keys = spark.createDataFrame([], "key string, key_id int")
 
     def _system(self, kind: T.StructType) -> list[T.StructField]:
@@ -54,6 +57,7 @@ class EventStore:
         self._log = everything
         before, self._appended = self._appended, self._appended + n
         self._stats += n
+        self._last = time.time() if n else self._last
         if o.on_stats and self._appended // o.stats_interval > before // o.stats_interval:
             o.on_stats(self.stats().first().asDict())
         return n
@@ -100,7 +104,29 @@ class EventStore:
         """Events appended since the store was made, dropped and kept; clearing resets none of the first."""
         ticked = self._ticked(self._log) if self.options.ts and self.options.window_ticks else None
         out = telemetry.store_stats(self._log if ticked is None else ticked, self.options.per_partition, None if ticked is None else "ts_ticks", self.options.seq)
-        return out.withColumn("append_count", F.lit(self._appended).cast("long"))
+        return out.withColumns({"append_count": F.lit(self._appended).cast("long"), "dropped_count": F.col("dropped_count") + self._dropped})
+
+    @property
+    def appended(self) -> int:
+        """Events appended since the store was made."""
+        return self._appended
+
+    def statistics(self, now: float | None = None) -> dict:
+        """Events appended and discarded since the last clearing or purge, when the last append was, and how
+        many a second: all of them, if it was less than a second ago."""
+        gone = self._log.groupBy("part").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - self.options.per_partition).alias("n"))
+        discarded = gone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        since = 0.0 if self._last is None else (time.time() if now is None else now) - self._last
+        rate = self._stats / max(1.0, since) if self._last is not None else 0.0
+        return {"appended": self._stats, "discarded": discarded + self._dropped, "last_append": self._last, "appends_per_second": rate}
+
+    def compact(self) -> None:
+        """Writes the kept events to the shared folder and goes on from there, so that a store of many appends
+        has a short plan. Window advances count anew from here."""
+        path = scratch.folder(self.spark, "store")
+        dropped = self.stats().first()["dropped_count"]
+        self.events.write.parquet(path)
+        self._log, self._dropped = self.spark.read.schema(self._log.schema).parquet(path), dropped
 
     def _ticked(self, df: DataFrame) -> DataFrame:
         ts = self.options.ts
@@ -193,10 +219,11 @@ class EventStore:
             raise ValueError("purging needs a timestamp column")
         self._log = retention.purge(self.events, self.options.ts, older_than)
         self._stats = 0
+        self._last = None
 
     def clear(self, keys: bool = False) -> None:
         """Drops all events; the key dictionary too, if asked."""
-        self._log, self._stats = self.spark.createDataFrame([], self._log.schema), 0
+        self._log, self._stats, self._last = self.spark.createDataFrame([], self._log.schema), 0, None
         if keys:
             self.keys = self.spark.createDataFrame([], self.keys.schema)
 

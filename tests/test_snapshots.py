@@ -136,3 +136,22 @@ def test_expendable_and_newest(spark):
     assert sorted(map(tuple, snapshots.newest(catalog).collect())) == [("a", 2, 2), ("b", 1, 1)]
     assert [tuple(r) for r in snapshots.expendable(catalog, 2).orderBy("part_key").collect()] == [("a", 1, 1)]
     assert snapshots.newest(catalog.filter(F.lit(False))).count() == 0
+
+
+def test_snapshots_when_due(spark, tmp_path):
+    kind = T.StructType([T.StructField("value", T.DoubleType())])
+    target = SnapshotStore(spark, str(tmp_path / "due"), SnapshotOptions(interval=60, min_events=5, keep=1))
+    s = EventStore(spark, kind, StoreOptions(partitions=1))
+    events = lambda a, b: spark.createDataFrame([(float(i), i) for i in range(a, b)], "value double, seq long")
+    now = [1000.0]
+    with snapshots.Snapshotter(s, target, lambda: now[0]) as snapshotter:
+        now[0] += 100
+        assert snapshotter.tick() == {}
+        s.append(events(0, 2))
+        assert snapshotter.tick() == {"p0": 2}
+        s.append(events(2, 4))
+        assert snapshotter.tick() == {}
+        s.append(events(4, 8))
+        assert snapshotter.tick() == {"p0": 8}
+        s.append(events(8, 9))
+    assert [(r["part_key"], r["version"]) for r in target.catalog().collect()] == [("p0", 9)]

@@ -240,3 +240,19 @@ def test_prefixes_do_not_depend_on_the_chunk(spark):
         for chunk in (1, 7, 64, 1 << 20):
             got = {row["seq"]: tuple(row[k] for k in adds) for row in prefix.running(df, adds, own=own, chunk=chunk).collect()}
             assert got == want
+
+
+def test_statistics_and_compaction(spark):
+    s = EventStore(spark, T.StructType([T.StructField("value", T.IntegerType())]), StoreOptions(partitions=1, capacity_per_partition=4))
+    assert s.statistics()["appends_per_second"] == 0 and s.statistics()["last_append"] is None
+    rows = lambda a, b: spark.createDataFrame([(i, i) for i in range(a, b)], "value int, seq long")
+    s.append(rows(0, 10))
+    got = s.statistics(now=s.statistics()["last_append"] + 5)
+    assert (got["appended"], got["discarded"], got["appends_per_second"]) == (10, 6, 2)
+    assert s.statistics(now=got["last_append"])["appends_per_second"] == 10
+    s.compact()
+    assert [r["value"] for r in s.snapshot().collect()] == [6, 7, 8, 9]
+    s.append(rows(10, 12))
+    stats = s.stats().first()
+    assert (stats["append_count"], stats["dropped_count"], stats["buffered"]) == (12, 8, 4)
+    assert s.statistics()["discarded"] == 8

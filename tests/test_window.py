@@ -41,6 +41,17 @@ def test_rollup_rule():
         assert not window.usable_rollup(*args)
 
 
+def test_rollup_and_scan_agree(spark):
+    rows = log(spark, [(i % 3, i, i * 7 * S // 10, i / 4) for i in range(300)])
+    rollup = window.bucketed(rows, S, "value")
+    for start, end, where in ((20 * S, 90 * S - 1, None), (20 * S + 1, 90 * S, None), (None, 90 * S - 1, None), (20 * S, 90 * S - 1, F.col("part") == 1)):
+        got = window.rollup_or_scan(rows, rollup, S, "value", where, start, end).first()
+        v = [i / 4 for i in range(300) if (start or 0) <= i * 7 * S // 10 <= end and (where is None or i % 3 == 1)]
+        assert tuple(got) == pytest.approx((len(v), sum(v), min(v), max(v), sum(v) / len(v)))
+    plan = lambda *a: window.rollup_or_scan(rows, rollup.withColumn("mark", F.lit("rolled")).filter("mark = 'rolled'"), S, "value", None, *a)._jdf.queryExecution().toString()
+    assert "rolled" in plan(20 * S, 90 * S - 1) and "rolled" not in plan(20 * S + 1, 90 * S)
+
+
 @pytest.mark.parametrize("chunk", [16, 1 << 20])
 def test_against_a_plain_clock(spark, monkeypatch, chunk):
     monkeypatch.setattr(prefix, "CHUNK", chunk)
