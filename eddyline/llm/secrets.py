@@ -39,6 +39,8 @@ _KEY = "[A-Za-z0-9+/_.~-]"
 CANDIDATE = re.compile(rf"(?<!{_KEY}){_KEY}{{16,}}+={{0,2}}")
 _POSITIVE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "credential", "bearer", "access", "private")
 _NEGATIVE = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "integrity", "example", "revision", "http", "etag", "version", "public", "fingerprint")
+#: How keys of well-known providers begin.
+PROVIDERS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "npm_", "pypi-", "sk_live_", "sk_test_", "rk_live_", "sk-", "xoxb-", "xoxp-", "SG.", "eyJ")
 _PATHS = ("test", "example", "sample", "vendor", "node_modules", "lock", "min.js", "fixture", "doc")
 _CLASSES = np.zeros(128, np.int8)
 _CLASSES[ord("a") : ord("z") + 1] = 1
@@ -85,6 +87,7 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))),
         float(n in (32, 40, 64)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
+        float(value.startswith(PROVIDERS)),
         float(max(Counter(value).values()) / n),
         value.count("/") / n,
         (value.count("_") + value.count("-") + value.count(".")) / n,
@@ -170,14 +173,21 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
     prose = lambda k: " ".join(r.choices(words, k=k))
 
     def secret() -> tuple[str, str, str, int]:
+        key = lambda: r.choice((
+            lambda: r.choice(("AKIA", "ASIA")) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
+            lambda: r.choice(PROVIDERS) + draw(alnum, r.randint(20, 40)),
+            lambda: "eyJ" + draw(alnum, 30) + "." + draw(alnum + "-_", 60) + "." + draw(alnum + "-_", 43),
+        ))()
+        if r.random() < 0.15:  # a provider's key tells by itself
+            return key(), f"{prose(5)} {r.choice(('', '', '(', '\"'))}", f"{r.choice((' ', '. ', ', ', ')'))}{prose(4)}", 1
         value = r.choice((
             lambda: draw(hexa, r.choice((32, 40, 64, 48))),
+            lambda: draw(hexa, r.randint(16, 24)),
             lambda: draw(hexa.upper(), r.choice((32, 40))),
             lambda: draw(base64, r.randint(20, 88)) + r.choice(("", "=", "==")),
             lambda: draw(alnum, r.randint(18, 64)),
-            lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
-            lambda: r.choice(("ghp_", "gho_", "sk_live_", "pk_live_", "xoxb-", "glpat-", "npm_")) + draw(alnum, r.randint(20, 40)),
-            lambda: "eyJ" + draw(alnum, 30) + "." + draw(alnum + "-_", 60) + "." + draw(alnum + "-_", 43),
+            key,
+            key,
         ))()
         name = r.choice(("token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_secret", "API_KEY", "SECRET_KEY", "passwd", "bearer", "private_key"))
         before, after = r.choice(((f'{name} = "', '"'), (f"{name}='", "'"), (f"{name}: ", ""), (f'"{name}": "', '",'), (f"export {name}=", ""), (f"Authorization: {name} ", ""), (f"{name} is ", " "), ('x = "', '"')))
@@ -199,6 +209,7 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
             (lambda: r.choice("=-_.~*x0aX1").replace("*", "-") * r.randint(16, 80), ("", 'password = "', "api_key=", " ")),
             (lambda: r.choice(("your-api-key-goes-here", "INSERT_YOUR_TOKEN_HERE", "changeme-changeme", "xxxxxxxxxxxxxxxxxxxx", "example-secret-value", "test-token-test-token", "REPLACE_WITH_PASSWORD")), ('token = "', "api_key: ", "password=", 'secret = "')),
             (lambda: draw("0123456789", r.randint(16, 24)), ("", "order ", "no. ", " ")),
+            (lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r.randint(16, 24)), ("", "part ", "serial ", "sku ", "isin ")),
             (lambda: draw(base64, r.randint(60, 200)), ("integrity=sha512-", "data:image/png;base64,", "sha384-", "ssh-rsa ")),
         ))
         return value(), f"{prose(5)} {r.choice(befores)}", r.choice(("", " ", '" ', ". ", ")")) + prose(4), 0
