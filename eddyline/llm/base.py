@@ -11,6 +11,8 @@ from eddyline.sources import scratch
 BLANK = r"[\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch to a Python worker.
 ARROW_BATCH = str(8 << 20)
+#: Rows, of bounded width, that a table may have to be sent to every executor.
+BROADCAST_ROWS = 1_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """table, marked for every executor if it has at most so many rows, by count; else as it is, for a shuffle."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; the fast built-in does just that to texts without other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -9,8 +9,8 @@ shorter than a window are one window of their own length, whose hash all documen
 that length are held against (nothing is computed for lengths that no item has).
 
 Scale. Only built-in functions; fingerprints are made within the scan and never collected. The
-items' fingerprints and windows go to every executor while they are at most ``BROADCAST_ROWS``
-rows, by count; beyond that the joins shuffle. A window that very many documents share costs one
+items' fingerprints and windows go to every executor while they are at most
+``base.BROADCAST_ROWS`` rows, by count; beyond that the joins shuffle. A window that very many documents share costs one
 row for each document, dealt out by the join, and a document's matches meet by document.
 
 Defined results: a null text, or one without words, is never hit; an item without words has no
@@ -28,7 +28,6 @@ from eddyline.llm import base
 WINDOW = 10
 #: Words of a k-gram; fingerprints span WINDOW words, so WINDOW - K + 1 k-grams share one.
 K = 5
-BROADCAST_ROWS = 1_000_000
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,11 +55,6 @@ def _fingerprints(grams: str) -> Column:
     return F.transform(at, lambda g, i: F.least(g, *[F.get(F.col(grams), i + k) for k in range(1, span)]))
 
 
-def _sized(table: DataFrame) -> DataFrame:
-    """table to every executor if it is small, by count."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def item_windows(items: DataFrame, ident: str, text: str) -> DataFrame:
     """item, size, win (the window's words), h (their hash): one row for each distinct window of an item."""
     worded = with_words(items.select(F.col(ident).alias("item"), F.col(text).alias("text"))).filter(F.size("__words") > 0)
@@ -84,7 +78,7 @@ def contaminated(
     # windows of full size are known by the winnowed fingerprint of their words
     full = windows.filter(F.col("size") == WINDOW).select(F.split("win", " ").alias("w")).withColumn("g", _grams("w", K))
     prints = full.select(F.explode(_fingerprints("g")).alias("h")).union(windows.filter(F.col("size") < WINDOW).select("h"))
-    prints = _sized(base.written(prints.distinct(), "decontam-prints"))
+    prints = base.sized(base.written(prints.distinct(), "decontam-prints"))
 
     worded = with_words(docs).withColumn("__grams", _grams("__words", K))
     marks = [_fingerprints("__grams")] if WINDOW in sizes else []
@@ -98,7 +92,7 @@ def contaminated(
     spans = [
         near.select("id", "own", "__words", F.posexplode(_grams("__words", s)).alias("at", "h"))
         .select("id", "own", "at", F.lit(s).alias("size"), "h", F.concat_ws(" ", F.slice("__words", F.col("at") + 1, s)).alias("span"))
-        .join(_sized(windows.filter(F.col("size") == s).select(F.col("h").alias("wh"), "win", "item")), (F.col("h") == F.col("wh")) & (F.col("span") == F.col("win")))
+        .join(base.sized(windows.filter(F.col("size") == s).select(F.col("h").alias("wh"), "win", "item")), (F.col("h") == F.col("wh")) & (F.col("span") == F.col("win")))
         .select("id", "own", "at", "size", "item")
         for s in sizes
     ]

@@ -27,6 +27,8 @@ from eddyline.llm import base
 OUTPUTS = ("size", "source_size", "target", "taken")
 #: Quality weights are held between these, so that the buckets of keys stay even.
 LEAST, MOST = 1 / 16, 16.0
+#: Up to so many sources, by count, their plan goes to every executor; beyond it is joined by a shuffle that may split.
+SOURCES = 100_000
 
 
 def quality(text: Column, size: Column) -> Column:
@@ -104,7 +106,7 @@ def mix(
     )
     plan = base.written(plan, "mix-plan")
     bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))
-    dealt = slim.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket)
+    dealt = slim.join(base.sized(plan, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket)
     by_bucket = dealt.groupBy("s", "bucket", "rest").agg(F.sum("size").alias("held"))
     running = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     line = (
@@ -114,7 +116,7 @@ def mix(
     )
     line = base.written(line, "mix-line")
     lined = plan.join(line, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls")
-    placed = slim.join(lined, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
+    placed = slim.join(base.sized(lined, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
     # without a line the rest is nothing (target = epochs), or rounding left it at the source's size
     whole = F.when(F.col("line").isNull(), F.col("rest") > 0).otherwise(F.col("bucket") < F.col("line"))
     on_line = F.coalesce(F.col("bucket") == F.col("line"), F.lit(False))

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from eddyline.llm import decontam
+from eddyline.llm import base, decontam
 from tests.llm import helpers as H
 
 BENCH = "item_id string, text string"
@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_windows_at_every_place(spark, monkeypatch, limit):
     """Items long and short, equal items, spans at both ends and one word too few; with and without broadcasts."""
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(base, "BROADCAST_ROWS", limit)
     w = [f"q{i}" for i in range(30)]
     items = [("a", " ".join(w)), ("b", " ".join(w)), ("c", "Solo"), ("d", "two WORDS"), ("e", ""), ("f", None), ("g", "..."), ("h", "x " * 12), ("i", "Ä1 b2")]
     docs = [(i, " ".join(["pre"] * (i % 4) + w[i : i + 9 + i % 3] + ["post"] * (i % 2))) for i in range(21)]

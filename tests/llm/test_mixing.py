@@ -9,7 +9,9 @@ def test_agrees_with_sql(spark):
     H.agrees(spark, mixing.op1_mix, mixing.ORACLE, H.SMALL)
 
 
-def test_targets_and_epochs(spark):
+@pytest.mark.parametrize("sources", [0, 100_000])
+def test_targets_and_epochs(spark, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "SOURCES", sources)
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 7}", 0) for i in range(4000)]
     got = mixing.mix(spark.createDataFrame(rows, H.DOC)).collect()
     by = {}
