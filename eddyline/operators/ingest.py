@@ -35,15 +35,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0)
         ranged = ranged.checkpoint()
     else:
         ranged = ranged.persist()
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect())
-    offsets, at = [], start
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(at)]
-        at += n
-    if not offsets:
-        return ranged.drop("__p").withColumn(name, F.lit(0).cast("long"))
+    # one row for each range, as many as tasks
+    before = F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy(F.col("__p").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(F.col("q").alias("__q"), (F.coalesce(before, F.lit(0)) + start).alias("__at"))
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn(name, (F.element_at(F.create_map(*offsets), F.col("__p")) + within).cast("long")).drop("__p")
+    placed = ranged.withColumn("__i", within).join(F.broadcast(offsets), F.col("__p") == F.col("__q"))
+    return placed.withColumn(name, (F.col("__at") + F.col("__i")).cast("long")).drop("__p", "__q", "__at", "__i")
 
 
 def dictionary(df: DataFrame, key: str, seq: str, known: DataFrame | None = None) -> DataFrame:

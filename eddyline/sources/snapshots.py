@@ -113,40 +113,71 @@ class SnapshotStore:
                     found.append((key, int(m[1]), int(m[2]), int(m[3]), f"{self.root}/{key}/{name}"))
         return self.spark.createDataFrame(found, CATALOG)
 
-    def save(self, events: DataFrame, key: str, version: int, taken: int, schema_version: int = SCHEMA_VERSION) -> str:
-        """Writes one partition's events; tries again, with growing pauses, if that fails."""
-        target = f"{self.root}/{checked_key(key)}/{version}_{taken}_s{schema_version}"
+    def _tried(self, what: str, attempt: Callable[[str], list[str]]) -> list[str]:
+        """attempt(a new scratch folder), again with growing pauses if it fails; the folder is gone afterwards."""
         pause = delays(self.options)
-        for attempt in range(1, self.options.attempts + 1):
+        for k in range(1, self.options.attempts + 1):
             self._counters["attempts"] += 1
             scratch = f"{self.root}/.saving-{uuid.uuid4().hex}"
             try:
-                self._write(events, scratch)
-                fs = self._fs()
-                fs.mkdirs(self._path(f"{self.root}/{key}"))
-                if fs.exists(self._path(target)) or not fs.rename(self._path(scratch), self._path(target)):
-                    raise FileExistsError(target)
-                self._counters["saved"] += 1
-                log.info("saved %s version %d", key, version)
-                return target
+                made = attempt(scratch)
+                self._counters["saved"] += len(made)
+                log.info("saved %s", what)
+                return made
             except Exception as e:
                 self._counters["failures"] += 1
-                self._fs().delete(self._path(scratch), True)
-                log.warning("saving %s failed, attempt %d: %s", key, attempt, e)
-                if isinstance(e, FileExistsError) or attempt == self.options.attempts:
+                log.warning("saving %s failed, attempt %d: %s", what, k, e)
+                if isinstance(e, FileExistsError) or k == self.options.attempts:
                     raise
                 self.sleep(next(pause))
+            finally:
+                self._fs().delete(self._path(scratch), True)
         raise AssertionError
 
-    def _write(self, events: DataFrame, path: str) -> None:
-        events.write.parquet(path)
+    def _moved(self, scratch: str, key: str, name: str) -> str:
+        """A written folder under its final name; an existing one stays as it is."""
+        fs, target = self._fs(), f"{self.root}/{key}/{name}"
+        fs.mkdirs(self._path(f"{self.root}/{key}"))
+        if fs.exists(self._path(target)) or not fs.rename(self._path(scratch), self._path(target)):
+            raise FileExistsError(target)
+        return target
+
+    def save(self, events: DataFrame, key: str, version: int, taken: int, schema_version: int = SCHEMA_VERSION) -> str:
+        """Writes one partition's events; tries again, with growing pauses, if that fails."""
+        name = f"{version}_{taken}_s{schema_version}"
+        checked_key(key)
+
+        def attempt(scratch: str) -> list[str]:
+            self._write(events, scratch)
+            return [self._moved(scratch, key, name)]
+
+        return self._tried(f"{key} version {version}", attempt)[0]
+
+    def _write(self, events: DataFrame, path: str, *by: str) -> None:
+        events.write.partitionBy(*by).parquet(path)
 
     def save_all(self, retained: DataFrame, versions: dict[int, int], taken: int) -> dict[str, int]:
-        """One snapshot of every partition. versions: by partition. Returns the versions saved by key."""
-        return {
-            f"p{part}": version for part, version in sorted(versions.items())
-            if self.save(retained.filter(F.col("part") == part), f"p{part}", version, taken)
-        }
+        """One snapshot of every partition, written by one job. versions: by partition. Returns the versions saved by key."""
+        todo = dict(versions)
+
+        def attempt(scratch: str) -> list[str]:
+            self._write(retained.filter(F.col("part").isin(*todo)).withColumn("__p", F.col("part")), scratch, "__p")
+            made = []
+            for part, version in sorted(todo.items()):
+                made.append(self._moved(self._folder(scratch, part, retained), f"p{part}", f"{version}_{taken}_s{SCHEMA_VERSION}"))
+                del todo[part]
+            return made
+
+        if todo:
+            self._tried(f"{len(todo)} partitions", attempt)
+        return {f"p{part}": version for part, version in sorted(versions.items())}
+
+    def _folder(self, scratch: str, part: int, retained: DataFrame) -> str:
+        """Where a partition's events were written; an empty table for one without any."""
+        folder = f"{scratch}/__p={part}"
+        if not self._fs().exists(self._path(folder)):
+            retained.limit(0).write.parquet(folder)
+        return folder
 
     def prune(self, key: str, keep: int | None = None) -> int:
         """Deletes all but the newest keep snapshots of a partition; below 1 nothing. Returns how many went."""
@@ -179,16 +210,13 @@ class SnapshotStore:
                     raise ValueError(f"{row['path']} has schema {row['schema_version']}, not {expected}")
                 continue
             try:
-                part = self.spark.read.schema(kind).parquet(row["path"])
-                part.limit(1).count()
+                self.spark.read.schema(kind).parquet(row["path"]).limit(1).collect()
             except Exception as e:
                 log.warning("%s can't be read: %s", row["path"], e)
                 continue
-            parts.append(part)
+            parts.append(row["path"])
             versions[row["part_key"]] = row["version"]
-        out = self.spark.createDataFrame([], kind)
-        for part in parts:
-            out = out.unionByName(part)
+        out = self.spark.read.schema(kind).parquet(*parts) if parts else self.spark.createDataFrame([], kind)
         return retain(out, capacity), versions
 
     def metrics(self) -> DataFrame:

@@ -52,11 +52,11 @@ def test_an_existing_snapshot_stays(spark, store):
 def test_saving_is_tried_again(spark, store, monkeypatch):
     write, calls = store._write, []
 
-    def failing(events, path):
+    def failing(events, path, *by):
         calls.append(path)
         if len(calls) < 3:
             raise OSError("full")
-        write(events, path)
+        write(events, path, *by)
 
     monkeypatch.setattr(store, "_write", failing)
     store.save(rows(spark, 0, [1]), "p0", 1, 1)
@@ -155,3 +155,16 @@ def test_snapshots_when_due(spark, tmp_path):
         assert snapshotter.tick() == {"p0": 8}
         s.append(events(8, 9))
     assert [(r["part_key"], r["version"]) for r in target.catalog().collect()] == [("p0", 9)]
+
+
+def test_all_partitions_in_one_write(spark, store, monkeypatch):
+    write, calls = store._write, []
+    monkeypatch.setattr(store, "_write", lambda *a: (calls.append(a[1]), write(*a)))
+    events = rows(spark, 0, [1, 2]).union(rows(spark, 1, [3])).union(rows(spark, 7, [4]))
+    assert store.save_all(events, {0: 2, 1: 1, 5: 9}, 50) == {"p0": 2, "p1": 1, "p5": 9}
+    assert len(calls) == 1
+    kept, versions = store.restore(10, events.schema)
+    assert sorted(map(tuple, kept.collect())) == [(0, 1, 1.0), (0, 2, 2.0), (1, 3, 3.0)] and versions == {"p0": 2, "p1": 1, "p5": 9}
+    with pytest.raises(FileExistsError):
+        store.save_all(events, {0: 2}, 50)
+    assert store.save_all(events, {}, 51) == {} and not [n for n in store._names(store.root) if n.startswith(".saving")]
