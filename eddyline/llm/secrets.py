@@ -1,21 +1,27 @@
 """Secret scans: candidates from patterns, false positives removed by a random forest.
 
-Method. Runs of 16 or more key characters are candidates. A random forest (bagged trees on random feature subsets)
+Method. Candidates are runs of 16 or more key characters; the whole quoted or blank-delimited value, of LEAST or more
+characters of any kind, after a word that names a secret and an equals sign or colon on the same line; and the password of
+user:password@host. A random forest (bagged trees on random feature subsets)
 scores each by its length, the changes of character class inside it, the share of it that
 dictionary words cover, its path and the words on either side. The dictionary is the most frequent words of the corpus,
 counted over all documents. The forest is fitted on labelled findings; as no table of such is at hand, the default
-ones are composed here from a fixed seed (hexadecimal and base64 keys and provider tokens in
-assignments, against digests, identifiers, paths, UUIDs, long words and placeholders). Give your own to ``fit``.
+ones are composed here from a fixed seed (hexadecimal and base64 keys, provider tokens and passwords in
+assignments, against digests, identifiers, paths, UUIDs, words, code and placeholders). Give your own to ``fit``.
 
 Scale. A built-in pattern turns away texts without a candidate before any Python; words are counted with sums within tasks
 first, and only DICTIONARY of them leave the executors. Findings are as many as the texts hold.
 
-Defined results: null and empty texts have no findings; spans are code points, end exclusive; a null path is
+Bounds: a secret that nothing names is found from 16 key characters on; between naming word and separator are at most
+NAME characters, and user:password is looked for in the USERINFO characters before an @.
+
+Defined results: of findings one inside the other the outer one stays; null and empty texts have no findings; spans are code points, end exclusive; a null path is
 empty; equal rows have equal findings, each its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
@@ -32,15 +38,29 @@ from pyspark.sql.pandas.types import to_arrow_type
 from eddyline.llm import base
 
 DICTIONARY, NEAR = 5000, 48
+#: Characters: the shortest named secret, the most after a naming word, the most of user:password.
+LEAST, NAME, USERINFO = 6, 48, 256
 #: Rows of a candidate batch that are scored together.
 BATCH = 2000
 _KEY = "[A-Za-z0-9+/_.~-]"
 #: A run of key characters, with what pads it; names before an equals sign are none of it.
 CANDIDATE = re.compile(rf"(?<!{_KEY}){_KEY}{{16,}}+={{0,2}}")
+_NAMING = "pass|pwd|secret|token|key|auth|cred|bearer|kennwort|contrase"
+#: A naming word, what follows it in its name, a separator, and the scheme of an authorization.
+NAMED = re.compile(rf"(?ia)(?:{_NAMING})[^\s=:]{{0,{NAME}}}[ \t]{{0,8}}(?::=|=>|={{1,3}}|:)[ \t]*(?:(?:bearer|basic|token)[ \t]+)?(?:[rbfu]{{1,2}}(?=[\"']))?")
+QUOTED = re.compile(r"""(\\?["'`])((?:(?!\1)(?:[^\\\r\n]|\\[^\r\n]))*)\1""")
+#: Where a value without quotes ends before the next blank: at a further assignment or a closing tag.
+_NEXT = re.compile(r"[;&,|?](?=[\w.-]{1,40}=)|</")
+_SPACED = re.compile(r"\S+")
+_HOSTED = re.compile(r"@(?=[A-Za-z0-9\[])")
+#: At least what candidates() finds, for the built-in pattern.
+PREFILTER = rf"{_KEY}{{16}}|(?i:{_NAMING})[^=:\r\n]{{0,{NAME + 8}}}[=:]|:[^\s/]{{{LEAST},{USERINFO}}}@"
+_PASSWORD = ("pass", "pwd", "secret", "cred", "kennwort", "contrase")
 _POSITIVE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "credential", "bearer", "access", "private")
 _NEGATIVE = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "integrity", "example", "revision", "http", "etag", "version", "public", "fingerprint")
 #: How keys of well-known providers begin.
 PROVIDERS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "npm_", "pypi-", "sk_live_", "sk_test_", "rk_live_", "sk-", "xoxb-", "xoxp-", "SG.", "eyJ")
+_PLACEHOLDERS = ("your", "example", "change", "replace", "insert", "placeholder", "redacted", "xxxx", "****", "dummy", "sample", "todo")
 _PATHS = ("test", "example", "sample", "vendor", "node_modules", "lock", "min.js", "fixture", "doc")
 _CLASSES = np.zeros(128, np.int8)
 _CLASSES[ord("a") : ord("z") + 1] = 1
@@ -48,8 +68,7 @@ _CLASSES[ord("A") : ord("Z") + 1] = 2
 _CLASSES[ord("0") : ord("9") + 1] = 3
 
 
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(start, candidate) in a text, without the punctuation of the sentence around it."""
+def _runs(text: str) -> Iterator[tuple[int, str]]:
     for m in CANDIDATE.finditer(text):
         bare = m[0].lstrip(".-_~")
         value = bare.rstrip("." if len(bare) == len(m[0]) else ".=-_~")
@@ -57,6 +76,59 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
             yield m.start() + len(m[0]) - len(bare), value
 
 
+def _trimmed(value: str) -> str:
+    """Without the punctuation that ends a sentence, and brackets and quotes that were opened before the value."""
+    end = len(value)
+    unopened = {b: value.count(b) - value.count(a) for a, b in ("()", "[]", "{}", "<>")}
+    while end and (value[end - 1] in ".,;:\"'`" or unopened.get(value[end - 1], 0) > 0):
+        end -= 1
+        if value[end] in unopened:
+            unopened[value[end]] -= 1
+    return value[:end]
+
+
+def _named(text: str) -> Iterator[tuple[int, str]]:
+    m, blank = NAMED.search(text), 0
+    while m:
+        at = m.end()
+        further = NAMED.match(text, at)
+        if further:  # a name whose value is a name with a value
+            m = further
+            continue
+        to = at
+        if quoted := QUOTED.match(text, at):
+            value, start = quoted[2], quoted.start(2)
+            if not any(c.isspace() for c in value):  # else there may be assignments inside
+                to = quoted.end()
+        elif at < blank or (spaced := _SPACED.match(text, at)):
+            blank = blank if at < blank else spaced.end()  # a run without blanks is looked through once
+            end = _NEXT.search(text, at, blank)
+            start, to = at, end.start() if end else blank
+            value = _trimmed(text[at:to])
+        else:
+            value, start = "", at
+        if len(value) >= LEAST:
+            yield start, value
+        m = NAMED.search(text, to)
+
+
+def _hosted(text: str) -> Iterator[tuple[int, str]]:
+    for m in _HOSTED.finditer(text):
+        run = re.split(r"[\s/\"'`<>]", text[max(0, m.start() - USERINFO) : m.start()])[-1]
+        user, _, value = run.partition(":")
+        if user and len(value) >= LEAST:
+            yield m.start() - len(value), value
+
+
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(start, candidate) in a text by start, without the punctuation of the sentence around it; some lie in others."""
+    last = None
+    for found in heapq.merge(_runs(text), _named(text), _hosted(text)):
+        if found != last:
+            yield found
+        last = found
+
+
 def _covered(value: str, words: frozenset[str]) -> float:
     """The share of characters inside dictionary words of four letters or more, longest first from the left."""
     low, at, n = value.lower(), 0, 0
@@ -69,12 +141,11 @@ def _covered(value: str, words: frozenset[str]) -> float:
 
 def features(value: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
     """Numbers of one candidate; long candidates are measured whole."""
-    codes = np.frombuffer(value.encode("ascii"), np.uint8)
-    kind = _CLASSES[codes]
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CLASSES[np.minimum(codes, 127)]
     n = len(codes)
     share = np.bincount(kind, minlength=4) / n
-    counts = np.bincount(codes)
-    p = counts[counts > 0] / n
+    p = np.unique(codes, return_counts=True)[1] / n
     pairs = np.bincount(kind[:-1].astype(int) * 4 + kind[1:], minlength=16) / max(1, n - 1)
     near, low_path = before.lower()[-NEAR:], (path or "").lower()
     last = re.findall(r"[a-z0-9_]+", near)[-2:]
@@ -98,6 +169,13 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
         float(any(k in near for k in _POSITIVE)),
         float(any(k in near for k in _NEGATIVE)),
         float(any(k in low_path for k in _PATHS)),
+        float(any(k in w for w in last for k in _PASSWORD)),
+        float(after[:1] == "@" and before[-1:] == ":"),
+        float("://" in before[-NEAR:]),
+        sum(value.count(c) for c in "()[]{}<>") / n,
+        float(value[0] in "$%<{[(*@&"),
+        sum(c.isspace() for c in value) / n,
+        float(any(k in value.lower() for k in _PLACEHOLDERS)),
     ]
 
 
@@ -164,7 +242,7 @@ def fit(findings: list[tuple[str, str, str, str, int]], words: frozenset[str], t
     return Forest(grown, words)
 
 
-def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tuple[str, str, str, str, int]]:
+def composed_findings(words: list[str], n: int = 5000, seed: int = 9) -> list[tuple[str, str, str, str, int]]:
     """Labelled findings of common shapes. words: some of the corpus' words, for benign candidates and surroundings."""
     r = random.Random(seed)
     words = sorted(w for w in words if w.isascii()) or ["the", "and", "with", "from", "that", "value"]
@@ -172,12 +250,72 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
     draw = lambda letters, k: "".join(r.choices(letters, k=k))
     prose = lambda k: " ".join(r.choices(words, k=k))
 
+    signs = "!@#$%^&*-_+=?."
+    word = lambda: r.choice((lambda: r.choice(words), lambda: "".join(draw("bcdfghklmnprstvwz", 1) + draw("aeiou", 1) for _ in range(r.randint(2, 4)))))()
+    cased = lambda: r.choice((str, str.capitalize, str.upper))(word())
+
+    def password() -> tuple[str, str, str, int]:
+        leet = str.maketrans("aeios", "43105")
+        make = r.choice((
+            lambda: draw(alnum + signs * 2, r.randint(6, 20)),
+            lambda: draw(alnum + signs * 2, r.randint(8, 15)),
+            lambda: draw(alnum, r.randint(8, 15)),
+            lambda: draw(alnum.lower(), r.randint(7, 15)),
+            lambda: draw(hexa, r.randint(8, 15)),
+            lambda: cased() + draw("0123456789", r.randint(1, 4)) + draw(signs, r.randint(0, 2)),
+            lambda: cased() + draw(signs, 1) + draw("0123456789", r.randint(2, 4)),
+            lambda: cased() + draw(signs, 1) + cased() + draw("0123456789", r.randint(1, 3)),
+            lambda: (cased() + cased()).translate(leet) + draw("0123456789" + signs, r.randint(1, 3)),
+            lambda: draw(alnum, r.randint(3, 8)) + draw(signs, 1) + draw(alnum, r.randint(3, 8)) + draw(signs, 1) + draw(alnum, r.randint(0, 8)),
+            lambda: draw("0123456789", r.randint(6, 12)),
+            lambda: draw("äöüßéñçλж", 1) + cased() + draw(alnum + signs, r.randint(3, 8)),
+        ))
+        fine = lambda v: len(v) >= LEAST and v[0] not in "$%&*@" and v[-1] not in ".," and (len(set(v)) > 3) and not re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", v)
+        value = next(v for v in iter(make, None) if fine(v))
+        if r.random() < 0.25:  # user:password@host
+            value = value.replace("@", "x").replace("/", "x")
+            return value, f"{prose(4)} {r.choice(('postgres://', 'mysql://', 'https://', 'ftp://', 'mongodb+srv://', 'redis://', 'amqp://', '', ''))}{r.choice(('admin', 'root', 'user', 'app', word()))}:", f"@{r.choice(('db', 'host', 'localhost', word()))}{r.choice(('.example.com', ':5432/main', '', '/x'))} {prose(4)}", 1
+        name = r.choice(("password", "password", "passwd", "pwd", "PWD", "secret", "Password", "DB_PASSWORD", "db.password", "user_pass", "passphrase", "client_secret", "kennwort", "credential"))
+        if not value.isdigit():
+            name = r.choice((name, name, name, "token", "api_key", "auth_token", "secret_key", "authkey"))
+        before, after = r.choice(((f'{name} = "', '"'), (f"{name}='", "'"), (f"{name}: ", ""), (f'"{name}": "', '",'), (f"export {name}=", ""), (f"{name}=", ""), (f"--{name}=", ""), (f"{name} = ", ""), (f"{name}:", ""), (f"{name}=", ".")))
+        return value, f"{prose(5)} {before}", f"{after} {prose(4)}", 1
+
+    def short() -> tuple[str, str, str, int]:
+        """Benign short values after names."""
+        name = r.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "key", "Key", "auth", "author", "DB_PASSWORD", "client_secret", "primary_key", "keyword", "tokens", "max_tokens", "passage", "compass", "passenger", "monkey", "authority", "credentials", "secretary"))
+        joined = lambda sep, k: sep.join(r.choices(words, k=k))
+        dotted = lambda: joined(r.choice((".", "_")), r.randint(2, 3))
+        make = r.choice((
+            word, word, word, cased, cased, lambda: word() + word(), lambda: r.choice((word(), word().capitalize())) + word().capitalize(),
+            lambda: word() + r.choice(("-", "/", "_", "'")) + word(),
+            dotted,
+            lambda: f"{dotted()}({r.choice(('', word(), chr(34) + word() + chr(34)))})",
+            lambda: f"{word()}[{r.choice(('0', word(), chr(39) + word() + chr(39)))}]",
+            lambda: r.choice(("${%s}", "$%s", "{{%s}}", "%%%s%%", "<%s>", "[%s]", "$(%s)", "{%s}", "@%s")) % r.choice((word(), name, f"your_{name}", f"{name.upper()}_1", joined("_", 2))),
+            lambda: r.choice("*xX.#•-_") * r.randint(6, 15),
+            lambda: r.choice(("string", "String", "str,", "boolean", "undefined", "required", "Optional[str]", "bytes", "varchar(255)", "disabled", "enabled", "nullable", "[REDACTED]", "<redacted>", "changeme", "change-me", "your_password", "your-token", "password", "example", "placeholder", "required|min:8", "&str", "process.env.TOKEN", 'os.environ["TOKEN"]', "os.getenv('PASSWORD')", "request.form['pwd']", "self.token", "getpass.getpass()", "/run/secrets/token", "https://example.com/login", "function(a,b)", "(optional)", "12:30:00", "2024-01-31", "insert_here", "dummy-value", "sample_key")),
+            lambda: joined(" ", r.randint(2, 8)),
+        ))
+        value = next(v for v in iter(make, None) if len(v) >= LEAST)
+        if r.random() < 0.12 and name not in ("password", "passwd", "pwd", "secret", "DB_PASSWORD", "client_secret", "credentials"):
+            value = draw("123456789", 1) + draw("0123456789", r.randint(5, 9))  # a number that is no password
+        if r.random() < 0.15:  # no user:password@host
+            return word().ljust(LEAST, "a"), f"{prose(4)} {r.choice(('mailto', 'email', 'contact', 'mail', 'from', 'cc'))}:", f"@{word()}.example.com {prose(4)}", 0
+        styles = ((f'{name} = "', '"'), (f'"{name}": "', '",'), (f"{name}='", "'"))
+        if " " not in value:
+            styles += ((f"{name}: ", ""), (f"{name}: ", "."), (f"{name}: ", ","), (f"{name}=", ""), (f"{name} = ", ""), (f"{name}:", ""))
+        before, after = r.choice(styles)
+        return value, f"{prose(5)} {before}", f"{after} {prose(4)}", 0
+
     def secret() -> tuple[str, str, str, int]:
         key = lambda: r.choice((
             lambda: r.choice(("AKIA", "ASIA")) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
             lambda: r.choice(PROVIDERS) + draw(alnum, r.randint(20, 40)),
             lambda: "eyJ" + draw(alnum, 30) + "." + draw(alnum + "-_", 60) + "." + draw(alnum + "-_", 43),
         ))()
+        if r.random() < 0.4:
+            return password()
         if r.random() < 0.15:  # a provider's key tells by itself
             return key(), f"{prose(5)} {r.choice(('', '', '(', '\"'))}", f"{r.choice((' ', '. ', ', ', ')'))}{prose(4)}", 1
         value = r.choice((
@@ -194,6 +332,8 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
         return value, f"{prose(5)} {before}", f"{after} {prose(4)}", 1
 
     def benign() -> tuple[str, str, str, int]:
+        if r.random() < 0.4:
+            return short()
         joined = lambda sep, k: sep.join(r.choices(words, k=k))
         long = lambda f: next((v for _ in range(20) if len(v := f()) >= 16), "a" * 16 + joined("_", 3))
         value, befores = r.choice((
@@ -210,6 +350,8 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
             (lambda: r.choice(("your-api-key-goes-here", "INSERT_YOUR_TOKEN_HERE", "changeme-changeme", "xxxxxxxxxxxxxxxxxxxx", "example-secret-value", "test-token-test-token", "REPLACE_WITH_PASSWORD")), ('token = "', "api_key: ", "password=", 'secret = "')),
             (lambda: draw("0123456789", r.randint(16, 24)), ("", "order ", "no. ", " ")),
             (lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r.randint(16, 24)), ("", "part ", "serial ", "sku ", "isin ")),
+            (lambda: long(lambda: word() + draw("0123456789", r.randint(0, 2)) + "." + joined(".", r.randint(1, 3)) + r.choice((".com", ".org", ".net", ".de"))), (f"{word()}@", f"{word()}.{draw('0123456789', 2)}@", f"{word()}:{word()}1!@", "://", "mailto:x@", "host=")),
+            (lambda: long(lambda: word() + draw("0123456789", r.randint(0, 2)) + "." + joined(".", r.randint(1, 3)) + r.choice((".com", ".org", ".net", ".de"))), (f"{word()}@", f"{word()}.{draw('0123456789', 2)}@", f"{word()}:{word()}1!@", "://", "mailto:x@", "host=")),
             (lambda: draw(base64, r.randint(60, 200)), ("integrity=sha512-", "data:image/png;base64,", "sha384-", "ssh-rsa ")),
         ))
         return value(), f"{prose(5)} {r.choice(befores)}", r.choice(("", " ", '" ', ". ", ")")) + prose(4), 0
@@ -220,7 +362,8 @@ def composed_findings(words: list[str], n: int = 3000, seed: int = 9) -> list[tu
         v, b, a, y = secret() if len(out) % 2 else benign()
         path = r.choice(paths if not y else paths[:6] + paths[-1:])
         # as a scan sees it
-        at = next(((i, c) for i, c in candidates(b + v + a) if i < len(b) + len(v) and i + len(c) > len(b)), None)
+        over = [(i, c) for i, c in candidates(b + v + a) if i < len(b) + len(v) and i + len(c) > len(b)]
+        at = (len(b), v) if (len(b), v) in over else next(iter(over), None)
         if at:
             i, c = at
             text = b + v + a
@@ -242,7 +385,7 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, ident: str = "doc_
     base.ship(spark)
     held = spark.sparkContext.broadcast(forest)
     kind = docs.schema[ident].dataType
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path")).filter(F.col("text").rlike(f"{_KEY}{{16}}"))
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path")).filter(F.col("text").rlike(PREFILTER))
     schema = pa.schema([("id", to_arrow_type(kind)), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string()), ("score", pa.float64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,20 +395,27 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, ident: str = "doc_
 
         def scored() -> pa.RecordBatch:
             score = forest.scores(np.array(numbers)) if numbers else np.zeros(0)
-            kept = [(*f, float(s)) for f, s in zip(found, score, strict=True) if s >= least]
+            kept, reach = [], (-1, 0)
+            for (row, *f), s in sorted(((f, float(s)) for f, s in zip(found, score, strict=True) if s >= least), key=lambda k: (k[0][0], k[0][2], -k[0][3])):
+                if (row, f[2]) > reach:
+                    kept.append((*f, s))
+                    reach = (row, f[2])
             found.clear()
             numbers.clear()
             return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], schema.field(i).type) for i in range(5)], schema=schema)
 
+        row = 0
         for whole in batches:
             for k in range(whole.num_rows):
                 ident, body, where = (whole.column(c)[k].as_py() for c in range(3))
+                row, end = row + 1, 0
                 for a, value in candidates(body):
+                    if len(found) >= BATCH and a >= end:  # not between candidates that overlap
+                        yield scored()
                     b = a + len(value)
-                    found.append((ident, a, b, value))
+                    end = max(end, b)
+                    found.append((row, ident, a, b, value))
                     numbers.append(features(value, body[max(0, a - NEAR) : a], body[b : b + NEAR], where or "", forest.words))
-                    if len(found) >= BATCH:
-                        yield scored()
         yield scored()
 
     return rows.mapInArrow(find, f"id {kind.simpleString()}, start long, end long, secret string, score double").withColumnRenamed("id", ident)

@@ -62,3 +62,27 @@ def test_odd_rows(spark, forest):
     assert secrets.scan(H.empty(spark), forest).count() == 0
     assert secrets.scan(docs, forest, path=None).count() == 0
     assert secrets.Forest([], frozenset()).scores(np.zeros((2, 3))).tolist() == [0, 0]
+
+
+def test_short_and_broken_secrets(spark, forest):
+    """Named values of 8 to 15 characters, user:password@host, and passwords with signs inside are found whole."""
+    want = {
+        1: ('then password="Tr0ub4dor" and on', "Tr0ub4dor"),
+        2: ("words pwd: zq84kLmw2 words", "zq84kLmw2"),
+        3: ("export CLIENT_SECRET=ab12cd34ef56", "ab12cd34ef56"),
+        4: ("see postgres://admin:s3cr3t-pw9@db.example.com/main for it", "s3cr3t-pw9"),
+        5: ("😀 password=k9#mP2$vL8@qR5&tW1!xZ7 words", "k9#mP2$vL8@qR5&tW1!xZ7"),
+        6: ("(Password: Summer!2024%).", "Summer!2024%"),
+        7: ("Server=db;Password=h7!Kq2$z;User=sa", "h7!Kq2$z"),
+        8: ('{"password": "x8 Qm#4 Lz!9"}', "x8 Qm#4 Lz!9"),
+    }
+    benign = ["the key: important words", 'password = "changeme"', "password=${DB_PASS}", "mailto:someone@example.com", "max_tokens: 100000", "token: string", "password: ********", "author: anhely", "secret=os.getenv('SECRET')"]
+    rows = [(d, t, "a") for d, (t, _) in want.items()] + [(100 + i, t, "a") for i, t in enumerate(benign)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest).collect()
+    assert sorted((r["doc_id"], r["secret"]) for r in got) == [(d, s) for d, (_, s) in want.items()]
+    assert all(want[r["doc_id"]][0][r["start"] : r["end"]] == r["secret"] for r in got)
+
+
+def test_candidates_take_linear_time():
+    for text in ("token=" * 40_000, "a:b@c" * 40_000, "key=x&" * 40_000, "key=" + ")" * 200_000, 'key="' + "a " * 100_000, "token:'a \"" * 20_000):
+        assert sum(1 for _ in secrets.candidates(text)) <= 40_000
