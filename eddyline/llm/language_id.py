@@ -8,12 +8,15 @@ of the host, smoothed towards its domain, which is smoothed towards the whole. H
 trusted, and the priors, come from grouped sums of the text posteriors over all pages, so a site
 that declares one language and writes another is not believed. A page's own posterior is taken out of its host's sums.
 
-Scale. Trigrams of at most ``sample`` labelled documents are counted, in tables of BUCKETS rows per language;
-evidence codes are at most 26 x 26 and a few more, so their tables go to every executor. Host and
+Scale. Every language that has labelled documents is kept. Of each, those documents are counted whose hashed id begins with
+so many zero bits, as many as leave ``sample`` or more (about twice that at most); of a language with fewer, all. Trigrams have
+BUCKETS buckets, halved until languages x buckets are at most CELLS, so the model's size is bounded and many languages cost
+precision, not languages; a page's numbers are as many as there are languages. Evidence codes are at most 26 x 26 and a few more, so their tables go to every executor. Host and
 domain sums are made within tasks first and joined by the host through a shuffle that Spark may split.
 
 Defined results: a page without text, markup or address gets the prior; equal posteriors are settled by
-the code's order; without labelled documents the language is null; several pages with one id are
+the code's order; without labelled documents the language is null, and languages
+without any are never an answer; several pages with one id are
 rows of their own; an empty table gives an empty table; columns of the input that have an output's name are replaced.
 """
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from eddyline.llm import base, text_hash
 from eddyline.llm.html_extract import extract
 
-SAMPLE, LANGUAGES, BUCKETS = 4000, 64, 1 << 16
+SAMPLE, BUCKETS, CELLS = 4000, 1 << 16, 1 << 23
+#: Numbers that are gathered at a time.
+TILE = 1 << 21
 EFFECTIVE = 40.0
 #: Pseudo-counts: of evidence codes, and of a level of the host hierarchy by the level above.
 SMALL, SHRINK = 0.5, 5.0
@@ -51,29 +56,34 @@ def trigrams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_model(docs: DataFrame, sample: int = SAMPLE, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of every bucket in each: buckets x languages."""
-    known = docs.select(F.col(ident).alias("id"), F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    ids = known.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)  # as many rows as sample says, so to every executor
-    rows = known.join(F.broadcast(base.written(ids.distinct(), "lang-ids")), "id").select("lang", "text")
+    hashed = F.xxhash64(F.col(ident), F.when(F.col(ident).isNull(), F.col(text)))
+    zeros = F.lit(64) - F.length(F.bin(hashed))  # that a hash begins with
+    known = docs.select(zeros.alias("zeros"), F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    held: dict[str, list[int]] = {}
+    for r in known.groupBy("lang", "zeros").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 64 rows a language
+        held.setdefault(r["lang"], [0] * 64)[r["zeros"]] = r["n"]
+    langs = sorted(held)
+    least = [max((k for k in range(64) if sum(held[x][k:]) >= sample), default=0) for x in langs]
+    buckets = BUCKETS
+    while buckets > 256 and buckets * len(langs) > CELLS:
+        buckets //= 2
+    drawn = docs.sparkSession.createDataFrame(list(zip(langs, range(len(langs)), least, strict=True)), "lang string, place long, least int")
+    rows = known.join(F.broadcast(drawn), "lang").filter("zeros >= least").select("place", "text")  # one row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in text_hash.slices(whole.column(1)):
                 batch = whole.slice(*part)
-                langs = batch.column(0).to_pylist()
                 h, ends = trigrams(batch.column(1))
-                names = sorted(set(langs))
-                row = np.repeat([names.index(x) for x in langs], np.diff(ends))
-                cell, n = np.unique(row * BUCKETS + h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cell // BUCKETS], pa.string()), pa.array(cell % BUCKETS), pa.array(n)], names=["lang", "h", "n"])
-
-    sums = base.written(rows.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "lang-trigrams")
-    top = [r[0] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = sums.filter(F.col("lang").isin(top)).toArrow()  # at most LANGUAGES x BUCKETS rows
-    langs = sorted(top)
-    counts = np.full((BUCKETS, len(langs)), 0.1)
-    place = {x: i for i, x in enumerate(langs)}
+                row = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+                cell, n = np.unique(row * buckets + h % buckets, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    counts = np.full((buckets, len(langs)), 0.1)
     if langs:
-        np.add.at(counts, (table.column("h").to_numpy(), np.array([place[x] for x in table.column("lang").to_pylist()], int)), table.column("n").to_numpy())
+        table = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets rows
+        cell = table.column("cell").to_numpy()
+        counts[cell % buckets, cell // buckets] += table.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
@@ -83,11 +93,29 @@ def _code(c: Column) -> Column:
     return F.when(c.rlike("^[a-z]{2}$"), c).otherwise("none")
 
 
-def _normal(logs: list[Column]) -> list[Column]:
-    """Logarithms to probabilities that sum to 1."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    total = sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top))
-    return [F.exp(x - top) / total for x in logs]
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Rows of logarithms to probabilities that sum to 1."""
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
+def likelihood(array: pa.Array, logs: np.ndarray) -> np.ndarray:
+    """Tempered log-likelihoods of texts: texts x languages."""
+    out, width = np.zeros((len(array), logs.shape[1])), max(1, TILE // logs.shape[1])
+    for start, n in text_hash.slices(array):
+        h, ends = trigrams(array.slice(start, n))
+        h, size = h % len(logs), np.diff(ends)
+        owner = np.repeat(np.arange(start, start + n), size)
+        for at in range(0, len(h), width):
+            own = owner[at : at + width]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] += np.add.reduceat(logs[h[at : at + width]], first, axis=0, dtype=np.float64)
+        out[start : start + n] *= np.minimum(1.0, EFFECTIVE / np.maximum(size, 1))[:, None]
+    return out
 
 
 def identify(
@@ -107,58 +135,46 @@ def identify(
     }).withColumns({"__domain": F.substring_index("__host", ".", -2), "suffix": F.concat_ws("/", "__tld", "__path")})
     if not langs:
         return coded.drop("__host", "__tld", "__path", "__domain").withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "text_lang": F.lit(None).cast("string")})
-    held = pages.sparkSession.sparkContext.broadcast(logs)
+    held, width = pages.sparkSession.sparkContext.broadcast(logs), len(langs)
 
     @F.arrow_udf("array<double>")
     def likelihoods(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Log-likelihoods, then posteriors by the text alone."""
         for array in batches:
-            out = []
-            for start, n in text_hash.slices(array):
-                h, ends = trigrams(array.slice(start, n))
-                sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(held.value[h], axis=0, dtype=np.float64)])
-                count = np.diff(ends)[:, None]
-                out.append((sums[ends[1:]] - sums[ends[:-1]]) * np.minimum(1.0, EFFECTIVE / np.maximum(count, 1)))
-            flat = np.concatenate(out).ravel() if out else np.zeros(0)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(langs), dtype=np.int32)), pa.array(flat))
-
-    seen = coded.withColumn("__ll", likelihoods(text)).withColumns({f"__t{i}": F.get("__ll", F.lit(i)) for i in range(len(langs))}).drop("__ll")
-    every = range(len(langs))
-    seen = seen.withColumns({f"__p{i}": p for i, p in enumerate(_normal([F.col(f"__t{i}") for i in every]))})
-    seen = base.written(seen, "lang-seen")
-    sums = [F.sum(f"__p{i}").alias(f"__s{i}") for i in every]
-    whole = seen.agg(*sums).first()
-    total = [float(x or 0.0) + SMALL for x in whole]
-    prior = [x / sum(total) for x in total]
+            ll = likelihood(array, held.value)
+            yield _lists(np.concatenate([ll, _normal(ll)], axis=1) if len(ll) else np.zeros((0, 2 * width)))
+
+    seen = base.written(coded.withColumn("__lp", likelihoods(text)), "lang-seen")
+    sums = F.array(*[F.sum(F.get("__lp", F.lit(width + i))) for i in range(width)]).alias("__sums")
+    total = np.array([float(x or 0.0) + SMALL for x in seen.agg(sums).first()[0]])
 
     out = seen
-    for code in ("declared", "__tld", "__path"):
+    codes, levels = ("declared", "__tld", "__path"), ("__domain", "__host")
+    for code in codes:
         # codes are two letters or none: at most 677 rows
-        by = base.written(seen.groupBy(code).agg(*sums), "lang-codes").withColumnsRenamed({f"__s{i}": f"{code}_{i}" for i in every})
+        by = base.written(seen.groupBy(code).agg(sums), "lang-codes").withColumnRenamed("__sums", f"{code}_s")
         out = out.join(F.broadcast(by), code)
-    for level in ("__domain", "__host"):
-        by = base.written(seen.groupBy(level).agg(*sums).withColumnRenamed(level, "__level"), "lang-hosts")
-        out = out.join(by, F.col(level) == F.col("__level")).drop("__level").withColumnsRenamed({f"__s{i}": f"{level}_{i}" for i in every})
-    own = [F.col(f"__p{i}") for i in every]
-    evidence = []
-    for i in every:
-        x = F.col(f"__t{i}")
-        for code in ("declared", "__tld", "__path"):
-            # P(code | language), without this page
-            x = x + F.log((F.greatest(F.lit(0.0), F.col(f"{code}_{i}") - own[i]) + SMALL) / (total[i] + SMALL * 677))
-        evidence.append(x)
-    smoothed = [F.lit(p) for p in prior]
-    for level in ("__domain", "__host"):
-        others = [F.greatest(F.lit(0.0), F.col(f"{level}_{i}") - own[i]) for i in every]
-        n = sum(others[1:], others[0])
-        smoothed = [(o + SHRINK * s) / (n + SHRINK) for o, s in zip(others, smoothed, strict=True)]
-    posterior = _normal([e + F.log(s) for e, s in zip(evidence, smoothed, strict=True)])
-    best = lambda ps: F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(ps)]))
-    name = lambda b: F.element_at(F.array(*map(F.lit, langs)), 1 - b["i"])
-    return (
-        out.withColumns({"__b": best(posterior), "__tb": best(own)})
-        .withColumns({"lang": name(F.col("__b")), "confidence": F.col("__b")["p"], "text_lang": name(F.col("__tb"))})
-        .select(*pages.columns, *OUTPUTS)
-    )
+    for level in levels:
+        by = base.written(seen.groupBy(F.col(level).alias("__level")).agg(sums), "lang-hosts").withColumnRenamed("__sums", f"{level}_s")
+        out = out.join(by, F.col(level) == F.col("__level")).drop("__level")
+
+    @F.arrow_udf("struct<lang: string, confidence: double, text_lang: string>")
+    def fused(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        names = pa.array(langs, pa.string())
+        for arrays in batches:
+            lp, *by = (a.flatten().to_numpy().reshape(len(a), -1) if len(a) else np.zeros((0, 2 * width)) for a in arrays)
+            x, own = lp[:, :width], lp[:, width:]
+            by = [np.maximum(0.0, b[:, :width] - own) for b in by]  # without this page
+            for others in by[: len(codes)]:
+                x = x + np.log((others + SMALL) / (total + SMALL * 677))  # P(code | language)
+            prior = total / total.sum()
+            for others in by[len(codes) :]:
+                prior = (others + SHRINK * prior) / (others.sum(axis=1, keepdims=True) + SHRINK)
+            p = _normal(x + np.log(prior)) if len(x) else x
+            best, by_text = (names.take(pa.array(q.argmax(axis=1))) for q in (p, own))
+            yield pa.StructArray.from_arrays([best, pa.array(p.max(axis=1) if len(p) else [], pa.float64()), by_text], ["lang", "confidence", "text_lang"])
+
+    return out.withColumn("__f", fused("__lp", *[f"{c}_s" for c in codes + levels])).select(*pages.columns, *[F.col("__f")[o].alias(o) if o in ("lang", "confidence", "text_lang") else o for o in OUTPUTS])
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

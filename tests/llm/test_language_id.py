@@ -61,3 +61,26 @@ def test_odd_rows(spark, model):
     assert language_id.identify(pages.limit(0), model).count() == 0
     none = language_id.text_model(H.empty(spark))
     assert none[0] == [] and {r["lang"] for r in language_id.identify(pages, none).collect()} == {None}
+
+
+def test_every_labelled_language_is_kept(spark):
+    """More than 64 languages, one of them with 3 of 6,603 documents: all are in the model, and pages get them."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    langs = [a + b for a in "qrs" for b in alphabet][:66]
+    text = lambda k: " ".join(f"{alphabet[k % 26]}{alphabet[k // 26]}{alphabet[(7 * k + j) % 26]}{alphabet[(3 * k + j * j) % 26]}" for j in range(60))
+    rows = [(i, text(i % 66), langs[i % 66], "a", 0) for i in range(6600)] + [(10_000 + i, text(70), "zz", "a", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, H.DOC)
+    model = language_id.text_model(docs, sample=40)
+    assert model[0] == sorted([*langs, "zz"]) and model[1].shape == (language_id.BUCKETS, 67)
+    pages = spark.createDataFrame([(k, f"http://h{k}.example.org/", text(k), "") for k in range(66)] + [(70, "http://z.example.org/", text(70), "<html lang=zz>"), (71, "http://z.example.org/b", "", "<html lang=zz>")], PAGE)
+    got = {r["page_id"]: r["lang"] for r in language_id.identify(pages, model).collect()}
+    assert got == {**{k: langs[k] for k in range(66)}, 70: "zz", 71: "zz"}
+
+
+def test_sample_of_each_language_and_model_size_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "abc" if i % 100 else "xyz", "aa" if i % 100 else "bb", "a", 0) for i in range(4000)], H.DOC)
+    taken = lambda logs: 1 / (np.exp(logs.min(axis=0).astype(float)) / 0.1) - 0.1 * len(logs)  # noqa: E731  # one trigram a document
+    langs, logs = language_id.text_model(docs, sample=100)
+    assert langs == ["aa", "bb"] and 100 <= taken(logs)[0] < 400 and round(taken(logs)[1]) == 40
+    monkeypatch.setattr(language_id, "CELLS", 1024)
+    assert language_id.text_model(docs, sample=100)[1].shape == (512, 2)
