@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over documents, each written to the shared folder and read again by the next.
 
 Every stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a
-DataFrame. All but the last return the columns of documents; the last returns, for every document
-that is left, how many of its words the mix takes (0 where it takes none).
+DataFrame. All but the last return the columns of documents; the last adds, for every document
+that is left, how many of its words the mix takes (0 where it takes none). ``mixed`` gives the corpus that this makes.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights."""
-    return mixing.mix(docs)
+    """Mixes the sources to their target weights: documents, and how much of each is taken."""
+    return mixing.mix(docs, carry=True)
 
 
 STAGES = [
@@ -54,3 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = base.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: documents as often as the mix takes them, the last copy cut to its words."""
+    return mixing.repeated(run(spark, sf_dir))

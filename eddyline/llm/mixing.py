@@ -4,9 +4,10 @@ Method. Every document gets the key -ln(u) / w with u a hash of its id in (0, 1)
 weight; documents sorted by key within a source form a weighted random order without replacement.
 A source's token target first takes whole epochs of the source, then documents of that order until
 the prefix sum reaches what remains; the document on that line gives the words up to it, so
-that targets are met exactly.
+that targets are met exactly. ``mix`` gives the counts, with the texts if asked to; ``mixed`` gives the mixed corpus.
 
-Scale. One slim row per document (id, source, size, key) is written; texts are read once. Prefix
+Scale. One slim row per document (id, source, size, key) is written; texts are read once, and again where they are carried:
+then only those in a bucket with a line are shuffled. Prefix
 sums have two levels: keys fall into about sqrt(n) buckets per source, bucket sums are added up in
 order, and only the one bucket that a source's line crosses is sorted document by document. No
 step gathers a source in one task, so a source with a third of all rows costs as much as any other.
@@ -81,15 +82,18 @@ def mix(
     text: str = "text",
     source: str = "source",
     weight: Column | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: the id, source, size in words, source_size, target and taken words.
 
-    weight: a column of quality weights; quality() of the text where none is given.
+    weight: a column of quality weights; quality() of the text where none is given. carry: all input columns come along.
     """
     size = base.word_count(F.col(text))
-    sized = docs.select(F.col(ident).alias("id"), F.col(source).alias("source"), size.alias("size"), (quality(F.col(text), size) if weight is None else weight).alias("w"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in base.fresh(docs, *OUTPUTS).columns]).alias("__row")] if carry else []
+    sized = docs.select(F.col(ident).alias("id"), F.col(source).alias("source"), size.alias("size"), (quality(F.col(text), size) if weight is None else weight).alias("w"), *row)
     held = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("w", F.lit(1.0))))
-    slim = base.written(sized.withColumn("key", -F.log(uniform(F.col("id"), seed)) / held).drop("w"), "mix-slim")
+    keyed = sized.withColumn("key", -F.log(uniform(F.col("id"), seed)) / held).drop("w")
+    slim = base.written(keyed.drop("__row"), "mix-slim")
 
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = base.written(sources, "mix-sources")
@@ -116,11 +120,11 @@ def mix(
     )
     line = base.written(line, "mix-line")
     lined = plan.join(line, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls")
-    placed = slim.join(base.sized(lined, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
+    placed = (keyed if carry else slim).join(base.sized(lined, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
     # without a line the rest is nothing (target = epochs), or rounding left it at the source's size
     whole = F.when(F.col("line").isNull(), F.col("rest") > 0).otherwise(F.col("bucket") < F.col("line"))
     on_line = F.coalesce(F.col("bucket") == F.col("line"), F.lit(False))
-    out = [F.col("id").alias(ident), F.col("source").alias(source), "size", "source_size", "target"]
+    out = [*(["__row.*"] if carry else [F.col("id").alias(ident), F.col("source").alias(source)]), "size", "source_size", "target"]
     taken = lambda part: (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     away = placed.filter(~on_line).select(*out, taken(F.when(whole, F.col("size")).otherwise(0)))
     order = Window.partitionBy("source").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,6 +134,26 @@ def mix(
     return away.unionByName(there)
 
 
+def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mixed corpus: options as mix() takes them. See repeated()."""
+    return repeated(mix(docs, text=text, carry=True, **options), text)
+
+
+def repeated(plan: DataFrame, text: str = "text") -> DataFrame:
+    """What mix() with carry says, carried out: every document as often as it is taken, numbered by repeat from 1.
+
+    The last copy is cut behind its last word where it is not taken whole; other columns, such as counts of
+    characters, stay as they were. Documents of which nothing is taken are left out.
+    """
+    size, taken = F.col("size"), F.col("taken")
+    columns = base.fresh(plan, *OUTPUTS, "repeat").columns
+    copies = base.fresh(plan, "repeat").filter(taken > 0).withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size).cast("long"))))
+    pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each a word behind its blanks
+    left = taken - (F.col("repeat") - 1) * size
+    part = F.when(left >= size, F.col(text)).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.lit(1), F.least(left, size)).cast("int")), ""))
+    return copies.withColumn(text, part).select(*[F.col(f"`{c}`") for c in columns], "repeat")
+
+
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -44,3 +44,25 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, " ", "en", "a", 1)]])
 def test_nothing_to_take(spark, rows):
     assert [r["taken"] for r in mixing.mix(spark.createDataFrame(rows, H.DOC)).collect()] == [0] * len(rows)
+
+
+def test_mixed_rows(spark):
+    """Copies with all columns: as many words as are taken, prefixes of the texts, whole but for the last of each source."""
+    rows = [(i, f" w{i}" + "\t b\n c" * (i % 9), "en", f"s{i % 3}", i) for i in range(600)] + [(7, "other words", None, None, 1), (None, None, "en", "s1", 0), (8, " ", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, H.DOC).withColumns({"w": F.lit("w"), "key": F.lit("k"), "s": F.col("doc_id"), "repeat": F.lit(9)})
+    taken = sorted((r["doc_id"], r["source"] or "", r["taken"]) for r in mixing.mix(docs).collect() if r["taken"])
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns[:-1], "repeat"]
+    texts = {(r[0], r[3] or ""): r[1] for r in rows}
+    words, cut, copies = {}, {}, {}
+    for r in got.collect():
+        k = (r["doc_id"], r["source"] or "")
+        assert texts[k].startswith(r["text"]) and r["w"] == "w" and r["s"] == r["doc_id"]
+        words[k] = words.get(k, 0) + len(r["text"].split())
+        copies.setdefault(k, []).append(r["repeat"])
+        if r["text"] != texts[k]:
+            cut[k[1]] = cut.get(k[1], 0) + 1
+    assert sorted((*k, n) for k, n in words.items()) == taken
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in copies.values()) and max(map(len, copies.values())) == 2
+    assert cut and max(cut.values()) == 1
+    assert mixing.mixed(docs.limit(0)).count() == 0
