@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.sources import scratch
 
@@ -11,8 +12,10 @@ from eddyline.sources import scratch
 BLANK = r"[\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch to a Python worker.
 ARROW_BATCH = str(8 << 20)
-#: Rows, of bounded width, that a table may have to be sent to every executor.
+#: Rows that a table may have to be sent to every executor.
 BROADCAST_ROWS = 1_000_000
+#: And their bytes together.
+BROADCAST_BYTES = 64 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -34,15 +37,67 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table in the shared folder: computed once, lineage cut, safe to reread."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.written(df, name)
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's value in a row, about."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
 
 
 def sized(table: DataFrame, rows: int | None = None) -> DataFrame:
-    """table, marked for every executor if it has at most so many rows, by count; else as it is, for a shuffle."""
+    """table, marked for every executor if it has at most so many rows and BROADCAST_BYTES bytes, by count; else as it
+    is, for a shuffle. table: one that is cheap to read, such as a written one."""
     most = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    width = sum((_width(f) for f in table.schema.fields), F.lit(0))
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if n <= most and size <= BROADCAST_BYTES else table
+
+
+def smallest(df: DataFrame, by: Column, k: int, *then: str) -> DataFrame:
+    """The k rows of the smallest numbers in by, a hash of 64 bits; equal ones in order of the columns then.
+
+    Rows are counted by the first bits of the hash, so that little more than k of them reach the task that sorts.
+    """
+    bits = 12
+    cell = F.shiftright(by, 64 - bits)
+    held = dict(df.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2 ** bits rows
+    last, total = None, 0
+    for c in sorted(held):
+        last, total = c, total + held[c]
+        if total >= k:
+            break
+    few = df if last is None else df.filter(cell <= last)
+    return few.orderBy(by, *then).limit(k)
+
+
+def most_frequent(counted: DataFrame, n: str, k: int, *then: str) -> DataFrame:
+    """The k rows of the largest numbers in n, which are counts; equal ones in order of the columns then. counted: a written table.
+
+    Rows are counted by the size of n first, so that little more than k of them reach the task that sorts.
+    """
+    cell = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    held = dict(counted.filter(F.col(n) > 0).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("m")).collect())  # at most 512 rows
+    last, total = None, 0
+    for c in sorted(held, reverse=True):
+        last, total = c, total + held[c]
+        if total >= k:
+            break
+    few = counted if last is None else counted.filter((F.col(n) > 0) & (cell >= last))
+    return few.orderBy(F.desc(n), *then).limit(k)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """name, or the like of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,17 +1,21 @@
 """Exact deduplication as a stateful stream.
 
-Method. Each text is normalised and digested (SHA-256); slim rows (digest, id, locator) go to an
+Method. Each text is normalised and digested (SHA-256); slim rows (digest, batch, id, locator) go to an
 inbox folder. A stream over that folder keeps, in disk-backed keyed state (RocksDB) that never
-expires, one entry per digest: the smallest id seen, the locator of that row's content and the
-number of rows. Spark sums within each task before the shuffle, so a text that a third of all rows
-share reaches the state as one row per task. State outlives a call: give ``state_dir`` again
-and later batches are matched against all earlier ones. On hits (digests with more than one row in
-the batch) the full bytes are compared: the hit rows' contents are grouped by (digest, content),
-again summed within tasks first. Texts that share a digest without being equal, should that ever
-happen, become groups of their own.
-
-Defined results: null equals the empty text; equal rows with the same id each get a row of the
-assignment, and one of them stays; a null id sorts last; an empty table gives an empty table;
+expires, one entry per digest: the first row seen (of a batch, that with the smallest id) with the locator of its content, and
+the number of rows. Spark sums within each task before the shuffle, so a text that a third of all rows
+share reaches the state as one row per task. What the stream puts out for a batch are the entries of that batch's digests, no others.
+On hits (digests with more than one row so far) full bytes are compared: the contents of the batch's hit rows, and those of first rows
+of earlier batches, read by their locators, are grouped by (digest, content), again summed within tasks first. Texts that share a digest
+without being equal, should that ever happen, become groups of their own, over all batches.
+
+Batches. State outlives a call: give ``state_dir`` again and later batches are matched against all earlier ones.
+``batch`` names a batch. Given again, as after a driver was lost, it counts nothing twice and has the result that it had; one that
+was left unfinished is finished before another is taken in. A locator is the file that a row came from and its id; rows that came from no file
+(made in the session, or behind a shuffle) have their contents saved in the state_dir. Files that locators name have to stay.
+
+Defined results: null equals the empty text; a row whose text came in an earlier batch is not kept, whatever its id; equal rows
+with the same id each get a row of the assignment, and one of them stays; a null id sorts last; an empty table gives an empty table;
 other columns pass through, save those that have an output's name.
 """
 
@@ -20,10 +24,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.llm import base
+from eddyline.sources import scratch
 
 OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 _CONF = {
@@ -47,40 +52,92 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _first(ident: str, *more: str) -> Column:
-    """The smallest id, null last, with what belongs to its row."""
-    return F.min(F.struct(F.col(ident).isNull().alias("missing"), ident, *more))
-
-
-def ingest(slim: DataFrame, state_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Takes slim rows (digest, id, locator) into the keyed state kept in state_dir.
-
-    Returns the rows as they lie in the inbox, and the whole state: digest, keep_id, keep_locator, n.
-    """
-    spark = slim.sparkSession
-    batch = f"{state_dir}/inbox/{uuid.uuid4().hex}"
-    slim.write.parquet(batch)
-    before = {k: spark.conf.get(k, None) for k in _CONF}
-    for k, v in _CONF.items():
-        spark.conf.set(k, v)
-    try:
-        inbox = spark.readStream.schema(slim.schema).parquet(f"{state_dir}/inbox/*")
-        heads = inbox.groupBy("digest").agg(_first("id", "locator").alias("head"), F.count(F.lit(1)).alias("n"))
-        heads.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{state_dir}/state").trigger(
-            availableNow=True
-        ).start().awaitTermination()
-        state = spark.read.format("statestore").load(f"{state_dir}/state")
-        head, n = (next(x for x in state.schema["value"].dataType.names if x.startswith(p)) for p in ("min", "count"))
-        kept = state.select(
-            "key.digest",
-            F.col("value")[head]["id"].alias("keep_id"),
-            F.col("value")[head]["locator"].alias("keep_locator"),
-            F.col("value")[n].alias("n"),
-        )
-        return spark.read.schema(slim.schema).parquet(batch), base.written(kept, "exact-heads")
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def _first(*more: str) -> Column:
+    """The first batch's smallest id, null last, with what belongs to its row."""
+    return F.min(F.struct("batch", F.col("id").isNull().alias("missing"), "id", *more))
+
+
+class Inbox:
+    """A state_dir: slim rows by batch, the stream's state, and what it put out for each batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def places(self) -> dict[str, int]:
+        """The batches taken in, with their order."""
+        return {n[9:]: int(n[:8]) for n in scratch.listed(self.spark, f"{self.path}/inbox")}
+
+    def folder(self, kind: str, name: str) -> str:
+        return f"{self.path}/{kind}/{self.places()[name]:08d}-{name}"
+
+    def put(self, name: str, slim: Callable[[int], DataFrame]) -> None:
+        """Takes in slim rows under a batch's name, if that is new: written elsewhere, then renamed."""
+        if name in self.places():
+            return
+        place = max(self.places().values(), default=-1) + 1
+        staged = f"{self.path}/staged/{name}"
+        slim(place).write.mode("overwrite").parquet(staged)
+        scratch.moved(self.spark, staged, f"{self.path}/inbox/{place:08d}-{name}")
+
+    def rows(self, name: str | None = None) -> DataFrame:
+        """A batch's slim rows, or those of all."""
+        return self.spark.read.parquet(self.folder("inbox", name) if name else f"{self.path}/inbox/*")
+
+    def unfinished(self) -> list[str]:
+        return [n for n in self.places() if not scratch.complete(self.spark, self.folder("heads", n))]
+
+    def finish(self, name: str) -> None:
+        """Runs the stream over the one batch that it has not seen. What was run but not recorded runs again from the state before."""
+        spark, to = self.spark, self.folder("heads", name)
+        before = {k: spark.conf.get(k, None) for k in _CONF}
+        for k, v in _CONF.items():
+            spark.conf.set(k, v)
+        try:
+            inbox = spark.readStream.schema(self.rows(name).schema).parquet(f"{self.path}/inbox/*")
+            heads = inbox.groupBy("digest").agg(_first("file").alias("head"), F.count(F.lit(1)).alias("n"))
+            write = lambda df, _: df.write.mode("overwrite").parquet(to)
+            heads.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{self.path}/state").trigger(
+                availableNow=True
+            ).start().awaitTermination()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def heads(self, name: str) -> DataFrame:
+        """digest, head (batch, missing, id, file) and n of every digest of a batch, as they were after it."""
+        return self.spark.read.parquet(self.folder("heads", name))
+
+    def keep_contents(self, name: str, contents: DataFrame) -> None:
+        """Saves the contents (id, content) of a batch whose rows came from no file."""
+        to = self.folder("contents", name)
+        if not scratch.complete(self.spark, to):
+            contents.write.mode("overwrite").parquet(to)
+
+    def keep_collided(self, name: str, digests: DataFrame) -> None:
+        """Records digests that different contents share, if there are any."""
+        if not digests.isEmpty():
+            digests.write.mode("overwrite").parquet(self.folder("collided", name))
+
+    def collided(self, before: int) -> DataFrame | None:
+        found = [n for n in scratch.listed(self.spark, f"{self.path}/collided") if int(n[:8]) < before]
+        return self.spark.read.parquet(*[f"{self.path}/collided/{n}" for n in found]).distinct() if found else None
+
+    def located(self, wanted: DataFrame, ident: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
+        """wanted: digest, batch, id, file. Returns digest, batch, id, content of what the locators name."""
+        wanted = base.written(wanted.distinct(), "exact-wanted")
+        batches = {place: name for name, place in self.places().items()}
+        found = []
+        files = sorted(r[0] for r in wanted.select("file").distinct().filter("file != ''").collect())  # as many as a scan lists
+        if files:
+            read = self.spark.read.parquet(*files).select(F.input_file_name().alias("f"), F.col(ident).alias("i"), normalised(F.col(text)).alias("content"))
+            found.append(read.join(base.sized(wanted), (F.col("f") == F.col("file")) & F.col("i").eqNullSafe(F.col("id"))).select("digest", "batch", "id", "content"))
+        for place in sorted(r[0] for r in wanted.filter("file = ''").select("batch").distinct().collect()):
+            read = self.spark.read.parquet(self.folder("contents", batches[place])).withColumnRenamed("id", "i")
+            found.append(read.join(base.sized(wanted.filter((F.col("batch") == place) & (F.col("file") == ""))), F.col("i").eqNullSafe(F.col("id"))).select("digest", "batch", "id", "content"))
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out.filter(digest(F.col("content")) == F.col("digest"))
 
 
 def assign(
@@ -89,57 +146,78 @@ def assign(
     text: str = "text",
     state_dir: str | None = None,
     digest: Callable[[Column], Column] = sha256,
+    batch: str | None = None,
 ) -> DataFrame:
     """One slim row per row of docs: the id, keep_id, group_size, kept, text_sha256 (the digest).
 
-    With the state_dir of earlier calls, groups reach back to their rows: ids and sizes count
-    them too, and a row whose text came before is not kept.
+    With the state_dir of earlier calls, groups reach back to their rows: sizes count
+    them too, and a row whose text came before is not kept. batch: a name of these rows, of letters, digits and -; a new one by default.
     """
-    spark = docs.sparkSession
+    spark, name = docs.sparkSession, batch or uuid.uuid4().hex
+    inbox = Inbox(spark, state_dir or base.shared_path(spark, "exact-state"))
+    for n in inbox.unfinished():
+        inbox.finish(n)
     content = normalised(F.col(text))
-    rows, heads = ingest(
-        docs.select(
-            digest(content).alias("digest"), F.col(ident).alias("id"), F.concat_ws("#", F.input_file_name(), F.col(ident)).alias("locator")
-        ),
-        state_dir or base.shared_path(spark, "exact-state"),
-    )
-    rows = rows.select("digest", "id")
-    # the contents of hit rows, found by id (ids spread evenly) rather than by digest
-    hits = rows.join(heads.filter("n > 1").select("digest"), "digest", "left_semi").select(F.col("id").alias("hit")).distinct()
-    found = docs.select(F.col(ident).alias("id"), content.alias("content")).join(hits, F.col("id").eqNullSafe(F.col("hit")), "left_semi")
-    groups = (
-        found.groupBy(digest(F.col("content")).alias("digest"), "content")
-        .agg(_first("id").alias("head"), F.count(F.lit(1)).alias("n_equal"))
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("contents"))
-        .filter("contents > 1")
-    )
-    collided = base.written(groups.select("digest"), "exact-collided")
-    same = (
-        rows.join(heads, "digest")
-        .join(collided, "digest", "left_anti")
-        .select("id", "keep_id", F.col("n").alias("group_size"), "digest")
-    )
-    if collided.isEmpty():
-        out = same
-    else:
-        odd = docs.select(F.col(ident).alias("id"), content.alias("content")).withColumn("digest", digest(F.col("content"))).join(collided, "digest", "left_semi")
-        by_content = odd.groupBy("digest", "content").agg(_first("id").alias("head"), F.count(F.lit(1)).alias("group_size"))
-        out = same.unionByName(odd.join(by_content, ["digest", "content"]).select("id", F.col("head.id").alias("keep_id"), "group_size", "digest"))
-    return out.select(
-        F.col("id").alias(ident), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-
-
-def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", state_dir: str | None = None) -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts, with their columns as they are."""
-    kept = assign(docs, ident, text, state_dir).filter("kept").select(F.col(ident).alias("__id"), F.col("text_sha256").alias("__digest"))
-    return (
-        docs.withColumn("__own", sha256(normalised(F.col(text))))
-        .join(kept, F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
-        .dropDuplicates([ident, "__own"])
-        .drop("__own")
-    )
+    inbox.put(name, lambda place: docs.select(digest(content).alias("digest"), F.lit(place).alias("batch"), F.col(ident).alias("id"), F.input_file_name().alias("file")))
+    rows, place = inbox.rows(name), inbox.places()[name]
+    contents = docs.select(F.col(ident).alias("id"), content.alias("content"))
+    if state_dir and not rows.filter("file = ''").isEmpty():
+        inbox.keep_contents(name, contents)
+    if name in inbox.unfinished():
+        inbox.finish(name)
+    heads = inbox.heads(name)
+
+    many = heads.filter("n > 1").select("digest", "head")
+    with scratch.Scope(spark) as scope:
+        hits = base.written(rows.join(many.select("digest"), "digest", "left_semi").select(F.col("id").alias("hit")).distinct(), "exact-hits")
+        # found by id, as ids spread evenly and digests do not
+        found = contents.join(base.sized(hits), F.col("id").eqNullSafe(F.col("hit")), "left_semi")
+        seen = found.select(digest(F.col("content")).alias("digest"), "content").distinct()
+        earlier = many.filter(F.col("head.batch") < place).select("digest", "head.batch", "head.id", "head.file")
+        if place and not earlier.isEmpty():
+            seen = seen.union(inbox.located(earlier, ident, text, digest).select("digest", "content")).distinct()
+        collided = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
+        if known := inbox.collided(place):  # earlier, so that those count that came before
+            collided = collided.union(heads.join(known, "digest", "left_semi").select("digest")).distinct()
+        collided = base.written(collided, "exact-collided")
+        scope.keep(collided)
+    inbox.keep_collided(name, collided)
+
+    mine = heads.select("digest", F.col("head.batch").alias("keep_batch"), F.col("head.id").alias("keep_id"), "n")
+    out = rows.select("digest", "id").join(mine, "digest").select("id", "keep_batch", "keep_id", F.col("n").alias("group_size"), "digest")
+    if not collided.isEmpty():
+        every = inbox.rows().filter(F.col("batch") <= place).join(collided, "digest", "left_semi")  # of all batches so far
+        odd = contents.withColumn("digest", digest(F.col("content"))).join(collided, "digest", "left_semi").withColumn("batch", F.lit(place)).select("digest", "batch", "id", "content")
+        before = every.filter(F.col("batch") < place)
+        if not before.isEmpty():
+            odd = odd.unionByName(inbox.located(before.select("digest", "batch", "id", "file"), ident, text, digest))
+        odd = base.written(odd, "exact-odd")
+        by = odd.groupBy("digest", "content").agg(_first().alias("head"), F.count(F.lit(1)).alias("group_size"))
+        told = odd.filter(F.col("batch") == place).join(by, ["digest", "content"])
+        out = out.join(collided, "digest", "left_anti").unionByName(told.select("id", F.col("head.batch").alias("keep_batch"), F.col("head.id").alias("keep_id"), "group_size", "digest"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("keep_batch") == place)
+    return out.select(F.col("id").alias(ident), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", state_dir: str | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with their columns as they are.
+
+    Decided over slim rows: texts are read past the few ids that go. Only rows whose id others have too are told apart by their texts.
+    """
+    decided = assign(docs, ident, text, state_dir, batch=batch).select(F.col(ident).alias("id"), "kept", F.col("text_sha256").alias("digest"))
+    by = decided.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR NOT kept")
+    by = base.written(by, "exact-decided")
+    away = base.sized(by.select(F.col("id").alias("away")))
+    out = docs.join(away, F.col(f"`{ident}`").eqNullSafe(away["away"]), "left_anti")
+    again = base.sized(by.filter("n > 1").select(F.col("id").alias("again")))
+    if again.isEmpty():
+        return out
+    pairs = decided.filter("kept").join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").select(F.col("id").alias("again"), "digest").distinct()
+    pairs = base.written(pairs, "exact-again")
+    own = base.spare(docs, "own")
+    told = F.col(f"`{ident}`").eqNullSafe(pairs["again"]) & (F.col(own) == pairs["digest"])
+    repeated = docs.withColumn(own, sha256(normalised(F.col(text)))).join(base.sized(pairs), told, "left_semi")
+    return out.unionByName(repeated.dropDuplicates([ident, own]).drop(own))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
