@@ -7,8 +7,9 @@ likelihood with a Gaussian prior, and each page is decoded by Viterbi; blocks la
 text. The model is a few hundred numbers, trained once per driver in about a second from a fixed seed.
 
 Defined results: null, empty and text-less pages give an empty text; scripts, styles, comments of the
-markup, heads, forms' fields and elements that are hidden have no text; a br is white space within its block; a page of any
-length is read whole, one page at a time; equal rows get equal texts; an empty table gives an empty
+markup, titles and forms' fields have no text, and do not split the block that they are in; hidden elements and what is shown without
+scripts are blocks like others, with a feature that says so; a br is white space within its block; a page of any
+length is read whole, one page at a time, in time and memory that grow with its length; equal rows get equal texts; an empty table gives an empty
 table; columns of the input that have an output's name are replaced.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.llm import base
-from eddyline.llm.html_blocks import Block, blocks
+from eddyline.llm.html_blocks import NAMED, Block, blocks
 from eddyline.llm.html_training import MARK, labelled_pages
 
 TRAINING_PAGES, SEED = 800, 11
@@ -49,9 +50,9 @@ def _text_features(text: str, linked: int) -> list[str]:
 def features(block: Block) -> list[str]:
     around = block.around
     leaf = next(f for f in around if f[:5] == "leaf:")
-    out = [*around, *_text_features(block.text, block.linked)]
+    out = [*(around - {NAMED}), *_text_features(block.text, block.linked)]
     out += [f"{leaf}+{x}" for x in out[-5:]]
-    if "in:article" not in around and "in:main" not in around and not any(f[:5] == "name:" for f in around):
+    if "in:article" not in around and "in:main" not in around and NAMED not in around:
         out.append("plain")
     return out
 
@@ -63,6 +64,10 @@ class Model:
     moves: np.ndarray  # moves[a, b]: from label a to b
     start: np.ndarray
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.index)
+
     def decode(self, found: list[Block]) -> list[int]:
         """The most probable labels (Viterbi)."""
         if not found:
@@ -85,7 +90,7 @@ class Model:
         return labels[::-1]
 
     def text(self, page: str | None) -> str:
-        found = blocks(page or "")
+        found = blocks(page or "", self.known)
         return "\n".join(x.text for x, y in zip(found, self.decode(found), strict=True) if y)
 
 

@@ -105,6 +105,14 @@ class Pages:
     def footer(self) -> str:
         return self.box(self.any("", "<p>") + f"&copy; {self.any('2019', self.words(1, 1))} {self.prose(0, 3)}" + self.any("", self.links(2, 5)), ("footer", "footer"), ("footer", "bottom", "copyright", "legal", "colophon"), 0)
 
+    def unscripted(self) -> str:
+        return f"<noscript>{self.any(self.sentence(), f'<p>{self.prose(1, 2)}</p>', f'<div>{self.prose(1, 2)}</div>')}</noscript>"
+
+    def hidden(self) -> str:
+        """A part that is not shown at first."""
+        inner = self.any(self.links(), f"<p>{self.prose(1, 3)}</p>{self.link()}", f"<div>{self.words(1, 3)}</div>")
+        return f"<{(t := self.any('div', 'nav', 'section'))} {self.any('hidden', 'style=\"display:none\"')}>{inner}</{t}>"
+
     # the article
     def article(self, bare: bool) -> str:
         r, out = self.r, []
@@ -131,7 +139,8 @@ class Pages:
             elif x < 0.97:
                 out.append(f"<figure><img src=x><figcaption>{mark(self.sentence())}</figcaption></figure>")
             else:
-                out.append(f"<div>{mark(self.prose(1, 8))}</div>")
+                shut = self.any("", "", " hidden", ' style="display: none"')  # what opens at a click
+                out.append(f"<{(t := self.any('div', 'p', 'section') if shut else 'div')}{shut}>{mark(self.prose(1, 8))}</{t}>")
             if r.random() < 0.07:
                 out.append(self.any(self.ad(), self.share(), self.sidebar()) if not bare else self.ad())
         inner = "".join(out)
@@ -159,11 +168,12 @@ class Pages:
         r.shuffle(before)
         if r.random() < 0.12:
             before = []
+        before = [some(0.12, self.unscripted), some(0.08, self.hidden), *before]
         after = [some(0.35, self.sidebar), some(0.35, self.comments), some(0.2, self.ad), some(0.2, self.share), some(0.2, self.form)]
         r.shuffle(after)
         return (
             f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>" + "".join(before) + self.article(r.random() < 0.12)
-            + "".join(after) + some(0.8, self.footer) + some(0.1, self.notice) + "</body></html>"
+            + "".join(after) + some(0.8, self.footer) + some(0.1, self.notice) + some(0.15, self.hidden) + "</body></html>"
         )
 
 
