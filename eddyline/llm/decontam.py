@@ -4,14 +4,14 @@ Method. Texts are lower-cased (A-Z) and cut into words. Of every k consecutive w
 taken; of every w consecutive such hashes the smallest is a fingerprint. A span of k + w - 1 words
 that a document shares with a benchmark item has the same fingerprint in both, so joining
 fingerprints finds every document that could hold a window of that many words. The hits are then
-extended: all windows of the documents found are compared with the items' windows, word for word. Items
+extended: the windows of the documents found are compared with the items' windows, word for word. Items
 shorter than a window are one window of their own length, whose hash all documents' spans of
 that length are held against (nothing is computed for lengths that no item has).
 
-Scale. Only built-in functions; fingerprints are made within the scan and never collected. The
-items' fingerprints and windows go to every executor while they are at most
-``base.BROADCAST_ROWS`` rows, by count; beyond that the joins shuffle. A window that very many documents share costs one
-row for each document, dealt out by the join, and a document's matches meet by document.
+Scale. Only built-in functions; one scan gives both the documents' numbers of words and who of them has a fingerprint of an
+item, in one slim row for each document. The items' fingerprints and windows go to every executor while they are few and
+small enough (``base.sized``); beyond that the joins shuffle. A document's hits are places of distinct windows, however many
+items share a window; which items these are is looked up once for each document and window.
 
 Defined results: a null text, or one without words, is never hit; an item without words has no
 window; equal items all count; rows that repeat an id are told apart by their texts; empty
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.llm import base
+from eddyline.sources import scratch
 
 WINDOW = 10
 #: Words of a k-gram; fingerprints span WINDOW words, so WINDOW - K + 1 k-grams share one.
@@ -72,42 +73,10 @@ def contaminated(
 ) -> DataFrame:
     """One row per document: the id and the columns of OUTPUTS."""
     docs = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).withColumn("own", F.xxhash64("text"))
-    windows = base.written(item_windows(items, item, item_text), "decontam-windows")
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW values
-    short = [s for s in sizes if s < WINDOW]
-    # windows of full size are known by the winnowed fingerprint of their words
-    full = windows.filter(F.col("size") == WINDOW).select(F.split("win", " ").alias("w")).withColumn("g", _grams("w", K))
-    prints = full.select(F.explode(_fingerprints("g")).alias("h")).union(windows.filter(F.col("size") < WINDOW).select("h"))
-    prints = base.sized(base.written(prints.distinct(), "decontam-prints"))
-
-    worded = with_words(docs).withColumn("__grams", _grams("__words", K))
-    marks = [_fingerprints("__grams")] if WINDOW in sizes else []
-    marks += [_grams("__words", s) for s in short]
-    none = F.array().cast("array<bigint>")
-    found = worded.select("id", "own", F.explode(F.array_distinct(F.concat(none, *marks))).alias("h")).join(prints, "h").select("id", "own").distinct()
-    found = base.written(found, "decontam-found")
-
-    near = docs.join(found.withColumnsRenamed({"id": "fid", "own": "fown"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("own") == F.col("fown")), "left_semi")
-    near = with_words(near)
-    spans = [
-        near.select("id", "own", "__words", F.posexplode(_grams("__words", s)).alias("at", "h"))
-        .select("id", "own", "at", F.lit(s).alias("size"), "h", F.concat_ws(" ", F.slice("__words", F.col("at") + 1, s)).alias("span"))
-        .join(base.sized(windows.filter(F.col("size") == s).select(F.col("h").alias("wh"), "win", "item")), (F.col("h") == F.col("wh")) & (F.col("span") == F.col("win")))
-        .select("id", "own", "at", "size", "item")
-        for s in sizes
-    ]
-    hits = docs.select("id", "own", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(None).cast(windows.schema["item"].dataType).alias("item")).limit(0)
-    for s in spans:
-        hits = hits.union(s)
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
-    hits = (
-        hits.groupBy("id", "own")
-        .agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.collect_set("item").alias("items"))
-        .select(F.col("id").alias("hid"), F.col("own").alias("hown"), F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"))
-    )
-    hits = base.written(hits, "decontam-hits")
-    out = with_words(docs).select("id", "own", F.size("__words").cast("long").alias("n_words"))
-    out = out.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("own") == F.col("hown")), "left")
+    with scratch.Scope(docs.sparkSession) as scope:
+        slim, hits = _found(docs, item_windows(items, item, item_text))
+        scope.keep(slim, hits)
+    out = slim.join(base.sized(hits), F.col("id").eqNullSafe(F.col("hid")) & (F.col("own") == F.col("hown")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         F.col("id").alias(ident),
@@ -120,10 +89,48 @@ def contaminated(
     )
 
 
+def _found(docs: DataFrame, of_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: id, text, own. Two written tables: id, own, n_words and near of every row; hid, hown, n_hit and items of what is hit."""
+    of_items = base.written(of_items, "decontam-items")
+    windows = base.written(of_items.select("size", "win", "h").distinct().withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW values
+    # windows of full size are known by the winnowed fingerprint of their words
+    full = windows.filter(F.col("size") == WINDOW).select(F.split("win", " ").alias("w")).withColumn("g", _grams("w", K))
+    prints = full.select(F.explode(_fingerprints("g")).alias("print")).union(windows.filter(F.col("size") < WINDOW).select("h"))
+    prints = base.sized(base.written(prints.distinct(), "decontam-prints"))
+
+    worded = with_words(docs.withColumn("row", F.monotonically_increasing_id())).withColumn("__grams", _grams("__words", K)).withColumn("n_words", F.size("__words").cast("long"))
+    marks = [_fingerprints("__grams")] if WINDOW in sizes else []
+    marks += [_grams("__words", s) for s in sizes if s < WINDOW]
+    none = F.array().cast("array<bigint>")
+    marked = worded.select("row", "id", "own", "n_words", F.explode_outer(F.array_distinct(F.concat(none, *marks))).alias("h"))
+    # a row's marks come together, so they are summed within its task
+    slim = marked.join(prints, F.col("h") == F.col("print"), "left").groupBy("row", "id", "own", "n_words").agg(F.max(F.col("print").isNotNull()).alias("near"))
+    slim = base.written(slim.drop("row"), "decontam-slim")
+
+    found = base.sized(slim.filter("near").select(F.col("id").alias("fid"), F.col("own").alias("fown")).distinct())
+    near = with_words(docs.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("own") == F.col("fown")), "left_semi"))
+    span_of = lambda s: lambda h, i: F.struct(i.alias("at"), F.lit(s).alias("span"), h.alias("hash"))
+    spans = [F.transform(_grams("__words", s), span_of(s)) for s in sizes]
+    none = F.array().cast("array<struct<at:int,span:int,hash:bigint>>")
+    spans = near.select("id", "own", "__words", F.explode(F.concat(none, *spans)).alias("x")).select("id", "own", "__words", "x.*")
+    # hashes find, words decide; as no equality, or every span would be put together for the join
+    same = F.startswith(F.concat_ws(" ", F.slice("__words", F.col("at") + 1, F.col("span")), F.lit("")), F.concat("win", F.lit(" ")))
+    hits = spans.join(base.sized(windows), (F.col("span") == F.col("size")) & (F.col("hash") == F.col("h")) & same)
+    hits = base.written(hits.select("id", "own", "at", "size", "wid").distinct(), "decontam-places")
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
+    places = hits.groupBy("id", "own").agg(F.collect_set(F.struct("at", "size")).alias("spans")).select("id", "own", F.size(covered).cast("long").alias("n_hit"))
+    by_window = base.sized(base.written(of_items.join(windows, ["size", "win", "h"]).select("wid", F.col("item").cast("string").alias("item")).distinct(), "decontam-by-window"))
+    named = hits.select("id", "own", "wid").distinct().join(by_window, "wid").groupBy("id", "own").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = named.select(F.col("id").alias("hid"), F.col("own").alias("hown"), "items")
+    both = places.join(named, F.col("id").eqNullSafe(F.col("hid")) & (F.col("own") == F.col("hown")))
+    return slim, base.written(both.select("hid", "hown", "n_hit", "items"), "decontam-hits")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no window of any item."""
     bad = contaminated(docs, items, ident, text).filter("contaminated").select(F.col(ident).alias("__id"), "__own")
-    bad = base.written(bad, "decontam-bad")
+    bad = base.sized(base.written(bad.distinct(), "decontam-bad"))
     return docs.join(bad, docs[ident].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__own"]), "left_anti")
 
 
