@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.llm import base
+from eddyline.sources import scratch
 
 
 def _mark(edges: DataFrame):
@@ -30,6 +31,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return base.written(moved.distinct(), "star")
 
 
+def _two_steps(edges: DataFrame) -> DataFrame:
+    with scratch.Scope(edges.sparkSession) as scope:
+        out = _star(_star(edges, large=False), large=True)
+        scope.keep(out)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: two columns of node ids, in any order. Returns node, component (its smallest node)
     for every node that has an edge to another, save the component's smallest node itself."""
@@ -37,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = base.written(edges.filter(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "star")
     mark = _mark(edges)
     while mark[0]:
-        edges = _star(_star(edges, large=False), large=True)
+        edges = _two_steps(edges)
         now = _mark(edges)
         if now == mark:
             break

@@ -9,10 +9,11 @@ corrected for chance collisions, is hopeless (six standard deviations below the
 are confirmed on the full sets. Connected components join what is linked. Where a bucket then
 still holds several components, its members are compared across them too, under the same estimate and
 confirmation, so that no link between members of a bucket is lost. This second round works in pairs of
-blocks of bounded size and lets only links out of its tasks.
+blocks of bounded size, first over signatures alone: it yields who has any likely partner beyond its component there. Only their
+sets are sent on, to be confirmed in the same pairs of blocks, and only links leave these tasks.
 
 Scale. Texts are read twice, once for signatures and once for the sets of documents that share a
-bucket. Copies are summed within tasks before the shuffle. Buckets and centres with very many
+bucket; they are shuffled by id for that only where these are too many for every executor. Copies are summed within tasks before the shuffle. Buckets and centres with very many
 members are joined through plain shuffled joins against written tables, whose large partitions
 Spark splits; nothing collects a bucket. Work grows with the square of a group only where thousands of
 texts are all nearly, but not quite, similar enough to link.
@@ -25,7 +26,7 @@ nothing and is kept; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from eddyline.llm import base, text_hash
 from eddyline.llm.components import components
+from eddyline.sources import scratch
 
 MINIMA, ROWS, BITS = 128, 4, 2
 MISSED = 1e-5
@@ -46,7 +48,11 @@ BLOCK_SHINGLES = 500_000
 
 
 def bands_for(threshold: float) -> int:
-    return min(MINIMA // ROWS, math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS)))
+    """So many bands that a pair at the threshold shares none with a probability of MISSED at most."""
+    bands = math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS))
+    if bands > MINIMA // ROWS:
+        raise ValueError(f"{MINIMA} minima can't promise to find pairs of a similarity of {threshold}")
+    return bands
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -166,64 +172,82 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.select("*", F.explode(to).alias("to")).select("*", "to.g", "to.side").drop("to", "top", "nd", "no", "other", "at")
 
 
-def _compared(rows: list[dict], inside: bool, percent: int, cut: float) -> Iterator[tuple]:
-    """Confirmed links among the rows of one pair of blocks."""
-    side = np.array([r["side"] for r in rows])
-    label = [r["label"] for r in rows]
-    names = {x: i for i, x in enumerate(dict.fromkeys(label))}
-    label = np.array([names[x] for x in label])
-    n = np.array([r["n"] for r in rows])
-    band = np.array([r["band"] for r in rows])[0]
-    keys = np.array([r["keys"] for r in rows], np.int64)
-    bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+class _Rows:
+    """The rows of one pair of blocks, as arrays."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.side = np.array([r["side"] for r in rows])
+        names = {x: i for i, x in enumerate(dict.fromkeys(r["label"] for r in rows))}
+        self.label = np.array([names[r["label"]] for r in rows])
+        self.n = np.array([r["n"] for r in rows])
+        self.band = rows[0]["band"]
+        self.keys = np.array([r["keys"] for r in rows], np.int64)
+        self.bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+        #: Pairs within side 0 are due too.
+        self.inside = rows[0]["g"].endswith(":d0")
+
+    def likely(self, percent: int, cut: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of side 0, the rows of other labels that are due and may be similar enough by their signatures."""
+        ones, chance = np.uint64(0x5555555555555555), 0.5**BITS
+        for a in np.flatnonzero(self.side == 0):
+            due = self.side == 1
+            if self.inside:
+                due |= (self.side == 0) & (np.arange(len(self.rows)) > a)
+            to = np.flatnonzero(due & (self.label != self.label[a]) & (100 * np.minimum(self.n, self.n[a]) >= percent * np.maximum(self.n, self.n[a])))
+            # each pair once: in the first of its common buckets
+            to = to[~(self.keys[to, : self.band] == self.keys[a, : self.band]).any(axis=1)]
+            x = self.bits[to] ^ self.bits[a]
+            equal = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & ones).sum(axis=1)
+            estimate = (equal / MINIMA - chance) / (1 - chance)
+            yield int(a), to[estimate >= cut]
+
+
+def _partnered(rows: list[dict], percent: int, cut: float) -> Iterator[tuple]:
+    """(g, rep) of the rows with a likely partner."""
+    block, found = _Rows(rows), np.zeros(len(rows), bool)
+    for a, to in block.likely(percent, cut):
+        found[to] = True
+        found[a] |= len(to) > 0
+    for k in np.flatnonzero(found):
+        yield rows[k]["g"], rows[k]["rep"]
+
+
+def _linked(rows: list[dict], percent: int, cut: float) -> Iterator[tuple]:
+    """Confirmed links (rep, rep) that join differing labels."""
+    block = _Rows(rows)
     sets: dict[int, frozenset] = {}
-    root = list(range(len(names)))
+    root = list(range(len(rows)))
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    ones, chance = np.uint64(0x5555555555555555), 0.5**BITS
-    left = np.flatnonzero(side == 0)
-    for a in left:
-        due = side == 1
-        if inside:
-            due |= (side == 0) & (np.arange(len(rows)) > a)
-        to = np.flatnonzero(due & (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])))
-        # each pair once: in the first of its common buckets
-        to = to[~(keys[to, :band] == keys[a, :band]).any(axis=1)]
-        x = bits[to] ^ bits[a]
-        equal = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & ones).sum(axis=1)
-        estimate = (equal / MINIMA - chance) / (1 - chance)
-        to = to[estimate >= cut]
+    for a, to in block.likely(percent, cut):
         for b in to:
-            x, y = find(label[a]), find(label[b])
+            x, y = find(block.label[a]), find(block.label[b])
             if x == y:
                 continue
             for k in (a, b):
                 if k not in sets:
                     sets[k] = frozenset(rows[k]["shingles"])
             common = len(sets[a] & sets[b])
-            if 100 * common >= percent * (n[a] + n[b] - common):
+            if 100 * common >= percent * (block.n[a] + block.n[b] - common):
                 root[x] = y
                 yield rows[a]["rep"], rows[b]["rep"]
 
 
-def _links_in_blocks(dealt: DataFrame, percent: int, cut: float) -> DataFrame:
-    """dealt: what _blocks gives, with keys, bits and shingles. Returns links (a, b) that join differing labels.
+def _in_blocks(dealt: DataFrame, columns: tuple[str, ...], each: Callable[[list[dict]], Iterator[tuple]], names: tuple[str, str]) -> DataFrame:
+    """Runs a function over the rows of each g, which come together and are held in memory: two blocks at most."""
+    types = [dealt.schema["g" if n == "g" else "rep"].dataType for n in names]
+    schema = pa.schema([(n, to_arrow_type(t)) for n, t in zip(names, types, strict=True)])
 
-    The rows of one g come together and are held in memory, two blocks at most; no pair leaves
-    the task unless it is a link.
-    """
-    kind = dealt.schema["rep"].dataType
-    schema = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind))])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
-            found = list(_compared(held, held[0]["g"].endswith(":d0"), percent, cut))
+            found = list(each(held))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in (0, 1)], schema=schema)
 
@@ -236,8 +260,19 @@ def _links_in_blocks(dealt: DataFrame, percent: int, cut: float) -> DataFrame:
         if held:
             yield done()
 
-    columns = ("g", "side", "rep", "label", "n", "band", "keys", "bits", "shingles")
-    return dealt.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    kinds = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(names, types, strict=True))
+    return dealt.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, kinds)
+
+
+def _links_in_blocks(dealt: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
+    """dealt: what _blocks gives, with keys and bits. Returns links (a, b) that join differing labels.
+
+    No pair leaves a task unless it is a link.
+    """
+    slim = ("g", "side", "rep", "label", "n", "band", "keys", "bits")
+    partnered = base.written(_in_blocks(dealt, slim, lambda rows: _partnered(rows, percent, cut), ("g", "rep")), "near-partnered")
+    whole = dealt.join(partnered, ["g", "rep"], "left_semi").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return _in_blocks(whole, (*slim, "shingles"), lambda rows: _linked(rows, percent, cut), ("a", "b"))
 
 
 def near_duplicates(
@@ -246,9 +281,22 @@ def near_duplicates(
     """One row per document: the id, n_shingles, component_id, kept. size: words of a shingle;
     percent: the least similarity of a link."""
     base.ship(docs.sparkSession)
+    texts = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    with scratch.Scope(docs.sparkSession) as scope:
+        slim, placed = _placed(texts, size, percent)
+        scope.keep(slim, placed)
+    return (
+        slim.select("id", "s1", "s2", "n")
+        .join(placed, ["s1", "s2", "n"], "left")
+        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+        .select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    )
+
+
+def _placed(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """texts: id, text. Two written tables: id, s1, s2, n of every row, and component_id by s1, s2, n."""
     threshold = percent / 100
     bands = bands_for(threshold)
-    texts = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     slim = base.written(signatures(texts, size, bands), "near-signed")
     keys, bits = [f"k{i}" for i in range(bands)], [f"b{i}" for i in range(MINIMA * BITS // 64)]
     # equal sets have equal keys and bits: any aggregate of numbers yields them, summed within tasks
@@ -259,9 +307,9 @@ def near_duplicates(
     buckets = classes.select("rep", "n", *bits, F.posexplode(F.array(*keys)).alias("band", "value")).withColumn("key", F.xxhash64("band", "value")).drop("value")
     centres = base.written(buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "near-centres")
 
-    # sets of the classes that share a bucket with another; the text is dealt by id at any size of the table
-    shared = buckets.join(centres, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
-    sets = base.written(full_sets(texts.join(shared.hint("merge"), "id", "left_semi"), size).dropDuplicates(["id"]), "near-sets")
+    # sets of the classes that share a bucket with another
+    shared = base.written(buckets.join(centres, "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "near-shared")
+    sets = base.written(full_sets(texts.join(base.sized(shared), "id", "left_semi"), size).dropDuplicates(["id"]), "near-sets")
 
     signed = lambda p: classes.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in bits])
     cut = hopeless_below(threshold)
@@ -277,26 +325,38 @@ def near_duplicates(
     mixed = base.written(mixed, "near-mixed")
     rest = base.written(labelled.join(mixed, "key", "left_semi").select("key", "band", "rep", "label", "n"), "near-rest")
     every = classes.select("rep", F.array(*keys).alias("keys"), F.array(*bits).alias("bits"))
-    whole = every.join(sets.withColumnRenamed("id", "rep"), "rep")
-    more = base.written(_links_in_blocks(_blocks(rest).join(whole, "rep"), percent, cut), "near-more")
+    more = base.written(_links_in_blocks(_blocks(rest).join(every, "rep"), sets, percent, cut), "near-more")
     if not more.isEmpty():
         labels = base.written(components(links.union(more)), "near-labels")
 
     placed = classes.select("s1", "s2", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-    placed = base.written(placed.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")), "near-placed")
-    return (
-        slim.select("id", "s1", "s2", "n")
-        .join(placed, ["s1", "s2", "n"], "left")
-        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-        .select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    return slim, base.written(placed.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")), "near-placed")
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: of each group of near duplicates the one with the smallest id."""
     gone = near_duplicates(docs, size, percent, ident, text).filter("NOT kept").select(F.col(ident).alias("__gone")).distinct()
-    return docs.join(base.written(gone, "near-gone"), F.col(ident) == F.col("__gone"), "left_anti")
+    gone = base.sized(base.written(gone, "near-gone"))
+    return docs.join(gone, F.col(f"`{ident}`") == gone["__gone"], "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(base.read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+#: The plain meaning, by comparing all pairs that share a shingle; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ways.b FROM reached r JOIN ways ON ways.a = r.c),
+placed AS (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN placed p ON p.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
