@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eddyline.llm import base
+from eddyline.sources import scratch
 
 DICTIONARY, NEAR = 5000, 48
 #: Characters: the shortest named secret, the most after a naming word, the most of user:password.
@@ -375,7 +376,9 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> l
     """The size most frequent words of four letters or more, over all documents."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")).alias("w"))
     counted = words.filter(F.char_length("w").between(4, 14)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return sorted(r[0] for r in counted.orderBy(F.desc("n"), "w").limit(size).collect())
+    with scratch.Scope(docs.sparkSession):
+        top = base.most_frequent(base.written(counted, "secret-words"), "n", size, "w")
+        return sorted(r[0] for r in base.written(top.select("w"), "secret-dictionary").collect())  # size of them
 
 
 def scan(docs: DataFrame, forest: Forest, least: float = 0.5, ident: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
