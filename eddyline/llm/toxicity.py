@@ -2,10 +2,11 @@
 
 Method. Logistic regression over words and word beginnings that a text has (each counts once
 however often it occurs, so long texts are not worse than short ones). Features are the hashed
-words and prefixes that tell labels apart best, by a smoothed log-odds z-score over the training rows.
-In training texts that mention a group, the mention is swapped for another of its kind, and squared
-changes of the linear score between the two versions are penalised, so that mentions of groups carry no
-weight of their own.
+words and prefixes that tell labels apart best, by a smoothed log-odds z-score over the training rows, and those of all
+identity terms. Every training text gives counterfactual pairs. One that mentions a group: itself, and itself with each
+mention swapped for another of its kind. One that does not: itself, itself with a mention (which one, a hash says) put in,
+and that with the mention swapped; the text with the mention is learned from as well, under the text's label. Squared changes of the
+linear score within pairs are penalised, so that mentions of groups carry no weight of their own, in corpora without mentions too.
 
 The fit uses at most ``sample`` labelled rows, those with the smallest hashed ids; scoring reads every text
 whole. What reaches the driver is bounded by ``sample`` and ``features``.
@@ -19,6 +20,7 @@ of the input that have an output's name are replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.llm import base, text_hash
+from eddyline.sources import scratch
 
 SAMPLE, FEATURES = 12_000, 2048
 PREFIXES = (4, 5, 6)
 #: Words are runs of letters: ASCII letters and all bytes of other characters.
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
-#: Groups of terms that are swapped for one another.
+#: Groups of terms that are swapped for one another, in English, German, French and Spanish.
 IDENTITIES = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -45,19 +48,69 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "migrants"),
     ("disabled", "deaf", "blind", "autistic"),
     ("german", "french", "spanish", "english", "polish", "turkish", "chinese", "mexican"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("behinderte", "gehörlose", "blinde", "autisten"),
+    ("deutsche", "franzosen", "spanier", "engländer", "polen", "türken", "chinesen", "mexikaner"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("handicapés", "sourds", "aveugles", "autistes"),
+    ("allemands", "français", "espagnols", "anglais", "polonais", "turcs", "chinois", "mexicains"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("discapacitados", "sordos", "ciegos", "autistas"),
+    ("alemanes", "franceses", "españoles", "ingleses", "polacos", "turcos", "chinos", "mexicanos"),
 )
 
 
-def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITIES) -> str:
-    """The text with every term of a group replaced by the group's next, in the same case of first letter."""
-    to = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    pattern = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(to, key=len, reverse=True)) + r")(?![^\W\d_])", re.I | re.A)
+class Swaps:
+    """Swaps mentions of identity terms, and puts some in."""
 
-    def put(m: re.Match) -> str:
-        new = to[m[0].lower()]
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITIES):
+        self.next: dict[str, str] = {}
+        for g in groups:
+            for i, t in enumerate(g):
+                self.next.setdefault(t, g[(i + 1) % len(g)])
+        self.terms = sorted(self.next)
+        letter = r"[^\W\d_]"
+        self.pattern = re.compile(rf"(?<!{letter})(?:" + "|".join(sorted(map(re.escape, self.terms), key=len, reverse=True)) + rf")(?!{letter})", re.I) if self.terms else None
+
+    def _put(self, m: re.Match) -> str:
+        new = self.next.get(m[0].lower(), m[0])
         return new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize() if m[0][0].isupper() else new
 
-    return pattern.sub(put, text)
+    def swapped(self, text: str) -> str:
+        """The text with every term replaced by the next of its group, in the same case of first letter."""
+        return self.pattern.sub(self._put, text) if self.pattern else text
+
+    def put_in(self, text: str) -> str:
+        """The text with a term before a word of it; a hash of the text says which and where."""
+        if not self.terms or not (starts := [m.start() for m in re.finditer(r"\S+", text)]):
+            return text
+        h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        at = starts[h // len(self.terms) % len(starts)]
+        return f"{text[:at]}{self.terms[h % len(self.terms)]} {text[at:]}"
+
+    def versions(self, text: str | None) -> tuple[str | None, str | None]:
+        """(the text with a mention, that with the mention swapped); none where nothing can be swapped or put in."""
+        if not text:
+            return None, None
+        own = text if self.swapped(text) != text else self.put_in(text)
+        other = self.swapped(own)
+        return (own, other) if other != own else (None, None)
 
 
 def present(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +153,8 @@ class Model:
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    #: How many counterfactual pairs the penalty held together.
+    pairs: int = 0
 
     def scores(self, array: pa.Array) -> np.ndarray:
         lookup, out = Lookup(self.features), []
@@ -130,16 +185,31 @@ def fitted(
     if not 0 < y.sum() < n:
         return w, b
     scale = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # the rarer label counts for more
-    most = max(1.0, np.bincount(rows, minlength=n).max())
-    lip = 0.25 * (most + 1) * scale.max() / 4 + ridge + (2 * penalty * np.bincount(pr, pv**2, minlength=m).max() if m else 0)
+    weight = 2 * penalty / m if m else 0.0
+
+    def bent(u: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+        """What the loss bends by at most along (u, c)."""
+        r = 0.25 * scale * (_product(rows, cols, ones, u, n) + c) / n
+        g = np.bincount(cols, r[rows], minlength=width) + ridge * u
+        if m:
+            g += weight * np.bincount(pc, pv * _product(pr, pc, pv, u, m)[pr], minlength=width)
+        return g, float(r.sum())
+
+    # the largest bend, by power iteration; a step is its inverse
+    u, c, most = np.full(width, (width + 1) ** -0.5), (width + 1) ** -0.5, 0.0
+    for _ in range(40):
+        u, c = bent(u, c)
+        most = float(np.sqrt(u @ u + c * c))
+        u, c = u / most, c / most
+    step = 1 / (1.1 * most)
     v, c = w.copy(), b
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(_product(rows, cols, ones, v, n) + c, -60, 60)))
         r = (p - y) * scale / n
         g = np.bincount(cols, r[rows], minlength=width) + ridge * v
         if m:
-            g += 2 * penalty / m * np.bincount(pc, pv * _product(pr, pc, pv, v, m)[pr], minlength=width)
-        nw, nb = v - g / lip * 4, c - r.sum() / lip * 4
+            g += weight * np.bincount(pc, pv * _product(pr, pc, pv, v, m)[pr], minlength=width)
+        nw, nb = v - step * g, c - step * r.sum()
         k = t / (t + 3)
         v, c, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
     return w, b
@@ -155,10 +225,16 @@ def fit(
 ) -> Model:
     """A model from at most sample of the rows that labels and docs share by id."""
     base.ship(docs.sparkSession)
+    with scratch.Scope(docs.sparkSession):
+        return _fit(docs, labels, sample, features, Swaps(identities), ident, text, label)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, features: int, swaps: Swaps, ident: str, text: str, label: str) -> Model:
     chosen = (
         labels.groupBy(F.col(ident).alias("id")).agg(F.avg(label).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
-        .orderBy(F.xxhash64("id"), "id").limit(sample).select("id", (F.col("y") >= 0.5).cast("int").alias("y"))
+        .select("id", (F.col("y") >= 0.5).cast("int").alias("y"), F.xxhash64("id").alias("h"))
     )
+    chosen = base.smallest(base.written(chosen, "toxic-labels"), F.col("h"), sample, "id").drop("h")
     # as many rows as sample says, so to every executor
     chosen = F.broadcast(base.written(chosen, "toxic-chosen"))
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "y", "text")
@@ -182,52 +258,56 @@ def fit(
     odds = F.log((F.col("a") + 0.5) / rest("a", ones)) - F.log((F.col("b") + 0.5) / rest("b", n - ones))
     z = F.abs(odds) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = sums.filter("a + b >= 3").select("f", z.alias("z")).filter("z >= 3").orderBy(F.desc("z"), "f").limit(features)
-    table = np.sort(np.array([r[0] for r in best.collect()], np.int64).view(np.uint64))
+    best = base.written(best.select("f"), "toxic-features").collect()  # merged in a task, features of them
+    table = np.array([r[0] for r in best], np.int64).view(np.uint64)
+    table = np.unique(np.concatenate([table, present(pa.array(swaps.terms, pa.string()))[1]]))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(table)
         for whole in batches:
             for part in text_hash.slices(whole.column(2)):
                 batch = whole.slice(*part)
-                texts = batch.column(2).to_pylist()
-                other = [swapped(t, identities) if t else t for t in texts]
+                texts = batch.column(2)
+                mention, other = zip(*map(swaps.versions, texts.to_pylist()), strict=True)
                 out = []
-                for x in (batch.column(2), pa.array(other, pa.string())):
+                for x in (texts, pa.array(mention, pa.string()), pa.array(other, pa.string())):
                     row, place = lookup.found(x)
-                    ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+                    ends = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))))
-                changed = pa.array([a != b for a, b in zip(texts, other, strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out, changed], names=["id", "y", "own", "other", "changed"])
+                put = pa.array([None if m is None else m != t for m, t in zip(mention, texts.to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out, put], names=["id", "y", "own", "mention", "other", "put"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(indexed, f"id {kind}, y int, own array<int>, other array<int>, changed boolean").orderBy("id", "y", "own").toArrow()
-    y = made.column("y").to_numpy().astype(float)
-    own, other = made.column("own").to_pylist(), made.column("other").to_pylist()
-    r = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    c = np.fromiter((i for x in own for i in x), np.int64, len(r))
+    made = rows.mapInArrow(indexed, f"id {kind}, y int, own array<int>, mention array<int>, other array<int>, put boolean").orderBy("id", "y", "own", "mention").toArrow()
+    listed = [made.column(c).to_pylist() for c in ("y", "own", "mention", "other", "put")]
+    y = listed[0] + [k for k, *_, put in zip(*listed, strict=True) if put]
+    learned = listed[1] + [mention for _, _, mention, _, put in zip(*listed, strict=True) if put]
+    r = np.repeat(np.arange(len(learned)), [len(x) for x in learned])
+    c = np.fromiter((i for x in learned for i in x), np.int64, len(r))
     pr, pc, pv, m = [], [], [], 0
-    for a, b, changed in zip(own, other, made.column("changed").to_pylist(), strict=True):
-        if changed:
+    for _, own, mention, other, put in zip(*listed, strict=True):
+        for a, b in () if put is None else ((mention, other), (own, mention)) if put else ((mention, other),):
             for sign, these in ((1.0, set(a) - set(b)), (-1.0, set(b) - set(a))):
                 pr += [m] * len(these)
-                pc += these
+                pc += sorted(these)
                 pv += [sign] * len(these)
             m += 1
-    w, bias = fitted(r, c, y, len(table), (np.array(pr, np.int64), np.array(pc, np.int64), np.array(pv), m))
-    return Model(table, w, bias)
+    w, bias = fitted(r, c, np.array(y, float), len(table), (np.array(pr, np.int64), np.array(pc, np.int64), np.array(pv), m))
+    return Model(table, w, bias, m)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Adds each text's score, from 0 to 1."""
     base.ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    own = base.spare(docs, "__text")
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             yield pa.array(held.value.scores(array))
 
-    return base.fresh(docs.withColumn("__text", F.col(text)), name).withColumn(name, scores("__text")).drop("__text")
+    return base.fresh(docs.withColumn(own, F.col(text)), name).withColumn(name, scores(own)).drop(own)
 
 
 def fit_on_rest(docs: DataFrame, labels: DataFrame) -> Model:
@@ -237,8 +317,8 @@ def fit_on_rest(docs: DataFrame, labels: DataFrame) -> Model:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """The documents that score below most, with their columns as they are."""
-    model = fit_on_rest(docs, labels)
-    return score(docs, model, name="__score").filter(F.col("__score") < most).drop("__score")
+    model, own = fit_on_rest(docs, labels), base.spare(docs, "__score")
+    return score(docs, model, name=own).filter(F.col(own) < most).drop(own)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

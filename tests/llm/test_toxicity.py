@@ -29,6 +29,15 @@ def test_held_out_accuracy(scored):
     assert len(scored) == 10_000
 
 
+def test_the_largest_step_is_safe():
+    """All pairs alike, each of many features: the loss bends most there."""
+    n, width = 40, 10
+    rows, cols = np.repeat(np.arange(n), 2), np.stack([np.arange(n) % 2, np.full(n, 9)], axis=1).ravel()
+    pairs = (np.repeat(np.arange(50), 8), np.tile(np.arange(1, 9), 50), np.ones(400), 50)
+    w, b = toxicity.fitted(rows, cols, (np.arange(n) % 2).astype(float), width, pairs)
+    assert np.isfinite(w).all() and np.abs(w).max() < 20 and w[0] < 0
+
+
 def _made(seed, n=600):
     """Insults are toxic; half of the toxic rows and few of the others mention a group."""
     r = random.Random(seed)
@@ -61,8 +70,30 @@ def test_mentions_carry_no_weight(spark, monkeypatch):
 
 
 def test_swapping():
-    assert toxicity.swapped("Muslims and muslim, MUSLIM; muslimx") == "Christians and christian, CHRISTIAN; muslimx"
-    assert toxicity.swapped("nothing") == "nothing"
+    swaps = toxicity.Swaps()
+    assert swaps.swapped("Muslims and muslim, MUSLIM; muslimx") == "Christians and christian, CHRISTIAN; muslimx"
+    assert swaps.swapped("Mädchen étrangers") == "Jungen migrants" and swaps.swapped("nothing") == "nothing"
+    own, other = swaps.versions("no such word here")
+    assert own.replace(next(t for t in own.split() if t in swaps.terms) + " ", "") == "no such word here" and other != own
+    assert swaps.versions("the women")[0] == "the women" and swaps.versions("") == swaps.versions(None) == swaps.versions(" ") == (None, None)
+
+
+def test_the_penalty_acts_on_the_tables_at_hand(spark, monkeypatch):
+    """No document of them mentions a group: pairs are made by putting mentions in, and mentions move scores less than without penalty."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_on_rest(docs, labels)
+    one = toxicity.fitted
+    monkeypatch.setattr(toxicity, "fitted", lambda *a, **k: one(*a, **(k | {"penalty": 0.0})))
+    free = toxicity.fit_on_rest(docs, labels)
+    assert model.pairs > 500
+    texts = [r[0] for r in docs.select("text").filter("text IS NOT NULL").limit(30).collect()]
+    terms = toxicity.Swaps().terms
+
+    def moved(m):
+        linear = lambda p: np.log(p / (1 - p))
+        return np.mean([np.abs(linear(m.scores(pa.array([f"{t} {x}" for x in terms]))) - linear(m.scores(pa.array([t])))).mean() for t in texts])
+
+    assert moved(model) < 0.5 * moved(free)
 
 
 def test_score_does_not_depend_on_company(spark):
