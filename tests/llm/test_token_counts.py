@@ -48,13 +48,31 @@ def test_memo_is_bounded(whole, monkeypatch):
     assert all(len(p) <= token_counts.MEMO_LENGTH for p in (*counter.first, *counter.later))
 
 
-def test_batches_by_size():
-    got = list(token_counts.batches(["a" * 10, None, "b" * 10, "c" * 100, "d"], 20))
-    assert [len(b) for b in got] == [3, 1, 1] and got[0][1] == ""
+def test_long_texts_without_spaces(whole, monkeypatch):
+    """Cut at other safe places; encoded in one piece where there is none. Counts are the library's."""
+    monkeypatch.setattr(token_counts, "LONG", 40)
+    monkeypatch.setattr(token_counts, "PIECE", 7)
+    with open(PATH, "rb") as f:
+        counter = token_counts.Counter(f.read())
+    r = random.Random(4)
+    parts = ["漢字", "かな", "。", "，", "！", "abc", "12", "9", "Z", "\n", "\r\n", "\t", "\n\n", "'s", "'", "<|endoftext|>", "é", "١", "ⅷ", "²", "_", "...", "　", "\x85", "ー", " ", "  "]
+    texts = ["".join(r.choices(parts, weights=[3] * 25 + [1, 1], k=r.randint(30, 90))) for _ in range(3000)] + ["x" * 5000, "ab1" * 3000, "漢字。" * 2000]
+    assert counter.counts(texts) == _counts(whole, texts)
+    assert max(map(len, token_counts.further("ab1" * 3000))) < 12 and token_counts.further("x" * 5000) == ["x" * 5000]
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a b  c\n d", "Hello wor ld<|endoftext|>x", " lead", "", "x" * 20_000 + " 12ab。"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["n_tokens"] for r in token_counts.count_tokens(docs, path).orderBy("doc_id").collect()]
+    assert got == _counts(Tokenizer.from_file(path), texts)
+    with open(path, "rb") as f:
+        assert not token_counts.Counter(f.read()).may_cut
 
 
 def test_odd_rows(spark, whole):
-    docs = H.odd(spark, n_bytes="x", n_tokens=1)
+    docs = H.odd(spark, n_bytes="x", n_tokens=1, __text="z")
     got = token_counts.count_tokens(docs, PATH)
     assert got.columns == [*H.odd(spark).columns, "n_bytes", "n_tokens"]
     texts = [r["text"] or "" for r in got.collect()]
