@@ -15,5 +15,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_html_text": html_extract.op10_html_text,
+    "pii_base_spans": pii.pii_base_spans,
+}
+ORACLES = {
+    "op1_mix": mixing.ORACLE,
+    "op3_near_dedup": near_dedup.ORACLE,
+    "op7_decontaminate": decontam.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "pii_base_spans": pii.BASE_ORACLE,
 }
-ORACLES = {"op1_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Method. Every document gets the key -ln(u) / w with u a hash of its id in (0, 1) and w its quality
-weight; documents sorted by key within a source form a weighted random order without replacement.
+weight: from labels of quality by id, from 1/2 to 2 and 1 without a label, times a stand-in made of the mean length of words,
+for corpora of which few documents are labelled. Documents sorted by key within a source form a weighted random order without replacement.
 A source's token target first takes whole epochs of the source, then documents of that order until
 the prefix sum reaches what remains; the document on that line gives the words up to it, so
 that targets are met exactly. ``mix`` gives the counts, with the texts if asked to; ``mixed`` gives the mixed corpus.
 
 Scale. One slim row per document (id, source, size, key) is written; texts are read once, and again where they are carried:
 then only those in a bucket with a line are shuffled. Prefix
-sums have two levels: keys fall into about sqrt(n) buckets per source, bucket sums are added up in
+sums have two levels: keys fall into buckets of a fixed width of their logarithm, which other weights only shift, so that each holds
+about 2 sqrt(n) of a source's n documents at most; bucket sums are added up in
 order, and only the one bucket that a source's line crosses is sorted document by document. No
 step gathers a source in one task, so a source with a third of all rows costs as much as any other.
 
@@ -26,16 +28,22 @@ from pyspark.sql import functions as F
 from eddyline.llm import base
 
 OUTPUTS = ("size", "source_size", "target", "taken")
-#: Quality weights are held between these, so that the buckets of keys stay even.
+#: Quality weights are held between these.
 LEAST, MOST = 1 / 16, 16.0
 #: Up to so many sources, by count, their plan goes to every executor; beyond it is joined by a shuffle that may split.
 SOURCES = 100_000
 
 
 def quality(text: Column, size: Column) -> Column:
-    """A weight from the mean length of the words: 1 at five characters, less the further off."""
+    """A weight from the mean length of the words: 1 at five characters, less the further off, 1/4 at least (as for texts without blanks)."""
     mean = F.octet_length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return 1 / (1 + F.abs(mean - 6) / 6)
+    return 1 / (1 + F.least(F.abs(mean - 6) / 6, F.lit(3.0)))
+
+
+def rated(labels: DataFrame, ident: str, label: str) -> DataFrame:
+    """rid, factor: a weight from 1/2 to 2 for every labelled id, by the mean of its labels from 0 to 1."""
+    by = labels.groupBy(F.col(ident).alias("rid")).agg(F.avg(label).alias("q")).filter("rid IS NOT NULL AND q IS NOT NULL")
+    return base.sized(base.written(by.select("rid", (0.5 + 1.5 * F.col("q")).alias("factor")), "mix-rated"))
 
 
 def uniform(ident: Column, seed: int) -> Column:
@@ -83,16 +91,23 @@ def mix(
     source: str = "source",
     weight: Column | None = None,
     carry: bool = False,
+    labels: DataFrame | None = None,
+    label: str = "quality",
 ) -> DataFrame:
     """One row per document: the id, source, size in words, source_size, target and taken words.
 
-    weight: a column of quality weights; quality() of the text where none is given. carry: all input columns come along.
+    weight: a column of quality weights; quality() of the text where none is given. labels: a table of quality labels from 0 to 1, by ident, which
+    scale the weights. carry: all input columns come along.
     """
     size = base.word_count(F.col(text))
     row = [F.struct(*[F.col(f"`{c}`") for c in base.fresh(docs, *OUTPUTS).columns]).alias("__row")] if carry else []
     sized = docs.select(F.col(ident).alias("id"), F.col(source).alias("source"), size.alias("size"), (quality(F.col(text), size) if weight is None else weight).alias("w"), *row)
-    held = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("w", F.lit(1.0))))
-    keyed = sized.withColumn("key", -F.log(uniform(F.col("id"), seed)) / held).drop("w")
+    factor = F.lit(1.0)
+    if labels is not None:
+        sized = sized.join(rated(labels, ident, label), F.col("id") == F.col("rid"), "left")
+        factor = F.coalesce("factor", F.lit(1.0))
+    held = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("w", F.lit(1.0)) * factor))
+    keyed = sized.withColumn("key", -F.log(uniform(F.col("id"), seed)) / held).drop("w", "rid", "factor")
     slim = base.written(keyed.drop("__row"), "mix-slim")
 
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -103,13 +118,13 @@ def mix(
         .join(budget, F.col("s").eqNullSafe(F.col("source")))
         .select(
             "s", "source_size", "target",
-            F.ceil(F.sqrt("n")).alias("buckets"),
+            F.ceil(F.sqrt("n") / 8).alias("buckets"),
             F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"),
         )
         .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     )
     plan = base.written(plan, "mix-plan")
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))
+    bucket = F.floor(F.log2("key") * F.col("buckets"))
     dealt = slim.join(base.sized(plan, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket)
     by_bucket = dealt.groupBy("s", "bucket", "rest").agg(F.sum("size").alias("held"))
     running = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +171,7 @@ def repeated(plan: DataFrame, text: str = "text") -> DataFrame:
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, labels=base.read(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
@@ -165,8 +180,10 @@ WITH sized AS (
     strlen(coalesce(text, '')) AS bytes,
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
+), rated AS (SELECT doc_id, 0.5 + 1.5 * avg(quality) AS factor FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), keyed AS (
-  SELECT *, -ln(u) / greatest(0.0625, least(16.0, 1 / (1 + abs(bytes / greatest(size, 1) - 6) / 6))) AS k FROM sized
+  SELECT sized.*, -ln(u) / greatest(0.0625, least(16.0, 1 / (1 + least(abs(bytes / greatest(size, 1) - 6) / 6, 3)) * coalesce(factor, 1))) AS k
+  FROM sized LEFT JOIN rated USING (doc_id)
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source
 ), ranked AS (

@@ -9,8 +9,8 @@ vote patterns estimates every labeler's reliability and each pattern's probabili
 probabilities a naive Bayes classifier over the span's shape, its length and the words on
 either side is trained; it decides which of the looser candidates are spans.
 
-Scale. Built-in functions only. A text is searched in one pass, and only for kinds whose cheap test it
-passes; patterns are possessive and anchored at the ends of runs, so no text makes them quadratic. A match's
+Scale. Built-in functions only. A text is searched twice for each pattern whose cheap test it
+passes, for what lies between matches and for the matches, within one scan; patterns are possessive and anchored at the ends of runs, so no text makes them quadratic. A match's
 place is the running sum of the lengths before it. What reaches the driver is the table of vote patterns, at
 most 5 x 3^5 rows; the classifier's table is bounded by its hash buckets.
 
@@ -268,3 +268,37 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("kept", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
+
+
+def pii_base_spans(spark, sf_dir: str) -> DataFrame:
+    """What of op2_pii SQL can say: all but the spans that the method adds."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def _matches_sql(kind: int, pattern: str, fine: str) -> str:
+    """SQL for one kind's matches in d (doc_id, t): a match's place is the sum of the lengths before it."""
+    at = f"list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0)"
+    return (
+        f"SELECT doc_id, {kind} AS kind, '{KINDS[kind]}' AS name, ({at})::BIGINT AS s, m[i] AS x FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM "
+        f"(SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM d)) WHERE {fine}"
+    )
+
+
+_DIGITS_SQL = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_LUHN_SQL = (
+    "list_sum(list_transform(range(1, len(<D>) + 1), lambda k: CASE WHEN k % 2 = 1 THEN <D>[len(<D>) - k + 1]::INT "
+    "ELSE <D>[len(<D>) - k + 1]::INT * 2 - CASE WHEN <D>[len(<D>) - k + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+).replace("<D>", f"string_split({_DIGITS_SQL}, '')")
+BASE_ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (
+  {_matches_sql(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+  UNION ALL {_matches_sql(1, "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "list_max(list_transform(string_split(m[i], '.'), lambda x: coalesce(try_cast(x AS UBIGINT), 256))) <= 255")}
+  UNION ALL {_matches_sql(2, "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS_SQL}) BETWEEN 13 AND 19 AND {_LUHN_SQL}")}
+  UNION ALL {_matches_sql(3, "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 9 AND 15")}
+), g AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(BASE))},
+    string_agg(name || ':' || s || ':' || (s + length(x)), ',' ORDER BY kind, s) AS spans FROM f GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

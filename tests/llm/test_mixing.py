@@ -33,6 +33,26 @@ def test_heavier_documents_come_first(spark):
     assert even > 2.5 * sum(r["taken"] for r in got if r["doc_id"] % 2)
 
 
+def test_labelled_quality_scales_the_weights(spark):
+    """Documents labelled good come before those without a label, and these before bad ones; labels of no use count for nothing."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("alpha gamma").alias("text"), F.lit("s").alias("source"))
+    labels = spark.range(6000).filter("id % 3 < 2").select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("quality"))
+    labels = labels.union(labels).union(spark.createDataFrame([(None, 1), (2, None), (10_000, 1)], "doc_id long, quality long"))
+    taken = [0, 0, 0]
+    for r in mixing.mix(docs, share=0.25, labels=labels).collect():
+        taken[r["doc_id"] % 3] += r["taken"]
+    assert taken[1] > 1.5 * taken[2] > 2 * taken[0]
+
+
+def test_buckets_are_small_whatever_the_weights(spark):
+    """No bucket of keys holds more than about 2 sqrt(n) of n documents."""
+    n = 20_000
+    for w in (1 / 16, 1.0, 16.0):
+        key = -F.log(mixing.uniform(F.col("id"), 17)) / w
+        most = spark.range(n).groupBy(F.floor(F.log2(key) * F.ceil(F.sqrt(F.lit(n)) / 8))).count().agg(F.max("count")).first()[0]
+        assert most < 3 * n**0.5
+
+
 def test_odd_rows(spark):
     got = mixing.mix(H.odd(spark, size=1, taken=2, w=3, id=4)).collect()
     assert len(got) == len(H.odd_rows())

@@ -9,11 +9,14 @@ import pytest
 
 import corpus_pipeline
 from eddyline.llm import base, toxicity
+from eddyline.sources import scratch
 from tests.llm import helpers as H
 
 
 def _mixed(rows):
     """rows: (id, text, source). id -> (source_size, target, taken), by sorting each source."""
+    labels = duckdb.sql(f"SELECT doc_id, 0.5 + 1.5 * avg(quality) FROM '{H.TINY}/labels.parquet' WHERE quality IS NOT NULL GROUP BY 1").fetchall()
+    factor = dict(labels)
     sized = [(d, len(H.WORD.findall(t or "")), len((t or "").encode()), s) for d, t, s in rows]
     total = {}
     for _, n, _, s in sized:
@@ -36,7 +39,7 @@ def _mixed(rows):
         for d, n, size, source in sized:
             if source == s:
                 u = (int(hashlib.md5(f"{d}:17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                w = max(1 / 16, min(16.0, 1 / (1 + abs(size / max(n, 1) - 6) / 6)))
+                w = max(1 / 16, min(16.0, 1 / (1 + min(abs(size / max(n, 1) - 6) / 6, 3)) * factor.get(d, 1)))
                 keyed.append((-math.log(u) / w, d, n))
         for _, d, n in sorted(keyed):
             part = max(0, min(n, rest))
@@ -86,6 +89,15 @@ def test_stages(spark):
     assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, H.TINY).collect()} == {d: x[2] for d, x in got.items()}
 
 
+def test_nothing_is_left_behind(spark):
+    """After a run there are its last table and nothing else in the shared folder."""
+    where = scratch.root(spark)
+    before = set(scratch.listed(spark, where))
+    out = corpus_pipeline.run(spark, H.TINY)
+    left = set(scratch.listed(spark, where)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-mixing-") and out.count()
+
+
 def test_no_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{H.TINY}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
