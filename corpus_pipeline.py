@@ -3,6 +3,12 @@
 Every stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a
 DataFrame. All but the last return the columns of documents; the last adds, for every document
 that is left, how many of its words the mix takes (0 where it takes none). ``mixed`` gives the corpus that this makes.
+
+Defined results, by stage. A null or empty text scores as the classifier's bias says, equals other empty texts (white space of one or
+more counts as a space), is near nothing, holds no benchmark words and has no words to take. A null id sorts last and is never near another; a
+null source is a source of its own. Of equal rows one stays. Ties are settled by the smallest id. Texts of any length are read whole. Empty tables
+give an empty result, documents without labels or benchmark are all clean by the stages that need these. Further columns pass through, save
+that the last stage's (size, source_size, target, taken) replace any of these names.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.llm import base, decontam, exact_dedup, mixing, near_dedup, toxicity
+from eddyline.sources import scratch
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their target weights: documents, and how much of each is taken."""
-    return mixing.mix(docs, carry=True)
+    return mixing.mix(docs, carry=True, labels=base.read(spark, sf_dir, "labels"))
 
 
 STAGES = [
@@ -50,9 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what stages wrote on the way, and all stages' results but the last, are gone by then."""
     docs = base.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = base.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scratch.Scope(spark) as scope:
+        for name, stage in STAGES:
+            with scratch.Scope(spark) as inner:
+                docs = base.written(stage(spark, docs, sf_dir), f"stage-{name}")
+                inner.keep(docs)
+        scope.keep(docs)
     return docs
 
 
