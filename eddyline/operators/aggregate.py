@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eddyline.operators import prefix
 from eddyline.sources.scratch import ship
@@ -92,12 +94,13 @@ def until(df: DataFrame, stop: Column, seq: str = "seq") -> DataFrame:
 
 
 def chunked(df: DataFrame, each: Callable[[pa.Table], dict], schema: str, merge: list[Column], size: int = 4096) -> DataFrame:
-    """A fold over chunks: each chunk gives a partial row on the executors, merge combines them."""
+    """A fold over chunks: each chunk gives a partial row of the schema on the executors, merge combines them."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                yield pa.RecordBatch.from_pylist([each(pa.Table.from_batches([batch.slice(at, size)]))])
+                yield pa.RecordBatch.from_pylist([each(pa.Table.from_batches([batch.slice(at, size)]))], kind)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema).agg(*merge)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from eddyline.operators import aggregate, scan
@@ -30,6 +32,18 @@ def by_gateway(df: DataFrame, gateway: str, value: str) -> DataFrame:
     return rolled.select(F.col("__name").alias(gateway), "count", "sum")
 
 
+def timed(result: DataFrame) -> tuple[list[Row], float]:
+    """The rows of a small result, such as by_gateway's, and the milliseconds that they took."""
+    began = time.perf_counter()
+    rows = result.collect()
+    return rows, (time.perf_counter() - began) * 1000
+
+
+def sent_by(orders: DataFrame, gateway: str, column: str = "gateway_id") -> DataFrame:
+    """How many orders one gateway has sent, by its own count."""
+    return orders.agg(F.lit(gateway).alias("gateway"), F.count_if(F.col(column) == gateway).alias("sent"))
+
+
 def sensor_state(df: DataFrame, key: str, value: str) -> DataFrame:
     """Running statistics of each key."""
     return df.groupBy(key).agg(*aggregate.five(F.col(value), exact=True))

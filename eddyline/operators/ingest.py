@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eddyline.sources import scratch
+
 
 def by_key(df: DataFrame, key: str, partitions: int) -> DataFrame:
-    """part from a numeric key; never negative."""
+    """part from a numeric key; never negative, and none for events without a key."""
     return df.withColumn("part", F.pmod(F.col(key), F.lit(partitions)).cast("int"))
 
 
@@ -26,15 +28,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0)
     """Adds consecutive numbers in the given order, without sorting in one task.
 
     Ranges of the order go to partitions, whose sizes (one number each) give the offsets. The
-    ranges are checkpointed where the session names a folder for that, so that they can't shift
-    between the two passes.
+    ranges are written to the shared folder, so that they can't shift between the two passes.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    if folder := df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-        ranged = ranged.checkpoint()
-    else:
-        ranged = ranged.persist()
+    ranged = scratch.written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
     # one row for each range, as many as tasks
     before = F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
     sizes = ranged.groupBy(F.col("__p").alias("q")).agg(F.count(F.lit(1)).alias("n"))
@@ -59,8 +55,8 @@ def dictionary(df: DataFrame, key: str, seq: str, known: DataFrame | None = None
 
 
 def encoded(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Adds key_id from a dictionary."""
-    return df.join(keys.select(F.col("key").alias("__key"), "key_id"), F.col(key) == F.col("__key")).drop("__key")
+    """Adds key_id from a dictionary. Events without a key, or with one that it lacks, stay and have none."""
+    return df.join(keys.select(F.col("key").alias("__key"), "key_id"), F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def sensor_events(readings: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ A partition's events are cut into chunks of consecutive arrival numbers. Chunks
 tasks before the shuffle; what each chunk inherits is a running aggregate over chunks (one row for about
 CHUNK events); within a chunk the rows are run through in order. All rows are dealt by (part, chunk), so a
 store of few partitions still uses every core, and a sort holds a chunk at most.
+
+Events without a partition are a partition of their own. Events without an arrival number came before all
+others, in no order among themselves.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ def running(df: DataFrame, adds: dict[str, tuple[str, Column]], seq: str = "seq"
     sums = df.groupBy(F.col("part").alias("__p"), F.col("__chunk").alias("__c")).agg(*[k[0](f"__in{i}").alias(f"__s{i}") for i, k in enumerate(kinds)])
     before = Window.partitionBy("__p").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("__p", "__c", *[k[1](f"__s{i}").over(before).alias(f"__b{i}") for i, k in enumerate(kinds)])
-    joined = df.join(carried, (F.col("part") == F.col("__p")) & (F.col("__chunk") == F.col("__c")))
+    joined = df.join(carried, F.col("part").eqNullSafe(F.col("__p")) & F.col("__chunk").eqNullSafe(F.col("__c")))
     within = Window.partitionBy("part", "__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     out = {}
     for i, (name, (kind, _)) in enumerate(adds.items()):

@@ -38,15 +38,15 @@ def retain(df: DataFrame, capacity: int, seq: str = "seq", large: bool | None =
     """The newest capacity events of every partition.
 
     The rank filter prunes inside every task before the shuffle as long as the optimizer's
-    threshold allows, so it is raised to the capacity. Of a large log (by default: what the optimizer takes for
+    threshold allows, so that is raised to the capacity, for the session, and never lowered. Of a large log (by default: what the optimizer takes for
     one) the events below the cutoff are not even read: as a scalar it reaches the scan, which skips
-    their row groups. Filters on time or value belong above this step; only those on part may move below it.
+    their row groups. Events without an arrival number are the oldest. Filters on time or value belong above this step; only those on part may move below it.
     """
     conf = df.sparkSession.conf
     if int(conf.get(_LIMIT)) < capacity:
         conf.set(_LIMIT, str(capacity))
     if is_large(df) if large is None else large:
-        df = df.filter(F.col(seq) >= cutoff(df, capacity, seq).scalar())
+        df = df.filter((F.col(seq) >= cutoff(df, capacity, seq).scalar()) | F.col(seq).isNull())
     return ranked(df, seq).filter(F.col("rank") <= capacity).drop("rank")
 
 

@@ -9,10 +9,12 @@ from eddyline.operators import window
 
 
 def store_stats(log: DataFrame, capacity: int, ticks: str | None = None, seq: str = "seq") -> DataFrame:
-    """One row: events appended, dropped and kept, and window advances. log: all events with part."""
+    """One row: events appended, dropped and kept, and window advances. log: all events with part; those
+    without one are counted as a partition."""
     by = log.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     if ticks:
-        by = by.join(window.advances(log, ticks, seq), "part")
+        moved = window.advances(log, ticks, seq).withColumnRenamed("part", "__p")
+        by = by.join(moved, F.col("part").eqNullSafe(F.col("__p")), "left")
     moved = F.coalesce(F.sum("advances"), F.lit(0)) if ticks else F.lit(0)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return by.agg(

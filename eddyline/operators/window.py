@@ -2,7 +2,7 @@
 
 All arithmetic is on ticks. A partition's clock after an event is the largest event time so far by
 arrival; an event is late, and left out of buckets though not of scans, if it lies more than the
-window behind the clock.
+window behind the clock. An event without a time is in no window, neither late nor admitted, and moves no clock.
 """
 
 from __future__ import annotations
@@ -34,21 +34,27 @@ def admitted(df: DataFrame, window: int, ticks: str = "ts_ticks", seq: str = "se
     return clocked(df, ticks, seq).filter(F.col(ticks) >= F.col("clock") - window)
 
 
-def bucketed(df: DataFrame, width: int, value: str, ticks: str = "ts_ticks") -> DataFrame:
-    """The rollup: count, sum, min and max by partition and bucket."""
-    return df.groupBy("part", align_down(F.col(ticks), width).alias("bucket")).agg(
+def bucketed(df: DataFrame, width: int, value: str, ticks: str = "ts_ticks", exact: bool = True) -> DataFrame:
+    """The rollup: count, sum, min and max by partition and bucket. exact: values have two decimals at most."""
+    total = F.sum(F.col(value).cast(MONEY)) if exact else F.sum(value)
+    return df.filter(F.col(ticks).isNotNull()).groupBy("part", align_down(F.col(ticks), width).alias("bucket")).agg(
         F.count(value).alias("count"),
-        F.sum(F.col(value).cast(MONEY)).cast("double").alias("sum"),
+        total.cast("double").alias("sum"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
 
 
-def bucket_window(rollup: DataFrame, width: int, start: int, end: int) -> DataFrame:
-    """The buckets that overlap a range, whole; bounds are swapped if inverted."""
+def bucket_window(rollup: DataFrame, width: int, start: int, end: int, ends: DataFrame | None = None, window: int | None = None, exact: bool = True) -> DataFrame:
+    """The buckets that overlap a range, whole; bounds are swapped if inverted. ends: part and window_end, one row for each
+    partition; with them, the range is cut to each partition's own window, from window ticks before its end to that."""
     start, end = min(start, end), max(start, end)
     inside = rollup.filter((F.col("bucket") <= end) & (F.col("bucket") + width > start))
-    total = F.coalesce(F.sum(F.col("sum").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
+    if ends is not None:
+        of = ends.select(F.col("part").alias("__p"), F.col("window_end").alias("__end"))
+        inside = inside.join(of, F.col("part").eqNullSafe(F.col("__p"))).filter((F.col("bucket") <= F.col("__end")) & (F.col("bucket") + width > F.col("__end") - window))
+    summed = F.sum(F.col("sum").cast(MONEY)).cast("double") if exact else F.sum("sum")
+    total = F.coalesce(summed, F.lit(0.0))
     n = F.coalesce(F.sum("count"), F.lit(0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return inside.agg(n.alias("count"), total.alias("sum"), zero(F.min("min")).alias("min"), zero(F.max("max")).alias("max"), zero(F.when(n > 0, total / n)).alias("avg"))
@@ -59,7 +65,7 @@ def sliding(df: DataFrame, window: int, value: str, ticks: str = "ts_ticks", seq
     taken = admitted(df, window, ticks, seq)
     # one row per partition; an admitted event holds the largest time, so that of all events will do
     ends = df.groupBy(F.col("part").alias("__p")).agg(F.max(ticks).alias("end"))
-    inside = taken.join(ends, F.col("part") == F.col("__p")).filter(F.col(ticks) >= F.col("end") - window)
+    inside = taken.join(ends, F.col("part").eqNullSafe(F.col("__p"))).filter(F.col(ticks) >= F.col("end") - window)
     return inside.groupBy("part").agg(
         F.max("end").alias("window_end"),
         F.count(value).alias("count"),
@@ -69,10 +75,18 @@ def sliding(df: DataFrame, window: int, value: str, ticks: str = "ts_ticks", seq
     )
 
 
-def advances(df: DataFrame, ticks: str = "ts_ticks", seq: str = "seq") -> DataFrame:
-    """How often each partition's clock moved forward."""
+def ends(df: DataFrame, ticks: str = "ts_ticks") -> DataFrame:
+    """part and window_end, the largest event time of each partition."""
+    return df.groupBy("part").agg(F.max(ticks).alias("window_end"))
+
+
+def advances(df: DataFrame, ticks: str = "ts_ticks", seq: str = "seq", clocks: DataFrame | None = None) -> DataFrame:
+    """How often each partition's clock moved forward. clocks: part and window_end before df's events, if there were others."""
     before = prefix.running(df, {"__before": ("max", F.col(ticks))}, seq, own=False)
-    moved = F.coalesce(F.col(ticks) > F.col("__before"), F.lit(True))
+    if clocks is not None:
+        of = clocks.select(F.col("part").alias("__p"), F.col("window_end").alias("__end"))
+        before = before.join(of, F.col("part").eqNullSafe(F.col("__p")), "left").withColumn("__before", F.greatest("__before", "__end")).drop("__p", "__end")
+    moved = F.col(ticks).isNotNull() & F.coalesce(F.col(ticks) > F.col("__before"), F.lit(True))
     return before.groupBy("part").agg(F.count_if(moved).alias("advances"))
 
 

@@ -1,7 +1,8 @@
 """Every named query over the event tables, and the SQL that each must agree with.
 
 The store of these queries: partition = user_id mod 8, arrival order = event_id, 1000 events kept
-per partition. ``late`` queries let events arrive in reversed blocks of 16, so that some are late.
+per partition. ``late`` queries let events arrive in reversed blocks of 16, so that some are late. ``nulls`` queries
+have events without a partition, arrival number, time or key among them.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline import schema
 from eddyline.operators import aggregate, dashboard, ingest, retention, scan, telemetry, window
+from eddyline.options import StoreOptions
 from eddyline.sources import events as source
 from eddyline.sources import scratch, snapshots
+from eddyline.store import EventStore
 from eddyline.streaming import append, ring, windowed
 
 P, CAP = 8, 1000
@@ -38,6 +42,14 @@ _L = (
 )
 
 
+#: Events some of which lack a partition, an arrival number or a time, with their clock.
+_N = (
+    f"n AS (SELECT *, CASE WHEN user_id % 5 > 0 THEN (user_id % 8)::INT END AS part, CASE WHEN event_id % 97 > 0 THEN event_id END AS seq, "
+    f"CASE WHEN event_id % 89 > 0 THEN {_TICKS} END AS ts_ticks FROM events), "
+    "nc AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part ORDER BY seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS clock FROM n WHERE seq IS NOT NULL)"
+)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.events(spark, sf_dir, P)
 
@@ -57,6 +69,21 @@ def _late_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumns({"seq": e - e % 16 + (15 - e % 16), "ts_ticks": schema.ticks(log, "ts")})
 
 
+def _null_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    but = lambda unless, value: F.when(unless, value)
+    log = log.withColumns({"part": but(F.col("user_id") % 5 > 0, F.col("part")), "seq": but(F.col("event_id") % 97 > 0, F.col("event_id"))})
+    return log.withColumn("ts_ticks", but(F.col("event_id") % 89 > 0, schema.ticks(log, "ts")))
+
+
+def _event_store(spark: SparkSession, sf_dir: str, **options) -> tuple[EventStore, DataFrame]:
+    """An empty store of events with ticks as times, and the events."""
+    log = _log(spark, sf_dir)
+    events = log.select("user_id", schema.ticks(log, "ts").alias("ts_ticks"), "value", F.col("event_id").alias("seq"))
+    kind = T.StructType([f for f in events.schema.fields if f.name != "seq"])
+    return EventStore(spark, kind, StoreOptions(capacity_per_partition=CAP, partitions=P, key="user_id", ts="ts_ticks", value="value", **options)), events
+
+
 def query(sql: str | None):
     """Registers a function of (spark, sf_dir) under its name."""
 
@@ -312,9 +339,89 @@ def generated_load(spark, sf_dir):
     return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"))
 
 
+@query("SELECT event_id::VARCHAR AS id, 'g' || (user_id % 3) AS gateway_id, (user_id * 3)::INT AS valor, ts, event_type AS stream FROM events")
+def json_orders(spark, sf_dir):
+    """Orders that came as JSON lines by the names that gateways send, stamped with the stream that they came by."""
+    path = scratch.folder(spark, "orders")
+    log = _log(spark, sf_dir)
+    sent = log.select(
+        F.col("event_id").cast("string").alias("Id"), F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("GatewayId"),
+        (F.col("user_id") * 3).cast("int").alias("Valor"), F.col("ts").cast("timestamp").alias("Timestamp"), "event_type",
+    )
+    sent.write.partitionBy("event_type").option("timestampFormat", _ISO).json(path)
+    came = source.orders(spark, f"{path}/event_type=*", origin="file")
+    stamped = ingest.stream_orders(came.drop("stream"), F.regexp_extract("file", "event_type=([^/]+)", 1))
+    return stamped.select("id", "gateway_id", "valor", F.col("ts").cast("timestamp_ntz").alias("ts"), "stream")
+
+
+@query("SELECT count(*) AS n, true AS in_range, count(*) > 100 AS spread FROM events")
+def append_by_hash(spark, sf_dir):
+    """Events without a key go to partitions by a hash of the whole event."""
+    by = ingest.by_hash(_log(spark, sf_dir).drop("part"), ["event_id", "user_id", "value"], P).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return by.agg(F.sum("n").alias("n"), F.bool_and(F.col("part").between(0, P - 1)).alias("in_range"), (F.max("n") < 2 * F.sum("n") / P).alias("spread"))
+
+
+@query(
+    "WITH k AS (SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id))::INT AS key_id FROM events WHERE event_id % 7 > 0 GROUP BY event_type) "
+    "SELECT key_id, count(*) AS n FROM events LEFT JOIN k ON key = CASE WHEN event_id % 7 > 0 THEN event_type END GROUP BY key_id"
+)
+def append_by_key_nulls(spark, sf_dir):
+    """Events without a key stay, and have no number."""
+    log = _log(spark, sf_dir).withColumn("event_type", F.when(F.col("event_id") % 7 > 0, F.col("event_type")))
+    return ingest.encoded(log, ingest.dictionary(log, "event_type", "seq"), "event_type").groupBy("key_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # retention and state
 
 
+@query(f"WITH {_N} SELECT part, seq, event_id FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY seq DESC NULLS LAST) <= 1000")
+def snapshot_all_nulls(spark, sf_dir):
+    return retention.retain(_null_log(spark, sf_dir), CAP).select("part", "seq", "event_id")
+
+
+@query(f"WITH {_N} SELECT part, seq, event_id FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY seq DESC NULLS LAST) <= 1000")
+def snapshot_large_nulls(spark, sf_dir):
+    """The same by way of a cutoff, as for large logs."""
+    return retention.retain(_null_log(spark, sf_dir), CAP, large=True).select("part", "seq", "event_id")
+
+
+@query(
+    f"WITH {_N}, c AS (SELECT part, count(*) AS n FROM n GROUP BY part), a AS (SELECT count(*) FILTER (WHERE ts_ticks IS NOT NULL AND (b IS NULL OR ts_ticks > b)) AS m FROM "
+    "(SELECT ts_ticks, max(ts_ticks) OVER (PARTITION BY part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM n WHERE seq IS NOT NULL)) SELECT sum(n)::BIGINT AS append_count, sum(greatest(0, n - 1000))::BIGINT AS dropped_count, "
+    "sum(least(1000, n))::BIGINT AS buffered, any_value(m)::BIGINT AS window_advance_count FROM c, a"
+)
+def store_stats_nulls(spark, sf_dir):
+    """Advances of the events that have a place in the order; those without one have none among themselves."""
+    log = _null_log(spark, sf_dir)
+    stats = telemetry.store_stats(log, CAP)
+    moved = window.advances(log.filter("seq IS NOT NULL")).agg(F.sum("advances").alias("m"))
+    return stats.withColumn("window_advance_count", moved.scalar())
+
+
+@query(
+    f"WITH {_R}, s AS (SELECT count(*) AS n FROM events), k AS (SELECT count(*) AS kept FROM r), b AS (SELECT sum(greatest(0, n - 1000))::BIGINT AS d FROM (SELECT count(*) AS n FROM events GROUP BY user_id % 8)) "
+    "SELECT (2 * n)::BIGINT AS append_count, (2 * d)::BIGINT AS dropped_count, kept::BIGINT AS buffered, n::BIGINT AS since_clearing, 8 * kept::BIGINT AS snapshot_bytes_exposed FROM s, k, b"
+)
+def cleared_store(spark, sf_dir):
+    """A store filled, cleared and filled again: lasting counters go on, the others begin anew; views are counted."""
+    store, events = _event_store(spark, sf_dir)
+    store.append(events)
+    store.clear()
+    store.append(events)
+    store.views()
+    return store.stats().withColumn("since_clearing", F.lit(store.statistics()["appended"]).cast("long")).drop("window_advance_count")
+
+
+@query(f"WITH {_R} SELECT {_FIVE}, count(*)::BIGINT AS n FROM r WHERE {_TICKS} BETWEEN {T0} AND {T1 - 1}")
+def store_from_buckets(spark, sf_dir):
+    """A store that is asked again for a range of whole buckets answers from these."""
+    store, events = _event_store(spark, sf_dir, bucket_ticks=HOUR)
+    store.append(events.withColumn("value", F.col("value").cast(aggregate.MONEY)))
+    store.window(start=T0, end=T1 - 1)
+    five, n = store.window(start=T0, end=T1 - 1), store.count(start=T0, end=T1 - 1)
+    return five.withColumns({"sum": F.round("sum", 2), "avg": F.round("sum", 2) / F.col("count")}).withColumn("n", n.scalar())
+
+
 @query(f"SELECT {_LIST.replace('part', '(user_id % 8)::INT AS part')} FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id DESC) > 1000")
 def discarded_events(spark, sf_dir):
     return retention.discarded(_log(spark, sf_dir), CAP).select(*_COLUMNS)
@@ -385,6 +492,29 @@ def sliding_window_exact(spark, sf_dir):
     return window.sliding(_late_log(spark, sf_dir), 24 * HOUR, "value")
 
 
+@query(
+    f"WITH {_L}, e AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part) AS stop FROM c), a AS (SELECT * FROM e WHERE ts_ticks >= clock - {HALF_HOUR} "
+    f"AND ts_ticks - ts_ticks % {HOUR} + {HOUR} > stop - {24 * HOUR} AND ts_ticks - ts_ticks % {HOUR} <= {T1 + 240 * HOUR} AND ts_ticks - ts_ticks % {HOUR} + {HOUR} > {T0}) SELECT {_FIVE} FROM a"
+)
+def bucket_window_of_partitions(spark, sf_dir):
+    """The buckets of a range within each partition's own window."""
+    log = _late_log(spark, sf_dir)
+    rollup = window.bucketed(window.admitted(log, HALF_HOUR), HOUR, "value")
+    return window.bucket_window(rollup, HOUR, T0, T1 + 240 * HOUR, window.ends(log), 24 * HOUR)
+
+
+@query(f"WITH {_N} SELECT part, event_id, ts_ticks, clock FROM nc WHERE ts_ticks < clock - {HALF_HOUR}")
+def late_events_nulls(spark, sf_dir):
+    return window.late(_null_log(spark, sf_dir).filter("seq IS NOT NULL"), HALF_HOUR).select("part", "event_id", "ts_ticks", "clock")
+
+
+@query(f"WITH {_N} SELECT part, count(*) AS n, count(*) FILTER (WHERE seq IS NULL) AS without_number FROM n GROUP BY part")
+def running_totals_nulls(spark, sf_dir):
+    """Every event has its place in the running totals, the last of which are all events of the partition."""
+    run = aggregate.running(_null_log(spark, sf_dir), "value")
+    return run.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seq").isNull()).alias("without_number"))
+
+
 @query(f"WITH {_L}, b AS (SELECT part, clock, lag(clock) OVER (PARTITION BY part ORDER BY seq) AS b FROM c) SELECT part, count(*) FILTER (WHERE b IS NULL OR clock > b) AS advances FROM b GROUP BY part")
 def window_advances(spark, sf_dir):
     return window.advances(_late_log(spark, sf_dir))
@@ -477,6 +607,16 @@ def snapshot_roundtrip(spark, sf_dir):
     return store.restore(CAP, kept.schema)[0].select(*_COLUMNS)
 
 
+@query(f"WITH {_R} SELECT 'p' || part AS part_key, (row_number() OVER (PARTITION BY part ORDER BY event_id) - 1)::BIGINT AS seq, user_id::INT AS key_id, value, {_TICKS} AS ts_ticks FROM r")
+def binary_roundtrip(spark, sf_dir):
+    """Every partition as a file of the binary form, and read again."""
+    kept = _kept(spark, sf_dir)
+    rows = kept.select("part", "seq", F.col("user_id").cast("int").alias("key_id"), "value", schema.ticks(kept, "ts").alias("ts_ticks"))
+    path = scratch.folder(spark, "binary")
+    snapshots.write_packed(rows, path, dict.fromkeys(range(P), CAP), T0)
+    return snapshots.read_packed(spark, path).select("part_key", "seq", "key_id", "value", "ts_ticks")
+
+
 # streams
 
 
@@ -488,12 +628,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumns({"part": F.pmod("user_id", F.lit(P)).cast("int"), "seq": F.col("event_id")})
 
 
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 @query("SELECT event_type AS label, value, ts FROM events WHERE value IS NOT NULL")
 def json_metrics(spark, sf_dir):
-    """Metric events that came as JSON lines."""
+    """Metric events that came as JSON lines, by the names that services send."""
     path = scratch.folder(spark, "metrics")
     log = _log(spark, sf_dir)
-    log.select(F.col("event_type").alias("label"), "value", F.col("ts").cast("timestamp").alias("ts")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    log.select(F.col("event_type").alias("Label"), F.col("value").alias("Value"), F.col("ts").cast("timestamp").alias("Timestamp")).write.option("timestampFormat", _ISO).json(path)
     return source.metrics(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -520,17 +663,13 @@ def stream_ring(spark, sf_dir):
     f"WITH {_L}, e AS (SELECT *, max(ts_ticks) OVER (PARTITION BY part) AS stop, lag(clock) OVER (PARTITION BY part ORDER BY seq) AS b FROM c) "
     f"SELECT part, max(clock) AS clock, count(*) AS appended, count(*) FILTER (WHERE ts_ticks < clock - {HALF_HOUR}) AS late, "
     "count(*) FILTER (WHERE b IS NULL OR clock > b) AS advances, "
-    f"count(*) FILTER (WHERE ts_ticks >= clock - {HALF_HOUR} AND ts_ticks - ts_ticks % {5 * schema.MINUTE} + {5 * schema.MINUTE} > stop - {HALF_HOUR}) AS count FROM e GROUP BY part"
+    + ", ".join(f"coalesce({f} FILTER (WHERE ts_ticks >= clock - {HALF_HOUR} AND ts_ticks - ts_ticks % {5 * schema.MINUTE} + {5 * schema.MINUTE} > stop - {HALF_HOUR}), 0) AS {n}" for n, f in {"count": "count(*)", "sum": "sum(value::DECIMAL(18,2))::DOUBLE", "min": "min(value)", "max": "max(value)"}.items()).replace("::DOUBLE FILTER", " FILTER").replace("), 0) AS sum", "), 0)::DOUBLE AS sum")
+    + " FROM e GROUP BY part"
 )
 def stream_clock(spark, sf_dir):
-    """Each partition's clock, counters and bucketed window, kept in the state of a stream."""
+    """Each partition's clock, counters and bucketed window, carried on by a stream."""
     stream = _stream(spark, sf_dir)
     e = F.col("event_id")
     stream = stream.withColumns({"seq": e - e % 16 + (15 - e % 16), "ts_ticks": schema.ticks(stream, "ts")})
-    result = ring.bucket_windows(stream, HALF_HOUR, 5 * schema.MINUTE)
-    path = scratch.folder(spark, "clock")
-    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/b{n}")
-    result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch.folder(spark, "clock-state")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{path}/*")
-    columns = ("clock", "appended", "late", "advances", "count")
-    return rows.groupBy("part").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("part", *[f"x.{c}" for c in columns])
+    table = ring.ClockTable(spark, scratch.folder(spark, "clock"), HALF_HOUR, 5 * schema.MINUTE)
+    return table.drain(stream, scratch.folder(spark, "clock-state"))

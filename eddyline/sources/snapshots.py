@@ -1,7 +1,7 @@
 """Versioned snapshots of partitions: Parquet folders, and the compact binary file form.
 
-A snapshot of a partition lies in <root>/<key>/<version>_<taken>/, with its metadata in the
-names, so listing needs no file to be opened. It is written under another name first and renamed,
+A snapshot of a partition lies in <root>/<key>/<version>_<taken>_s<schema>_n<events>/, with its metadata in the
+names (the number of events where it is known), so listing needs no file to be opened. It is written under another name first and renamed,
 and an existing one is never overwritten. The newest is that of the largest (version, taken).
 Folders are handled through Hadoop's file system interface, so any store that Spark reaches will do.
 """
@@ -13,25 +13,29 @@ import logging
 import random
 import re
 import struct
+import threading
 import time
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eddyline import schema
-from eddyline.sources.scratch import ship
+from eddyline.sources.scratch import at, ship
 
 log = logging.getLogger("eddyline.snapshots")
 SCHEMA_VERSION = 1
-CATALOG = "part_key string, version long, taken long, schema_version int, path string"
+CATALOG = "part_key string, version long, taken long, schema_version int, events long, path string"
 _KEY = re.compile(r"[A-Za-z0-9_-]+")
 _DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))}
-_NAME = re.compile(r"(-?\d+)_(\d+)_s(\d+)")
+_NAME = re.compile(r"(-?\d+)_(\d+)_s(\d+)(?:_n(\d+))?")
 
 
 def checked_key(key: str) -> str:
@@ -84,12 +88,29 @@ def delays(options: SnapshotOptions, rng: random.Random | None = None) -> Iterat
         attempt += 1
 
 
+class Deltas:
+    """A place for writing what changed since a snapshot, and reading it at a restore; this one does neither."""
+
+    def write(self, key: str, version: int, events: DataFrame) -> None:
+        pass
+
+    def read(self, key: str, version: int) -> DataFrame | None:
+        return None
+
+
 class SnapshotStore:
-    """Snapshots under one root folder."""
+    """Snapshots under one root folder. by_key: of each partition, the version saved last, attempts and failures. trace
+    gets a name (snapshot.save or snapshot.prune) and tags, the seconds among them, when such a thing ends.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, options: SnapshotOptions | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, spark: SparkSession, root: str, options: SnapshotOptions | None = None, sleep: Callable[[float], None] = time.sleep,
+        trace: Callable[[str, dict], None] | None = None, deltas: Deltas | None = None,
+    ):
         self.spark, self.root, self.options, self.sleep = spark, root.rstrip("/"), options or SnapshotOptions(min_events=1), sleep
+        self.trace, self.deltas = trace or (lambda name, tags: log.info("%s %s", name, tags)), deltas or Deltas()
         self._counters = {"attempts": 0, "failures": 0, "saved": 0, "pruned": 0}
+        self.by_key: dict[str, dict[str, int]] = {}
 
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
@@ -110,35 +131,46 @@ class SnapshotStore:
         for key in self.keys():
             for name in self._names(f"{self.root}/{key}"):
                 if m := _NAME.fullmatch(name):
-                    found.append((key, int(m[1]), int(m[2]), int(m[3]), f"{self.root}/{key}/{name}"))
+                    found.append((key, int(m[1]), int(m[2]), int(m[3]), int(m[4]) if m[4] else None, f"{self.root}/{key}/{name}"))
         return self.spark.createDataFrame(found, CATALOG)
 
-    def _tried(self, what: str, attempt: Callable[[str], list[str]]) -> list[str]:
+    def _count(self, keys: list[str], what: str) -> None:
+        self._counters[what] += 1
+        for key in keys:
+            of = self.by_key.setdefault(key, {"version": 0, "attempts": 0, "failures": 0})
+            of[what] += 1
+
+    def _tried(self, versions: dict[str, int], attempt: Callable[[str], list[str]]) -> list[str]:
         """attempt(a new scratch folder), again with growing pauses if it fails; the folder is gone afterwards."""
-        pause = delays(self.options)
+        pause, keys, began = delays(self.options), list(versions), time.perf_counter()
+        what = f"{keys[0]} version {versions[keys[0]]}" if len(keys) == 1 else f"{len(keys)} partitions"
         for k in range(1, self.options.attempts + 1):
-            self._counters["attempts"] += 1
+            self._count(keys, "attempts")
             scratch = f"{self.root}/.saving-{uuid.uuid4().hex}"
             try:
                 made = attempt(scratch)
                 self._counters["saved"] += len(made)
-                log.info("saved %s", what)
+                for key in keys:
+                    self.by_key[key]["version"] = versions[key]
+                self.trace("snapshot.save", {"what": what, "outcome": "saved", "attempt": k, "seconds": time.perf_counter() - began})
                 return made
             except Exception as e:
-                self._counters["failures"] += 1
+                self._count(keys, "failures")
                 log.warning("saving %s failed, attempt %d: %s", what, k, e)
                 if isinstance(e, FileExistsError) or k == self.options.attempts:
+                    self.trace("snapshot.save", {"what": what, "outcome": "failed", "attempt": k, "seconds": time.perf_counter() - began})
                     raise
                 self.sleep(next(pause))
             finally:
                 self._fs().delete(self._path(scratch), True)
         raise AssertionError
 
-    def _moved(self, scratch: str, key: str, name: str) -> str:
-        """A written folder under its final name; an existing one stays as it is."""
+    def _moved(self, scratch: str, key: str, name: str, same: str) -> str:
+        """A written folder under its final name; an existing one of the same version and time stays as it is."""
         fs, target = self._fs(), f"{self.root}/{key}/{name}"
         fs.mkdirs(self._path(f"{self.root}/{key}"))
-        if fs.exists(self._path(target)) or not fs.rename(self._path(scratch), self._path(target)):
+        taken = [n for n in self._names(f"{self.root}/{key}") if n == same or n.startswith(f"{same}_n")]
+        if taken or not fs.rename(self._path(scratch), self._path(target)):
             raise FileExistsError(target)
         return target
 
@@ -149,9 +181,10 @@ class SnapshotStore:
 
         def attempt(scratch: str) -> list[str]:
             self._write(events, scratch)
-            return [self._moved(scratch, key, name)]
+            n = self.spark.read.parquet(scratch).count()  # from the files' footers
+            return [self._moved(scratch, key, f"{name}_n{n}", name)]
 
-        return self._tried(f"{key} version {version}", attempt)[0]
+        return self._tried({key: version}, attempt)[0]
 
     def _write(self, events: DataFrame, path: str, *by: str) -> None:
         events.write.partitionBy(*by).parquet(path)
@@ -163,13 +196,18 @@ class SnapshotStore:
         def attempt(scratch: str) -> list[str]:
             self._write(retained.filter(F.col("part").isin(*todo)).withColumn("__p", F.col("part")), scratch, "__p")
             made = []
+            held = {}
+            if self._names(scratch):
+                # from the files' footers; one row for each partition
+                held = {int(r["__p"]): r["n"] for r in self.spark.read.parquet(scratch).groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
             for part, version in sorted(todo.items()):
-                made.append(self._moved(self._folder(scratch, part, retained), f"p{part}", f"{version}_{taken}_s{SCHEMA_VERSION}"))
+                name = f"{version}_{taken}_s{SCHEMA_VERSION}"
+                made.append(self._moved(self._folder(scratch, part, retained), f"p{part}", f"{name}_n{held.get(part, 0)}", name))
                 del todo[part]
             return made
 
         if todo:
-            self._tried(f"{len(todo)} partitions", attempt)
+            self._tried({f"p{part}": version for part, version in sorted(todo.items())}, attempt)
         return {f"p{part}": version for part, version in sorted(versions.items())}
 
     def _folder(self, scratch: str, part: int, retained: DataFrame) -> str:
@@ -181,44 +219,63 @@ class SnapshotStore:
 
     def prune(self, key: str, keep: int | None = None) -> int:
         """Deletes all but the newest keep snapshots of a partition; below 1 nothing. Returns how many went."""
+        return self.prune_all([key], keep)
+
+    def prune_all(self, keys: list[str], keep: int | None = None) -> int:
+        """Prunes several partitions by one listing."""
         keep = self.options.keep if keep is None else keep
-        if keep < 1:
+        for key in keys:
+            checked_key(key)
+        if keep < 1 or not keys:
             return 0
-        gone = 0
-        for row in expendable(self.catalog().filter(F.col("part_key") == checked_key(key)), keep).collect():
+        gone, began = 0, time.perf_counter()
+        for row in expendable(self.catalog().filter(F.col("part_key").isin(*keys)), keep).collect():
             try:
                 gone += bool(self._fs().delete(self._path(row["path"]), True))
             except Exception as e:  # what can't be deleted now is tried at the next pruning
                 log.warning("pruning %s failed: %s", row["path"], e)
         self._counters["pruned"] += gone
+        self.trace("snapshot.prune", {"what": f"{len(keys)} partitions", "gone": gone, "seconds": time.perf_counter() - began})
         return gone
 
     def restore(self, capacity: int, kind: T.StructType) -> tuple[DataFrame, dict[str, int]]:
         """The newest snapshot of every partition, its newest capacity events, and the versions
         they had: later snapshots go on from there.
 
-        Snapshots that can't be read are left out. One of another schema is left out too, or an
-        error if the options expect a certain schema.
+        Snapshots that can't be read to their end are left out, all their partition's events with them. One of another schema is left out
+        too, or an error if the options expect a certain schema.
         """
         from eddyline.operators.retention import retain
 
         expected = self.options.expected_schema
-        parts, versions = [], {}
+        parts, versions, wanted = [], {}, []
         for row in newest(self.catalog()).collect():
             if row["schema_version"] != (expected or SCHEMA_VERSION):
                 if expected:
                     raise ValueError(f"{row['path']} has schema {row['schema_version']}, not {expected}")
                 continue
-            try:
-                self.spark.read.schema(kind).parquet(row["path"]).limit(1).collect()
-            except Exception as e:
-                log.warning("%s can't be read: %s", row["path"], e)
+            wanted.append(row)
+        held = self._whole([r["path"] for r in wanted], kind)
+        for row in wanted:
+            found = held.get(row["path"], 0)
+            if found != (row["events"] if row["events"] is not None else found) or (row["events"] is None and row["path"] not in held):
+                log.warning("%s can't be read: %d of %s events", row["path"], found, row["events"])
                 continue
             parts.append(row["path"])
             versions[row["part_key"]] = row["version"]
         out = self.spark.read.schema(kind).parquet(*parts) if parts else self.spark.createDataFrame([], kind)
         return retain(out, capacity), versions
 
+    def _whole(self, paths: list[str], kind: T.StructType) -> dict[str, int]:
+        """How many rows of each snapshot can be read, every column of them, by one job."""
+        if not paths:
+            return {}
+        names = {"/".join(p.rsplit("/", 2)[1:]): p for p in paths}
+        read = self.spark.read.schema(kind).option("ignoreCorruptFiles", "true").parquet(*paths)
+        of = F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)/[^/]+$", 1)
+        by = read.select(of.alias("of"), F.xxhash64(*[F.col(f"`{f.name}`") for f in kind.fields]).alias("h")).groupBy("of")
+        return {names[r["of"]]: r["n"] for r in by.agg(F.count(F.lit(1)).alias("n"), F.max("h")).collect() if r["of"] in names}  # one row a snapshot
+
     def metrics(self) -> DataFrame:
         """One row: attempts, failures, saved, pruned so far."""
         return self.spark.createDataFrame([tuple(self._counters.values())], ", ".join(f"{k} long" for k in self._counters))
@@ -228,25 +285,76 @@ class Snapshotter:
     """Saves a store's partitions when its snapshot options say that they are due, and once more at the end.
 
     store: has appended (how many events so far) and save(target, taken). tick() belongs after every batch,
-    such as in foreachBatch; as a context manager, what came after the last snapshot is saved on the way out.
+    such as in foreachBatch; start() has a thread do it, every poll seconds. A save that falls due while as many as pending wait
+    or run is dropped, and counted in dropped; what it would have saved is saved by the next. As a context manager, what came
+    after the last snapshot is saved on the way out.
     """
 
-    def __init__(self, store, target: SnapshotStore, clock: Callable[[], float] = time.time):
-        self.store, self.target, self.clock = store, target, clock
+    def __init__(self, store, target: SnapshotStore, clock: Callable[[], float] = time.time, pending: int = 1):
+        if pending < 1:
+            raise ValueError("pending must be at least 1")
+        self.store, self.target, self.clock, self.pending = store, target, clock, pending
         self._when, self._at = clock(), store.appended
+        self.dropped = 0
+        self._stop = threading.Event()
+        self._loop: threading.Thread | None = None
+        self._saver: ThreadPoolExecutor | None = None
+        self._waiting: list[Future] = []
 
     def tick(self) -> dict[str, int]:
         """The versions saved by key; none if nothing is due."""
+        return self._save() if self._due() else {}
+
+    def _due(self) -> bool:
         fresh = self.store.appended - self._at
-        return self._save() if fresh and self.target.options.due(self.clock() - self._when, fresh) else {}
+        return bool(fresh and self.target.options.due(self.clock() - self._when, fresh))
+
+    def submit(self) -> bool:
+        """Lets a save run in the background; false, and one more dropped, if too many do."""
+        self._saver = self._saver or ThreadPoolExecutor(1)
+        self._waiting = [f for f in self._waiting if not f.done()]
+        if len(self._waiting) >= self.pending:
+            self.dropped += 1
+            return False
+        self._waiting.append(self._saver.submit(self._save))
+        return True
+
+    def start(self, poll: float = 0.25) -> Snapshotter:
+        """Begins to look, every poll seconds, whether a snapshot is due."""
+
+        def loop() -> None:
+            while not self._stop.wait(poll):
+                try:
+                    if self._due():
+                        self.submit()
+                except Exception:
+                    log.warning("a snapshot could not be begun", exc_info=True)
 
-    def close(self) -> dict[str, int]:
+        if self._loop is None:
+            self._stop.clear()
+            self._loop = threading.Thread(target=loop, daemon=True)
+            self._loop.start()
+        return self
+
+    def close(self, timeout: float | None = None) -> dict[str, int]:
+        """Ends the thread, waits for saves that run (for timeout seconds at most), and saves what came since."""
+        self._stop.set()
+        if self._loop is not None:
+            self._loop.join()
+            self._loop = None
+        unfinished = wait(self._waiting, timeout).not_done
+        if self._saver is not None:
+            self._saver.shutdown(wait=False)
+            self._saver = None
+        if unfinished:
+            log.warning("a snapshot was still being saved after %s s", timeout)
+            return {}
         return self._save() if self.store.appended > self._at else {}
 
     def _save(self) -> dict[str, int]:
-        now = self.clock()
+        now, at = self.clock(), self.store.appended
         saved = self.store.save(self.target, schema.EPOCH_TICKS + int(now * schema.SECOND))
-        self._when, self._at = now, self.store.appended
+        self._when, self._at = now, at
         return saved
 
     def __enter__(self) -> Snapshotter:
@@ -307,22 +415,61 @@ def unpacked(data: bytes) -> tuple[int, str, int, int, list[tuple[int, float, in
     return schema_version, key, version, taken, [_EVENT.unpack_from(data, at + i * _EVENT.size) for i in range(count)]
 
 
-def read_packed(spark: SparkSession, path: str) -> DataFrame:
+PACKED = "part_key string, version long, taken long, schema_version int, seq long, key_id int, value double, ts_ticks long"
+
+
+def read_packed(spark: SparkSession, path: str, problems: bool = False) -> DataFrame:
     """Binary snapshot files as rows, read on the executors: part_key, version, taken, schema_version,
-    seq (the place in the file), key_id, value, ts_ticks. Files that can't be read have no rows."""
-    names = ["part_key", "version", "taken", "schema_version", "seq", *schema.KEYED.names]
+    seq (the place in the file), key_id, value, ts_ticks.
+
+    Spark passes over files of no bytes. Another file that can't be read (damaged, or of more than MOST_EVENTS events) is an error that names it. With problems, it is
+    a row that has only path and problem, columns that are null in the others.
+    """
+    kind = f"{PACKED}, path string, problem string"
+    names = [f.name for f in T.StructType.fromDDL(kind).fields]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for where, data in zip(batch.column(0), batch.column(1), strict=True):
                 try:
                     s, key, version, taken, found = unpacked(data.as_py())
-                except Exception:
-                    continue
-                out = [(key, version, taken, s, i, *e) for i, e in enumerate(found)]
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+                    out = [(key, version, taken, s, i, *e, None, None) for i, e in enumerate(found)]
+                except (ValueError, IndexError, struct.error, UnicodeDecodeError, EOFError, OSError, zlib.error) as e:
+                    if not problems:
+                        raise ValueError(f"{where.as_py()} can't be read: {e}") from e
+                    out = [(*[None] * 8, where.as_py(), str(e) or type(e).__name__)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.snap").load(path).select("content")
-    return files.mapInArrow(rows, "part_key string, version long, taken long, schema_version int, seq long, key_id int, value double, ts_ticks long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.snap").load(path).select("path", "content")
+    out = files.mapInArrow(rows, kind)
+    return out if problems else out.drop("path", "problem")
+
+
+def write_packed(retained: DataFrame, root: str, versions: dict[int, int], taken: int, seq: str = "seq", compress: bool = False) -> list[str]:
+    """Writes partitions in the binary form (key_id, value and ts_ticks of part, in order of seq): packed on the executors, one
+    partition at a time through the driver. An existing file is not overwritten. Returns the files' paths."""
+    spark = retained.sparkSession
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        part, rows = int(rows["part"].iloc[0]), rows.sort_values("seq", kind="stable")
+        if len(rows) > MOST_EVENTS:
+            raise ValueError(f"a binary snapshot holds {MOST_EVENTS} events at most")
+        events = list(zip(rows["key_id"].astype(int), rows["value"].astype(float), rows["ts_ticks"].astype("int64"), strict=True))
+        data = packed(f"p{part}", versions[part], taken, [(int(k), float(v), int(t)) for k, v, t in events], compress=compress)
+        return pd.DataFrame({"part": [part], "content": [data]})
+
+    ship(spark)
+    slim = retained.filter(F.col("part").isin(*versions)).select("part", F.col(seq).alias("seq"), "key_id", "value", "ts_ticks")
+    made = []
+    for row in slim.groupBy("part").applyInPandas(pack, "part int, content binary").toLocalIterator():
+        path = f"{root.rstrip('/')}/p{row['part']}_{versions[row['part']]}_{taken}.snap"
+        p, fs = at(spark, path)
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(row["content"]))
+        finally:
+            out.close()
+        made.append(path)
+    return sorted(made)

@@ -125,12 +125,69 @@ def test_binary_form(spark, tmp_path):
         (tmp_path / f"{compress}.snap").write_bytes(data)
     (tmp_path / "cut.snap").write_bytes(snapshots.packed("a", 1, 1, events)[:-3])
     (tmp_path / "x.txt").write_bytes(b"")
-    got = snapshots.read_packed(spark, str(tmp_path))
-    assert got.count() == 4 and {(r["seq"], r["key_id"]) for r in got.collect()} == {(0, 1), (1, -3)}
+    with pytest.raises(Exception, match="cut.snap can't be read"):
+        snapshots.read_packed(spark, str(tmp_path)).collect()
+    got = snapshots.read_packed(spark, str(tmp_path), problems=True)
+    assert got.count() == 5 and {(r["seq"], r["key_id"]) for r in got.filter("problem IS NULL").collect()} == {(0, 1), (1, -3)}
+    bad = got.filter("problem IS NOT NULL").first()
+    assert bad["path"].endswith("cut.snap") and "out of range" in bad["problem"] and bad["key_id"] is None
     with pytest.raises(ValueError):
         snapshots.unpacked(snapshots.packed("a", 1, 1, events)[:-3])
 
 
+def test_a_file_of_too_many_events_is_reported(spark, tmp_path, monkeypatch):
+    data = bytearray(snapshots.packed("a", 1, 1, [(1, 1.0, 1)]))
+    data[4 + 2 + 16 : 4 + 2 + 20] = (snapshots.MOST_EVENTS + 1).to_bytes(4, "little")
+    (tmp_path / "big.snap").write_bytes(bytes(data))
+    for k, junk in enumerate((b"", b"\x1f\x8bxx", b"\x00" * 9, b"\xff" * 40)):
+        (tmp_path / f"j{k}.snap").write_bytes(junk)
+    assert snapshots.read_packed(spark, str(tmp_path), problems=True).filter("problem IS NOT NULL").count() == 4
+
+
+def test_binary_files_written_by_spark(spark, tmp_path):
+    df = spark.createDataFrame([(p, s, s % 5, s / 4, 1000 + s) for p in (0, 1) for s in range(30)], "part int, seq long, key_id int, value double, ts_ticks long")
+    made = snapshots.write_packed(df.orderBy(F.desc("seq")), str(tmp_path), {0: 30, 1: 31}, 77, compress=True)
+    assert [m.rsplit("/", 1)[1] for m in made] == ["p0_30_77.snap", "p1_31_77.snap"]
+    got = snapshots.read_packed(spark, str(tmp_path)).orderBy("part_key", "seq").collect()
+    assert [tuple(r) for r in got] == [(f"p{p}", 30 + p, 77, 1, s, s % 5, s / 4, 1000 + s) for p in (0, 1) for s in range(30)]
+    with pytest.raises(Exception):  # noqa: B017  # Hadoop's, of a file that exists
+        snapshots.write_packed(df, str(tmp_path), {0: 30}, 77)
+
+
+def test_damage_beyond_the_first_row_is_found(spark, store):
+    """A file cut off, and one of a snapshot's files gone: the partition is left out, the others are restored."""
+    many = spark.range(20_000).select(F.lit(0).alias("part"), F.col("id").alias("seq"), F.rand(1).alias("value"))
+    for part in (0, 1, 2):
+        store.save(many.withColumn("part", F.lit(part)).repartition(3), f"p{part}", 1, 1)
+    from pathlib import Path
+
+    files = {p: sorted(Path(store.root, f"p{p}").rglob("part-*.parquet")) for p in (0, 1)}
+    data = bytearray(files[0][1].read_bytes())
+    data[len(data) // 4 : len(data) // 2] = b"x" * (len(data) // 2 - len(data) // 4)
+    files[0][1].write_bytes(bytes(data))
+    files[0][1].with_name(f".{files[0][1].name}.crc").unlink(missing_ok=True)
+    files[1][0].unlink()
+    kept, versions = store.restore(50_000, many.schema)
+    assert set(versions) == {"p2"} and kept.count() == 20_000
+
+
+def test_metrics_of_partitions_and_traces(spark, tmp_path, monkeypatch):
+    told = []
+    target = SnapshotStore(spark, str(tmp_path / "snaps"), SnapshotOptions(min_events=1), sleep=lambda s: None, trace=lambda name, tags: told.append((name, tags["what"])))
+    kind = T.StructType([T.StructField("key_id", T.IntegerType())])
+    s = EventStore(spark, kind, StoreOptions(partitions=2, key="key_id", capacity_per_partition=3))
+    events = lambda a, b: spark.createDataFrame([(i % 2, i) for i in range(a, b)], "key_id int, seq long")
+    s.append(events(0, 10))
+    write = target._write
+    monkeypatch.setattr(target, "_write", lambda *a: (monkeypatch.setattr(target, "_write", write), 1 / 0))
+    s.save(target, 1)
+    s.append(events(10, 13))
+    assert sorted(map(tuple, s.snapshot_metrics(target).collect())) == [(0, 5, 7, 2, 3, 2, 1), (1, 5, 6, 1, 3, 2, 1)]
+    assert [n for n, _ in told] == ["snapshot.save", "snapshot.prune"]
+    s.compact()
+    assert [r["head_version"] for r in s.snapshot_metrics(target).orderBy("part").collect()] == [7, 6]
+
+
 def test_expendable_and_newest(spark):
     catalog = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 2, 2), ("b", 1, 1)], "part_key string, version long, taken long")
     assert sorted(map(tuple, snapshots.newest(catalog).collect())) == [("a", 2, 2), ("b", 1, 1)]
@@ -157,6 +214,35 @@ def test_snapshots_when_due(spark, tmp_path):
     assert [(r["part_key"], r["version"]) for r in target.catalog().collect()] == [("p0", 9)]
 
 
+def test_saves_in_the_background(spark, tmp_path):
+    """A thread saves what is due; a save that finds another running is dropped and counted; what is left is saved at the end."""
+    import threading
+    import time as clock
+
+    class Slow:
+        appended, saved, free = 0, [], threading.Event()
+
+        def save(self, target, taken):
+            self.free.wait(20)
+            self.saved.append(self.appended)
+            return {"p0": self.appended}
+
+    slow, target = Slow(), SnapshotStore(spark, str(tmp_path / "x"), SnapshotOptions(min_events=1))
+    with snapshots.Snapshotter(slow, target).start(poll=0.01) as s:
+        slow.appended = 5
+        end = clock.time() + 20
+        while not s.dropped and clock.time() < end:
+            clock.sleep(0.01)
+        assert s.dropped and not slow.saved
+        slow.free.set()
+        while not slow.saved and clock.time() < end:
+            clock.sleep(0.01)
+        slow.appended = 9
+    assert slow.saved[0] in (5, 9) and slow.saved[-1] == 9 and s._loop is None
+    with pytest.raises(ValueError):
+        snapshots.Snapshotter(slow, target, pending=0)
+
+
 def test_all_partitions_in_one_write(spark, store, monkeypatch):
     write, calls = store._write, []
     monkeypatch.setattr(store, "_write", lambda *a: (calls.append(a[1]), write(*a)))

@@ -1,4 +1,4 @@
-"""Streams: bounded appends, windows with a watermark, the clock in keyed state, JSON events."""
+"""Streams: bounded appends, windows with a watermark, the clock, JSON events."""
 
 import datetime as dt
 import json
@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from eddyline import schema
-from eddyline.operators import retention, window
+from eddyline.operators import prefix, retention, window
 from eddyline.sources import events as source
 from eddyline.streaming import append, ring, windowed
 
@@ -44,24 +44,29 @@ def test_ring_table_without_events(spark, tmp_path):
     assert table.drain(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")), str(tmp_path / "state")).count() == 0
 
 
-def test_clock_in_state_equals_the_batch_result(spark, tmp_path):
+def test_carried_clocks_equal_the_batch_result(spark, tmp_path, monkeypatch):
+    """In files that cut the stream, with small chunks; one partition is that of events without a key, and some events have no time."""
+    monkeypatch.setattr(prefix, "CHUNK", 16)
     r = random.Random(7)
     s, width, size = schema.SECOND, schema.SECOND, 20 * schema.SECOND
-    rows = [(i % 2, i, (1000 + i + r.randrange(-40, 3)) * s, float(r.randrange(100))) for i in range(240)]
-    out = ring.bucket_windows(_files(spark, tmp_path, rows, LOG, [60, 61, 150]), size, width)
-    found = {}
-    write = lambda batch, n: found.update({x["part"]: x for x in batch.collect()})
-    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = [(r.choice([0, 1, None]), i, None if i % 50 == 7 else (1000 + i + r.randrange(-40, 3)) * s, float(r.randrange(100))) for i in range(240)]
+    table = ring.ClockTable(spark, str(tmp_path / "clock"), size, width)
+    found = {x["part"]: x for x in table.drain(_files(spark, tmp_path, rows, LOG, [60, 61, 150]), str(tmp_path / "state")).collect()}
     df = spark.createDataFrame(rows, LOG)
     late = {x["part"]: x["count"] for x in window.late(df, size).groupBy("part").count().collect()}
     moved = {x["part"]: x["advances"] for x in window.advances(df).collect()}
-    ends = {p: max(t for q, _, t, _ in rows if q == p) for p in (0, 1)}
+    ends = {p: max(t for q, _, t, _ in rows if q == p and t) for p in (0, 1, None)}
     cells = window.bucketed(window.admitted(df, size), width, "value").collect()
     for p, x in found.items():
         inside = [c for c in cells if c["part"] == p and c["bucket"] + width > ends[p] - size]
-        assert (x["clock"], x["appended"], x["late"], x["advances"]) == (ends[p], 120, late.get(p, 0), moved[p])
-        assert (x["count"], x["sum_cents"]) == (sum(c["count"] for c in inside), round(100 * sum(c["sum"] for c in inside)))
-    assert set(found) == {0, 1}
+        assert (x["clock"], x["appended"], x["late"], x["advances"]) == (ends[p], sum(q == p for q, *_ in rows), late.get(p, 0), moved[p])
+        assert (x["count"], x["sum"], x["min"], x["max"]) == (sum(c["count"] for c in inside), sum(c["sum"] for c in inside), min(c["min"] for c in inside), max(c["max"] for c in inside))
+    assert set(found) == {0, 1, None} and len(table._versions()) == 2
+    # a batch that runs again starts from the version before it
+    last = table._versions()[-1]
+    table._take(df.filter("seq >= 150"), last)
+    assert {x["part"]: tuple(x) for x in table.windows().collect()} == {p: tuple(x) for p, x in found.items()}
+    assert ring.ClockTable(spark, str(tmp_path / "none"), size, width).windows().count() == 0
 
 
 def test_windowed_drops_late_events(spark, tmp_path):
@@ -84,6 +89,23 @@ def test_json_events(spark, tmp_path):
     assert source.sensors(spark, str(tmp_path / "s"), stream=True).isStreaming
 
 
+def test_json_by_the_names_that_services_send(spark, tmp_path):
+    """Names in any case, an order's and a metric's own; further and broken fields and lines."""
+    (tmp_path / "o.json").write_text("\n".join([
+        json.dumps({"Id": "a", "Valor": 10, "Timestamp": "2024-01-15T12:00:00.1234567Z", "GatewayId": "g1", "More": {"x": [1]}}),
+        json.dumps({"ID": "b", "VALOR": "20", "timestamp": "2024-01-15T14:00:00+02:00", "gatewayid": "g2", "Stream": "s"}),
+        json.dumps({"id": "c", "valor": 2.5}), '{"id": "d", "id": "e", "valor": 7}', "", "nonsense", "[1]",
+    ]))
+    got = source.orders(spark, str(tmp_path / "o.json"), corrupt="bad").collect()
+    first = dt.datetime(2024, 1, 15, 12, 0, 0, 123456)
+    assert [tuple(x) for x in got[:3]] == [("a", None, "g1", 10, first, None), ("b", "s", "g2", 20, first.replace(microsecond=0), None), ("c", None, None, None, None, None)]
+    assert got[3]["valor"] == 7 and [x["bad"] for x in got[4:]] == ["nonsense", "[1]"]
+    assert source.orders(spark, str(tmp_path / "o.json")).columns == schema.ORDER.names
+    (tmp_path / "m.json").write_text("\n".join([json.dumps({"Label": "cpu", "Value": 1.5, "Timestamp": "2024-01-15T12:00:00Z"}), json.dumps({"LABEL": "x"}), "{"]))
+    assert [tuple(x) for x in source.metrics(spark, str(tmp_path / "m.json")).collect()] == [("cpu", 1.5, first.replace(microsecond=0))]
+    assert [x["bad"] for x in source.metrics(spark, str(tmp_path / "m.json"), corrupt="bad").collect()] == [None, '{"LABEL": "x"}', "{"]
+
+
 def test_progress_calls_back_at_each_step(spark):
     from types import SimpleNamespace
 
