@@ -166,9 +166,9 @@ class Pages:
         some = lambda p, f: f() if r.random() < p else ""
         before = [some(0.6, self.header), some(0.7, self.nav), some(0.25, self.notice), some(0.4, self.ad), some(0.2, self.form), some(0.2, self.sidebar)]
         r.shuffle(before)
-        if r.random() < 0.12:
-            before = []
         before = [some(0.12, self.unscripted), some(0.08, self.hidden), *before]
+        if r.random() < 0.15:
+            before = []
         after = [some(0.35, self.sidebar), some(0.35, self.comments), some(0.2, self.ad), some(0.2, self.share), some(0.2, self.form)]
         r.shuffle(after)
         return (

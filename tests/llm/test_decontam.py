@@ -24,6 +24,17 @@ def test_agrees_with_sql(spark):
     H.agrees(spark, decontam.op7_decontaminate, decontam.ORACLE, H.SMALL)
 
 
+def test_windows_that_many_items_share(spark, monkeypatch):
+    """A passage of 300 items, many times in one document and once in others: places and items are told apart, by joins of both kinds."""
+    shared = " ".join(f"w{i}" for i in range(12))
+    items = [(f"i{k}", f"{shared} own{k} tail{k}") for k in range(300)] + [("short", "w3 w4"), ("blank", " ")]
+    docs = [(1, " x ".join([shared] * 40)), (2, f"{shared} own7"), (3, "w3 w4"), (4, "w4 w3"), (5, None)]
+    want = _want(docs, items)
+    assert _found(spark, docs, items) == want and want[1][2] == 301
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 0)
+    assert _found(spark, docs, items) == want
+
+
 def test_against_brute_force(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{H.TINY}/benchmark.parquet'").fetchall()
     texts = duckdb.sql(f"SELECT doc_id, text FROM '{H.TINY}/documents.parquet'").fetchall()

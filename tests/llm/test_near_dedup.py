@@ -39,6 +39,27 @@ def test_cloud_of_near_copies(spark, monkeypatch):
     assert len({c for _, c in got.values()}) > 5
 
 
+def test_agrees_with_sql(spark):
+    H.agrees(spark, near_dedup.op3_near_dedup, near_dedup.ORACLE, H.SMALL)
+
+
+def test_thresholds_that_the_minima_can_not_serve():
+    assert near_dedup.bands_for(0.85) == 16 and near_dedup.bands_for(0.8) == 22
+    with pytest.raises(ValueError):
+        near_dedup.bands_for(0.6)
+
+
+def test_sets_are_sent_for_likely_partners_only():
+    """Of a pair of blocks, members whose signatures leave no hope for any partner in it are not named."""
+    r = np.random.default_rng(1)
+    signed = lambda s: near_dedup.packed(near_dedup.minima(text_hash.mixed(s))).view(np.int64).tolist()
+    sets = [np.arange(1000, dtype=np.uint64), np.arange(50, 1050, dtype=np.uint64), r.integers(0, 1 << 60, 1000, dtype=np.uint64)]
+    rows = [{"g": "k:0:1", "side": int(i > 0), "rep": i, "label": i, "n": 1000, "band": 0, "keys": [i], "bits": signed(s), "shingles": s.tolist()} for i, s in enumerate(sets)]
+    cut = near_dedup.hopeless_below(0.85)
+    assert list(near_dedup._partnered(rows, 85, cut)) == [("k:0:1", 0), ("k:0:1", 1)]
+    assert list(near_dedup._linked(rows, 85, cut)) == [(0, 1)]
+
+
 def test_odd_rows(spark):
     docs = H.odd(spark, id=0, n=1, kept=False, component_id=2)
     got = near_dedup.near_duplicates(docs, 3, 85).collect()

@@ -32,6 +32,37 @@ def test_random_texts(spark, tmp_path):
     _check({x["doc_id"]: x for x in pii.op2_pii(spark, path).collect()}, texts)
 
 
+def test_base_spans_agree_with_sql(spark):
+    H.agrees(spark, pii.pii_base_spans, pii.BASE_ORACLE, H.SMALL)
+
+
+def test_added_spans_against_brute_force(spark):
+    """Every added span is a match of its kind's loose pattern by Python's matcher, at its place, passes its kind's checks, lies
+    clear of base spans and of other added ones, and no clear match that scores enough is missing."""
+    r = random.Random(9)
+    parts = ["jane.doe (at) example (dot) com", "x[at]y[dot]org", "(415) 555-2671", "415-555-2671", "4111111111111111", "4111 1111 1111 1111", "Dr. Anna Weber", "Mr Smith", "a@b.org", "call",
+             "phone", "card", "mail", "version", "1.2.3.4", "+49 30 1234567", "word", "12", ",", "."]
+    texts = [(i, " ".join(r.choices(parts, k=r.randint(1, 12)))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    at = {d: t for d, t in texts}
+    found = {}
+    for x in pii.spans(docs, least=0.0).collect():
+        found.setdefault(x["id"], []).append((pii.KINDS[x["kind"]], x["s"], x["e"], x["m"], x["base"], x["score"]))
+    fine = {"card": lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and H.luhn(re.sub("[^0-9]", "", m)), "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15}
+    for d, text in texts:
+        mine = found.get(d, [])
+        base = [(k, s, e) for k, s, e, _, b, _ in mine if b]
+        assert sorted(f"{k}:{s}:{e}" for k, s, e in base) == sorted(H.base_spans(text))
+        loose = [(kind, m.start(), m.end()) for kind, is_base, _, p in pii.PATTERNS if not is_base for m in re.finditer(p, text) if fine.get(kind, bool)(m[0])]
+        clear = [x for x in loose if all(x[2] <= s or x[1] >= e for _, s, e in base)]
+        added = [(k, s, e) for k, s, e, _, b, _ in mine if not b]
+        assert set(added) <= set(clear) and all(at[d][s:e] == m for _, s, e, m, *_ in mine)
+        for x in set(clear) - set(added):  # only one that another covers is left out
+            assert any(x[1] < e and s < x[2] for _, s, e in added)
+    strict = {(x["id"], x["s"]) for x in pii.spans(docs, least=0.9).filter("NOT base").collect()}
+    assert strict == {(d, s) for d, xs in found.items() for k, s, e, m, b, score in xs if not b and score >= 0.9}
+
+
 def test_loose_candidates_and_redaction(spark):
     rows = [
         (i, t) for i, t in enumerate((
