@@ -2,7 +2,8 @@
 
 Method. Four kinds of evidence about a page's language are multiplied. Text: hashed byte trigrams under a
 multinomial model per language, fitted on documents whose language is known and tempered to
-EFFECTIVE independent trigrams. Markup: the language that the page declares. Address suffix: the top-level
+EFFECTIVE independent trigrams. Markup: the language that the page declares, in its html element's lang or xml:lang, or else a
+meta element's content-language, or else og:locale. Address suffix: the top-level
 domain and the first path segment where it is a code of two letters. Host: a prior from the other pages
 of the host, smoothed towards its domain, which is smoothed towards the whole. How far markup and suffixes can be
 trusted, and the priors, come from grouped sums of the text posteriors over all pages, so a site
@@ -87,6 +88,26 @@ def text_model(docs: DataFrame, sample: int = SAMPLE, ident: str = "doc_id", tex
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
+_META = r"(?i)<meta\s[^>]{0,400}?(?:content-language|og:locale)[^>]{0,400}>"
+
+
+def markup(html: Column) -> Column:
+    """The tags of a page that may declare its language: the html element's, and the first such meta elements'."""
+    metas = F.slice(F.regexp_extract_all(html, F.lit(_META), F.lit(0)), 1, 4)
+    return F.concat_ws("", F.regexp_extract(html, r"(?i)<html\b[^>]*>", 0), F.array_join(metas, ""))
+
+
+def declared(tags: Column) -> Column:
+    """The language code of two letters that tags, or a whole page, declare; empty if none is."""
+    in_html = F.regexp_extract(tags, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})(?![a-zA-Z])", 1)
+    of = lambda name: r"(?i)<meta\s(?=[^>]{0,400}" + name + r")[^>]{0,400}?\bcontent\s*=\s*[\"']?\s*([a-zA-Z]{2})(?![a-zA-Z])"
+    by_meta = [F.regexp_extract(tags, of(name), 1) for name in ("content-language", "og:locale")]
+    out = F.lit("")
+    for c in reversed([in_html, *by_meta]):
+        out = F.when(c != "", c).otherwise(out)
+    return out
+
+
 def _code(c: Column) -> Column:
     """A code of two letters, or none."""
     c = F.lower(c)
@@ -125,10 +146,9 @@ def identify(
     base.ship(pages.sparkSession)
     langs, logs = model
     pages = base.fresh(pages, *(o for o in OUTPUTS if o not in (text, html, url)))
-    attribute = F.regexp_extract(F.col(html), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})(?![a-zA-Z])", 1)
     host = F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]+)", 1))
     coded = pages.withColumns({
-        "declared": F.coalesce(_code(attribute), F.lit("none")),
+        "declared": F.coalesce(_code(declared(F.col(html))), F.lit("none")),
         "__host": F.coalesce(host, F.lit("")),
         "__tld": F.coalesce(_code(F.substring_index(host, ".", -1)), F.lit("none")),
         "__path": F.coalesce(_code(F.regexp_extract(F.col(url), r"^[^/]*//[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1)), F.lit("none")),
@@ -179,5 +199,5 @@ def identify(
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     model = text_model(base.read(spark, sf_dir, "documents"))
-    pages = extract(base.read(spark, sf_dir, "pages"), text="main", n_chars="main_chars").select("page_id", "url", F.regexp_extract("html", r"(?i)<html\b[^>]*>", 0).alias("tag"), "main")
+    pages = extract(base.read(spark, sf_dir, "pages"), text="main", n_chars="main_chars").select("page_id", "url", markup(F.col("html")).alias("tag"), "main")
     return identify(pages, model, text="main", html="tag").select("page_id", "url", *OUTPUTS)

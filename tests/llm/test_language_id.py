@@ -45,6 +45,21 @@ def test_markup_that_does_not_agree_with_texts_is_not_believed(spark, model):
     assert set(out.values()) == {"de"}
 
 
+def test_declared_in_several_ways(spark):
+    cases = [
+        ("<html lang=de-AT>", "de"), ("<html xml:lang='fr'>", "fr"), ('<html class="x" LANG = "ES">', "es"), ("<html data-lang2='x'>", ""),
+        ('<html><meta http-equiv="Content-Language" content="de, en">', "de"), ('<html><meta content="fr_FR" property="og:locale">', "fr"),
+        ('<html><meta property="og:locale" content="es_ES"><meta http-equiv=content-language content=en>', "en"), ("<html lang=de><meta name=content-language content=fr>", "de"),
+        ("<html><meta name=description content=en>", ""), ("<html lang=english>", ""), ("", ""), (None, ""), ("<meta " * 50_000, ""),
+    ]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, html string")
+    from pyspark.sql import functions as F
+
+    for tags in (F.col("html"), language_id.markup(F.col("html"))):
+        got = [(r["d"] or "").lower() for r in docs.select("id", language_id.declared(tags).alias("d")).orderBy("id").collect()]
+        assert got == [c[1] for c in cases]
+
+
 def test_pages(spark):
     got = language_id.op6_language_id(spark, H.TINY)
     assert got.columns == ["page_id", "url", *language_id.OUTPUTS]
