@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,13 +77,47 @@ def fold(df: DataFrame, columns: list[str], seed: Column, step: Callable[[Column
     """A left fold in scan order over each group (all events as one group without by).
 
     The group's columns are gathered in order, so this is for folds that no aggregate expresses, over groups of
-    bounded size such as a store's partitions.
+    bounded size such as a store's partitions. For larger ones see streamed_fold.
     """
     rows = F.array_sort(F.collect_list(F.struct("part", seq, *columns)))
     grouped = df.groupBy(*by) if by else df.groupBy()
     return grouped.agg(rows.alias("__rows")).select(*(by or []), F.reduce("__rows", seed, step).alias("result"))
 
 
+def streamed_fold(
+    df: DataFrame, by: str, columns: list[str], seed: Callable[[], Any], step: Callable[[Any, pa.RecordBatch], Any], finish: Callable[[Any], dict], schema: str, seq: str = "seq"
+) -> DataFrame:
+    """A left fold in scan order over each group, of any size: rows are sorted by Spark, which spills, and pass a Python function in
+    batches; only the state between them is held. seed() gives a group's first state, finish(state) the columns of schema.
+    """
+    kind = df.schema[by].dataType
+    out = to_arrow_schema(T.StructType([T.StructField(by, kind), *T.StructType.fromDDL(schema).fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
+        for batch in batches:
+            keys = batch.column(0)
+            at = 0
+            while at < batch.num_rows:
+                here = keys[at]
+                same = pc.is_null(keys) if not here.is_valid else pc.equal(keys, here)
+                differs = pc.index(pc.fill_null(same.slice(at), False), False).as_py()
+                to = batch.num_rows if differs < 0 else at + differs
+                if not begun or here.as_py() != key:
+                    if begun:
+                        yield pa.RecordBatch.from_pylist([{by: key, **finish(state)}], out)
+                    key, state, begun = here.as_py(), seed(), True
+                state = step(state, batch.slice(at, to - at).select(columns))
+                at = to
+        if begun:
+            yield pa.RecordBatch.from_pylist([{by: key, **finish(state)}], out)
+
+    ship(df.sparkSession)
+    order = list(dict.fromkeys([by, "part", seq]))
+    rows = df.select(*dict.fromkeys([*order, *columns])).repartition(by).sortWithinPartitions(*order)
+    return rows.mapInArrow(run, f"`{by}` {kind.simpleString()}, {schema}")
+
+
 def until(df: DataFrame, stop: Column, seq: str = "seq") -> DataFrame:
     """Events in scan order up to the first that meets stop, itself included.
 

@@ -267,6 +267,22 @@ def ordered_fold(spark, sf_dir):
     return folded.select("part", F.col("result.total").alias("result"))
 
 
+@query(
+    f"WITH {_R}, o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY part, event_id) AS k, event_id FROM r) "
+    "SELECT user_id, (sum(event_id * (k % 7)))::BIGINT AS result FROM o GROUP BY user_id"
+)
+def ordered_fold_streamed(spark, sf_dir):
+    """The same by user, without gathering a group's events."""
+    import numpy as np
+
+    def step(state, batch):
+        k, total = state
+        place = (np.arange(k + 1, k + 1 + batch.num_rows)) % 7
+        return k + batch.num_rows, total + int((batch.column("event_id").to_numpy() * place).sum())
+
+    return aggregate.streamed_fold(_kept(spark, sf_dir), "user_id", ["event_id"], lambda: (0, 0), step, lambda s: {"result": s[1]}, "result long")
+
+
 @query(
     f"WITH {_R}, s AS (SELECT part AS sp, event_id AS se FROM r WHERE value >= 200 ORDER BY part, event_id LIMIT 1) "
     "SELECT count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM r LEFT JOIN s ON true WHERE se IS NULL OR (part, event_id) <= (sp, se)"

@@ -261,9 +261,10 @@ class EventStore:
         return aggregate.count(self._within(where, start, end))
 
     def sum(self, value=None, where: Column | None = None, start=None, end=None) -> DataFrame:
+        scanned = aggregate.total(self._within(where, start, end), self._value(value))
         if (held := self._buckets(value, where, start, end)) is not None:
-            return aggregate.total(held, F.col("sum"))
-        return aggregate.total(self._within(where, start, end), self._value(value))
+            return aggregate.total(held, F.col("sum").cast(scanned.schema["sum"].dataType)).select(F.col("sum").cast(scanned.schema["sum"].dataType))
+        return scanned
 
     def min(self, value=None, where: Column | None = None, start=None, end=None) -> DataFrame:
         if (held := self._buckets(value, where, start, end)) is not None:

@@ -256,3 +256,124 @@ def test_statistics_and_compaction(spark):
     stats = s.stats().first()
     assert (stats["append_count"], stats["dropped_count"], stats["buffered"]) == (12, 8, 4)
     assert s.statistics()["discarded"] == 8
+
+
+TICKS = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("t", T.LongType()), T.StructField("v", T.DecimalType(12, 3))])
+
+
+def ticked(spark, rows, **options):
+    """A store of (k, t, v), in arrival order."""
+    s = EventStore(spark, TICKS, StoreOptions(**({"capacity_per_partition": 1000, "partitions": 2, "key": "k", "ts": "t", "value": "v"} | options)))
+    s.append(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k int, t long, v double, seq long"))
+    return s
+
+
+def test_aggregates_from_buckets_are_the_scan_s(spark):
+    """Asked again for whole buckets, the store answers from these; kinds and values are those of the scan."""
+    r = random.Random(2)
+    rows = [(r.randrange(9), r.randrange(1000), r.choice([None, r.randrange(-500, 900) / 8])) for _ in range(400)]
+    s, plain = ticked(spark, rows, bucket_ticks=100), ticked(spark, rows)
+    asked = lambda s, f, a, b: getattr(s, f)(start=a, end=b)
+    asked(s, "sum", 0, 99)
+    for a, b in ((0, 99), (100, 699), (900, 2999), (5000, 5099), (150, 349)):
+        for f in ("count", "sum", "min", "max", "avg", "window"):
+            got, want = asked(s, f, a, b), asked(plain, f, a, b)
+            assert got.schema == want.schema or [x.dataType for x in got.schema] == [x.dataType for x in want.schema]
+            assert [float(x) if x is not None else None for x in got.first()] == pytest.approx([float(x) if x is not None else None for x in want.first()])
+    uses = lambda df: "store-rollup" in df._jdf.queryExecution().executedPlan().toString()
+    assert uses(s.sum(start=0, end=99)) and not uses(s.sum(start=0, end=98)) and not uses(s.sum(F.col("k"), start=0, end=99)) and not uses(s.sum(where=F.col("k") > 1, start=0, end=99))
+    s.append(spark.createDataFrame([(1, 50, 1000.0, 10_000)], "k int, t long, v double, seq long"))
+    assert not uses(s.max(start=0, end=99)) and s.max(start=0, end=99).first()[0] == 1000 and uses(s.max(start=0, end=99))
+
+
+def test_a_store_is_bounded_by_itself(spark, monkeypatch):
+    """Many appends: few folders, a plan of one scan, counters as if nothing had been compacted."""
+    from eddyline import store as module
+    from eddyline.sources import scratch
+
+    monkeypatch.setattr(module, "COMPACT_APPENDS", 4)
+    where = scratch.root(spark)
+    before = set(scratch.listed(spark, where))
+    r = random.Random(6)
+    rows = [(r.randrange(4), r.randrange(5000), 1.0) for _ in range(300)]
+    o = {"capacity_per_partition": 20, "window_ticks": 400, "bucket_ticks": 100}
+    s, whole = ticked(spark, [], **o), ticked(spark, rows, **o)
+    for a in range(0, 300, 15):
+        s.append(spark.createDataFrame([(*x, a + i) for i, x in enumerate(rows[a : a + 15])], "k int, t long, v double, seq long"))
+    assert s.stats().first() == whole.stats().first()
+    assert s.snapshot().collect() == whole.snapshot().collect() and s.versions() == whole.versions()
+    assert len([n for n in set(scratch.listed(spark, where)) - before if n.startswith("store-")]) < 14
+    assert s._log._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    s.clear()
+    stats = s.stats().first()
+    assert (stats["append_count"], stats["buffered"]) == (300, 0) and stats["dropped_count"] == whole.stats().first()["dropped_count"]
+    assert s.statistics()["appended"] == s.statistics()["discarded"] == 0
+
+
+def test_views_are_counted_and_failing_callbacks_passed_over(spark):
+    s = ticked(spark, [(i, i, 1.0) for i in range(5)], on_stats=lambda _: 1 / 0)
+    assert s.appended == 5
+    s.views()
+    s.views(start=3, end=9)
+    assert s.stats().first()["snapshot_bytes_exposed"] == 8 * (5 + 2)
+
+
+def test_events_without_a_key(spark):
+    s = ticked(spark, [(None, 1, 1.0), (3, 2, 2.0), (None, 3, 3.0)])
+    assert sorted((str(r["part"]), float(r["v"])) for r in s.snapshot().collect()) == [("1", 2.0), ("None", 1.0), ("None", 3.0)]
+    assert s.stats().first()["append_count"] == 3
+    kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("key_id", T.IntegerType())])
+    named = EventStore(spark, kind, StoreOptions(partitions=4, key="key_id"))
+    assert named.append_named(spark.createDataFrame([("a", 0), (None, 1), ("b", 2)], "name string, seq long"), "name") == 3
+    assert sorted((r["name"] or "", r["key_id"]) for r in named.snapshot().collect()) == [("", None), ("a", 1), ("b", 2)]
+
+
+def test_purge_by_minutes_and_several_stores(spark):
+    from eddyline import schema
+    from eddyline.store import clear_all, purge_all
+
+    ticks = lambda m: schema.EPOCH_TICKS + int((at(m) - dt.datetime(1970, 1, 1)).total_seconds()) * schema.SECOND
+    a = store(spark, [(1, -120), (2, -30), (3, -10)])
+    b = ticked(spark, [(0, ticks(-120), 1.0), (0, ticks(-59), 2.0)])
+    now = NOW.replace(tzinfo=dt.UTC)
+    purge_all([a, b], now=now)
+    assert [int(r["amount"]) for r in a.snapshot().collect()] == [2, 3] and b.count_all() == 1
+    purge_all([a], minutes=15, now=now)
+    assert a.count_all() == 1
+    purge_all([a], older_than=at(0))
+    clear_all([a, b])
+    assert a.is_empty() and b.is_empty()
+    with pytest.raises(ValueError):
+        EventStore(spark, ORDER, StoreOptions(partitions=1)).purge_minutes()
+
+
+def test_gateways_own_counts_and_durations(spark):
+    from eddyline.operators import dashboard
+
+    orders = ingest.generated_orders(spark, 30, "g1").unionByName(ingest.generated_orders(spark, 12, "g2"))
+    assert dashboard.sent_by(orders, "g2").first()["sent"] == 12
+    rows, took = dashboard.timed(dashboard.by_gateway(orders, "gateway_id", "valor"))
+    assert {r["gateway_id"]: r["count"] for r in rows} == {"g1": 30, "g2": 12, "all": 42} and took > 0
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_retention_of_events_without_number_or_partition(spark, monkeypatch, large):
+    """The same with and without a cutoff; events without a number are the oldest."""
+    monkeypatch.setattr(prefix, "CHUNK", 10)
+    r = random.Random(4)
+    rows = [(r.choice([None, 0, 1]), None if i % 9 == 0 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "part int, seq long")
+    for capacity in (1, 30, 500):
+        want = []
+        for p in (None, 0, 1):
+            mine = sorted((s for q, s in rows if q == p), key=lambda s: -1 if s is None else s)
+            want += [(p, s) for s in mine[-capacity:]]
+        key = lambda x: tuple(-1 if v is None else v for v in x)
+        assert sorted(map(tuple, retention.retain(df, capacity, large=large).collect()), key=key) == sorted(want, key=key)
+    none = df.withColumn("seq", F.lit(None).cast("long"))
+    assert retention.retain(none, 3, large=large).count() == 9
+
+
+def test_partial_rows_have_the_schema_s_kinds(spark):
+    got = aggregate.chunked(spark.range(10), lambda t: {"n": t.num_rows, "s": 1, "most": None}, "n int, s double, most string", [F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("most").alias("most")])
+    assert got.schema["s"].dataType.simpleString() == "double" and got.first()["n"] == 10 and got.first()["most"] is None
