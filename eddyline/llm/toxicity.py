@@ -37,6 +37,7 @@ PREFIXES = (4, 5, 6)
 #: Words are runs of letters: ASCII letters and all bytes of other characters.
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
+_WORD = re.compile(r"[^\W\d_]+")
 #: Groups of terms that are swapped for one another, in English, German, French and Spanish.
 IDENTITIES = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -77,7 +78,7 @@ IDENTITIES = (
 
 
 class Swaps:
-    """Swaps mentions of identity terms, and puts some in."""
+    """Swaps mentions of identity terms, and says which to put in."""
 
     def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITIES):
         self.next: dict[str, str] = {}
@@ -85,32 +86,24 @@ class Swaps:
             for i, t in enumerate(g):
                 self.next.setdefault(t, g[(i + 1) % len(g)])
         self.terms = sorted(self.next)
-        letter = r"[^\W\d_]"
-        self.pattern = re.compile(rf"(?<!{letter})(?:" + "|".join(sorted(map(re.escape, self.terms), key=len, reverse=True)) + rf")(?!{letter})", re.I) if self.terms else None
+
+    def mentions(self, text: str) -> bool:
+        return not self.next.keys().isdisjoint(_WORD.findall(text.lower()))
 
     def _put(self, m: re.Match) -> str:
-        new = self.next.get(m[0].lower(), m[0])
+        new = self.next.get(m[0].lower())
+        if new is None:
+            return m[0]
         return new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize() if m[0][0].isupper() else new
 
     def swapped(self, text: str) -> str:
         """The text with every term replaced by the next of its group, in the same case of first letter."""
-        return self.pattern.sub(self._put, text) if self.pattern else text
-
-    def put_in(self, text: str) -> str:
-        """The text with a term before a word of it; a hash of the text says which and where."""
-        if not self.terms or not (starts := [m.start() for m in re.finditer(r"\S+", text)]):
-            return text
-        h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-        at = starts[h // len(self.terms) % len(starts)]
-        return f"{text[:at]}{self.terms[h % len(self.terms)]} {text[at:]}"
+        return _WORD.sub(self._put, text)
 
-    def versions(self, text: str | None) -> tuple[str | None, str | None]:
-        """(the text with a mention, that with the mention swapped); none where nothing can be swapped or put in."""
-        if not text:
-            return None, None
-        own = text if self.swapped(text) != text else self.put_in(text)
-        other = self.swapped(own)
-        return (own, other) if other != own else (None, None)
+    def to_put_in(self, text: str) -> tuple[str, str]:
+        """A term to put into a text, by a hash of it, and the term that this is swapped for."""
+        term = self.terms[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(self.terms)]
+        return term, self.next[term]
 
 
 def present(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,34 +257,51 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, features: int, swaps:
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(table)
+
+        def sets(array: pa.Array) -> list[np.ndarray]:
+            row, place = lookup.found(array)
+            return np.split(place.astype(np.int32), np.searchsorted(row, np.arange(1, len(array)))) if len(array) else []
+
+        # a term between words adds its own features to the text's
+        of = dict(zip(swaps.terms, map(set, map(np.ndarray.tolist, sets(pa.array(swaps.terms, pa.string())))), strict=True))
         for whole in batches:
             for part in text_hash.slices(whole.column(2)):
                 batch = whole.slice(*part)
-                texts = batch.column(2)
-                mention, other = zip(*map(swaps.versions, texts.to_pylist()), strict=True)
-                out = []
-                for x in (texts, pa.array(mention, pa.string()), pa.array(other, pa.string())):
-                    row, place = lookup.found(x)
-                    ends = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))))
-                put = pa.array([None if m is None else m != t for m, t in zip(mention, texts.to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out, put], names=["id", "y", "own", "mention", "other", "put"])
-
+                texts = batch.column(2).to_pylist()
+                found = [bool(t) and swaps.mentions(t) for t in texts]
+                others = iter(sets(pa.array([swaps.swapped(t) for t, m in zip(texts, found, strict=True) if m], pa.string())))
+                rows = []
+                for t, own, mention in zip(texts, sets(batch.column(2)), found, strict=True):
+                    have = set(own.tolist())
+                    if mention:
+                        other = set(next(others).tolist())
+                        rows.append((own, None, sorted(have - other), sorted(other - have)))
+                    elif t and swaps.terms and _WORD.search(t):
+                        first, second = (of[x] - have for x in swaps.to_put_in(t))
+                        rows.append((own, sorted(first), sorted(first - second), sorted(second - first)))
+                    else:
+                        rows.append((own, None, None, None))
+                lists = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "y", "own", "put", "lost", "won"])
+
+    # of each text its features; those of a mention that is put in; those that a swap loses and wins
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(indexed, f"id {kind}, y int, own array<int>, mention array<int>, other array<int>, put boolean").orderBy("id", "y", "own", "mention").toArrow()
-    listed = [made.column(c).to_pylist() for c in ("y", "own", "mention", "other", "put")]
-    y = listed[0] + [k for k, *_, put in zip(*listed, strict=True) if put]
-    learned = listed[1] + [mention for _, _, mention, _, put in zip(*listed, strict=True) if put]
+    lists = ", ".join(f"{c} array<int>" for c in ("own", "put", "lost", "won"))
+    made = rows.mapInArrow(indexed, f"id {kind}, y int, {lists}").orderBy("id", "y", "own").toArrow()
+    y, learned, pr, pc, pv, m = [], [], [], [], [], 0
+    for label, own, put, lost, won in zip(*[made.column(c).to_pylist() for c in ("y", "own", "put", "lost", "won")], strict=True):
+        y.append(label)
+        learned.append(own)
+        if put is not None:
+            y.append(label)
+            learned.append(own + put)
+        for minus, plus in (() if lost is None else ((lost, won),) if put is None else ((lost, won), ((), put))):
+            pr += [m] * (len(minus) + len(plus))
+            pc += [*minus, *plus]
+            pv += [1.0] * len(minus) + [-1.0] * len(plus)
+            m += 1
     r = np.repeat(np.arange(len(learned)), [len(x) for x in learned])
     c = np.fromiter((i for x in learned for i in x), np.int64, len(r))
-    pr, pc, pv, m = [], [], [], 0
-    for _, own, mention, other, put in zip(*listed, strict=True):
-        for a, b in () if put is None else ((mention, other), (own, mention)) if put else ((mention, other),):
-            for sign, these in ((1.0, set(a) - set(b)), (-1.0, set(b) - set(a))):
-                pr += [m] * len(these)
-                pc += sorted(these)
-                pv += [sign] * len(these)
-            m += 1
     w, bias = fitted(r, c, np.array(y, float), len(table), (np.array(pr, np.int64), np.array(pc, np.int64), np.array(pv), m))
     return Model(table, w, bias, m)
 

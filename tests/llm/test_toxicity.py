@@ -73,9 +73,15 @@ def test_swapping():
     swaps = toxicity.Swaps()
     assert swaps.swapped("Muslims and muslim, MUSLIM; muslimx") == "Christians and christian, CHRISTIAN; muslimx"
     assert swaps.swapped("Mädchen étrangers") == "Jungen migrants" and swaps.swapped("nothing") == "nothing"
-    own, other = swaps.versions("no such word here")
-    assert own.replace(next(t for t in own.split() if t in swaps.terms) + " ", "") == "no such word here" and other != own
-    assert swaps.versions("the women")[0] == "the women" and swaps.versions("") == swaps.versions(None) == swaps.versions(" ") == (None, None)
+    assert swaps.mentions("The Women, and") and not swaps.mentions("womenfolk and menage")
+    first, second = swaps.to_put_in("no such word here")
+    assert first in swaps.terms and swaps.next[first] == second and swaps.to_put_in("no such word here") == (first, second)
+
+
+def test_a_term_put_between_words_adds_its_features():
+    feats = lambda t: set(toxicity.present(pa.array([t]))[1].tolist())
+    for term in toxicity.Swaps().terms:
+        assert feats(f"so {term} it is") == feats("so it is") | feats(term)
 
 
 def test_the_penalty_acts_on_the_tables_at_hand(spark, monkeypatch):
