@@ -178,7 +178,8 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html", te
         for array in batches:
             yield pa.array([held.value.text(page.as_py()) for page in array], pa.string())
 
-    out = base.fresh(pages.withColumn("__html", F.col(html)), text, n_chars).withColumn(text, texts("__html")).drop("__html")
+    own = base.spare(pages, "__html")
+    out = base.fresh(pages.withColumn(own, F.col(html)), text, n_chars).withColumn(text, texts(own)).drop(own)
     return out.withColumn(n_chars, F.char_length(text).cast("long"))
 
 

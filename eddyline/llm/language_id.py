@@ -146,6 +146,10 @@ def identify(
     base.ship(pages.sparkSession)
     langs, logs = model
     pages = base.fresh(pages, *(o for o in OUTPUTS if o not in (text, html, url)))
+    aside = {c: base.spare(pages, f"aside{i}") for i, c in enumerate(pages.columns) if c.startswith("__") or c.endswith("_s")}
+    if aside:  # names that are used in here
+        out = identify(pages.withColumnsRenamed(aside), model, *(aside.get(c, c) for c in (text, html, url)))
+        return out.withColumnsRenamed({new: old for old, new in aside.items()})
     host = F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]+)", 1))
     coded = pages.withColumns({
         "declared": F.coalesce(_code(declared(F.col(html))), F.lit("none")),

@@ -228,7 +228,8 @@ def redact(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: fl
     """docs with every span replaced by its kind in angle brackets (of overlapping spans, all of them by the first's kind)."""
     found = spans(docs, ident, text, least).select("id", "own", "kind", "s", "e")
     lists = found.groupBy("id", "own").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("__spans"))
-    lists = base.written(lists.withColumnsRenamed({"id": "__id", "own": "__own"}), "pii-lists")
+    of, own, listed = (base.spare(docs, n) for n in ("__id", "__own", "__spans"))
+    lists = base.written(lists.withColumnsRenamed({"id": of, "own": own, "__spans": listed}), "pii-lists")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -237,9 +238,9 @@ def redact(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: fl
         until = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.element_at(names, x["kind"] + 1)))
         return F.struct(until.otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    joined = docs.join(lists, docs[ident].eqNullSafe(lists["__id"]) & (F.xxhash64(docs[text]) == lists["__own"]), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text))).drop("__id", "__own", "__spans")
+    clean = F.aggregate(listed, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    joined = docs.join(lists, docs[ident].eqNullSafe(lists[of]) & (F.xxhash64(docs[text]) == lists[own]), "left")
+    return joined.withColumn(text, F.when(F.col(listed).isNotNull(), clean).otherwise(F.col(text))).drop(of, own, listed)
 
 
 def _base_of(kind: int):

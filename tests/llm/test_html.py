@@ -205,4 +205,5 @@ def test_odd_rows(spark):
     assert by[4]["text"].count("\n") == 19_999 and by[None]["text"] == "T\nText here."
     clash = html_extract.extract(docs.withColumnsRenamed({"url": "text"})).columns
     assert clash == ["page_id", "html", "text", "n_chars"]
+    assert html_extract.extract(docs.withColumnRenamed("url", "__html")).columns == ["page_id", "__html", "html", "text", "n_chars"]
     assert html_extract.extract(docs.limit(0)).count() == 0

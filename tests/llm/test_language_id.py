@@ -70,8 +70,9 @@ def test_odd_rows(spark, model):
     pages = spark.createDataFrame([(1, "u", "", ""), (1, "u", "", ""), (None, None, None, None), (2, "http://x.de", "x" * 300_000, "<html lang='de'>")], PAGE)
     from pyspark.sql import functions as F
 
-    clash = pages.withColumns({"lang": F.lit(1), "confidence": F.lit("x"), "i": F.lit(3)})
+    clash = pages.withColumns({"lang": F.lit(1), "confidence": F.lit("x"), "i": F.lit(3), "__host": F.lit("h"), "__lp": F.lit("l"), "declared_s": F.lit("d")})
     got = language_id.identify(clash, model)
+    assert {(r["__host"], r["__lp"], r["declared_s"]) for r in got.collect()} == {("h", "l", "d")}
     assert got.count() == 4 and "i" in got.columns and got.filter("confidence BETWEEN 0 AND 1.000001").count() == 4
     assert language_id.identify(pages.limit(0), model).count() == 0
     none = language_id.text_model(H.empty(spark))

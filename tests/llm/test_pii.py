@@ -94,6 +94,8 @@ def test_odd_rows(spark):
     assert pii.spans(docs).count() == 0
     assert pii.spans(H.empty(spark)).count() == 0
     assert pii.redact(docs).count() == len(H.odd_rows())
+    clash = docs.withColumnsRenamed({"lang": "__own", "source": "__id", "own": "__spans"})
+    assert pii.redact(clash).columns == clash.columns
     two = spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (None, "x c@d.org")], "doc_id long, text string")
     assert sorted(r["m"] for r in pii.spans(two).collect()) == ["a@b.org", "c@d.org"]
     assert sorted(r["text"] for r in pii.redact(two).collect()) == ["<email>", "<email>", "x <email>"]
