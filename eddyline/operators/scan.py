@@ -62,6 +62,11 @@ def newest_of(df: DataFrame, part: int, most: int, seq: str = "seq") -> DataFram
     return df.filter(F.col("part") == part).orderBy(seq).limit(most)
 
 
+def window_chunks(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, ts: str | None = None, start=None, end=None, size: int = 4096) -> DataFrame:
+    """Runs a function over the events in a time range, in chunks; over all of them where no time column is named."""
+    return chunks(selected(df, None, ts, start, end) if ts else df, each, schema, size)
+
+
 def chunks(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, size: int = 4096) -> DataFrame:
     """Runs a function over the events in chunks of at most size rows, on the executors."""
 

@@ -154,23 +154,50 @@ def partition_views_time(spark, sf_dir):
 @query(f"WITH {_R} SELECT event_type, count(*) AS n, {_D} AS sum FROM r WHERE value > 20 GROUP BY event_type")
 def chunked_partials(spark, sf_dir):
     """Chunks of events reduced on the executors, then combined."""
+    kept = _kept(spark, sf_dir).filter("value > 20").select("event_type", "value")
+    parts = scan.chunks(kept, _cents_by_type, "event_type string, cents_sum long, cents_count long", 4096)
+    return parts.groupBy("event_type").agg(F.sum("cents_count").alias("n"), (F.sum("cents_sum") / 100).alias("sum"))
+
+
+def _cents_by_type(batch):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def reduce(batch: pa.RecordBatch):
-        cents = pc.cast(pc.round(pc.multiply(batch.column("value"), 100)), pa.int64())
-        table = pa.table({"event_type": batch.column("event_type"), "cents": cents})
-        by = table.group_by("event_type").aggregate([("cents", "sum"), ("cents", "count")])
-        yield from by.select(["event_type", "cents_sum", "cents_count"]).to_batches()
+    cents = pc.cast(pc.round(pc.multiply(batch.column("value"), 100)), pa.int64())
+    by = pa.table({"event_type": batch.column("event_type"), "cents": cents}).group_by("event_type").aggregate([("cents", "sum"), ("cents", "count")])
+    yield from by.select(["event_type", "cents_sum", "cents_count"]).to_batches()
 
-    kept = _kept(spark, sf_dir).filter("value > 20").select("event_type", "value")
-    parts = scan.chunks(kept, reduce, "event_type string, cents_sum long, cents_count long", 4096)
+
+@query(f"WITH {_R} SELECT event_type, count(*) AS n, {_D} AS sum FROM r WHERE {_IN} GROUP BY event_type")
+def chunked_partials_time(spark, sf_dir):
+    """Chunks of the events in a time range, reduced on the executors."""
+    bound = lambda t: F.lit(t.strftime("%Y-%m-%d")).cast("timestamp_ntz")
+    kept = _kept(spark, sf_dir).select("event_type", "value", "ts")
+    parts = scan.window_chunks(kept, _cents_by_type, "event_type string, cents_sum long, cents_count long", "ts", bound(START), bound(END))
     return parts.groupBy("event_type").agg(F.sum("cents_count").alias("n"), (F.sum("cents_sum") / 100).alias("sum"))
 
 
+@query(f"WITH {_R} SELECT event_id AS seq, user_id FROM r")
+def enumerated_snapshot(spark, sf_dir):
+    """A snapshot that the driver goes through event by event."""
+    store, events = _event_store(spark, sf_dir)
+    store.append(events)
+    return spark.createDataFrame([(r["seq"], r["user_id"]) for r in store.enumerate()], "seq long, user_id long")
+
+
 # aggregates
 
 
+@query(f"WITH {_R} SELECT count(*) AS n, sum(user_id)::BIGINT AS users, max(event_id) AS last FROM r")
+def chunked_fold(spark, sf_dir):
+    """A fold over chunks, one partial row each."""
+    import pyarrow.compute as pc
+
+    each = lambda t: {"n": t.num_rows, "users": pc.sum(t.column("user_id")).as_py(), "last": pc.max(t.column("event_id")).as_py()}
+    merge = [F.sum("n").alias("n"), F.sum("users").alias("users"), F.max("last").alias("last")]
+    return aggregate.chunked(_kept(spark, sf_dir).select("user_id", "event_id"), each, "n long, users long, last long", merge)
+
+
 @query(f"WITH {_R} SELECT count(*) AS n FROM r WHERE {_IN}")
 def count_time(spark, sf_dir):
     return aggregate.count(_between(_kept(spark, sf_dir)))
@@ -387,9 +414,99 @@ def append_by_key_nulls(spark, sf_dir):
     return ingest.encoded(log, ingest.dictionary(log, "event_type", "seq"), "event_type").groupBy("key_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT (event_id % 3)::INT AS batch, count(*) AS n FROM events GROUP BY batch")
+def store_batches(spark, sf_dir):
+    """Batches appended to a store one after another, each of which is counted."""
+    store, events = _event_store(spark, sf_dir)
+    return spark.createDataFrame([(k, store.append(events.filter(F.col("seq") % 3 == k))) for k in range(3)], "batch int, n long")
+
+
+@query(
+    "WITH k AS (SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id))::INT AS key_id FROM events GROUP BY event_type) SELECT key, key_id, (SELECT count(*) FROM k) AS keys FROM k"
+)
+def store_keys(spark, sf_dir):
+    """A store's dictionary: all its mappings, how many there are, and each looked up."""
+    log = _log(spark, sf_dir).select(F.col("event_type").alias("name"), "seq")
+    store = EventStore(spark, T.StructType([T.StructField("name", T.StringType()), T.StructField("key_id", T.IntegerType())]), StoreOptions(partitions=4, key="key_id"))
+    store.append_named(log, "name")
+    n = store.keys.count()
+    return spark.createDataFrame([(r["key"], store.key_id(r["key"]), n) for r in store.keys.collect()], "key string, key_id int, keys long")  # as few as event types
+
+
+@query("SELECT 'g1' AS gateway_id, 5000::BIGINT AS n, 5000::BIGINT AS ids, true AS in_range")
+def generated_orders_load(spark, sf_dir):
+    """Random orders of a gateway."""
+    made = ingest.generated_orders(spark, 5000, "g1")
+    return made.groupBy("gateway_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(F.col("valor").between(1, 4999)).alias("in_range"))
+
+
+@query("SELECT * FROM (VALUES ('a predicate needs no time', false), ('bounds need tracking', true), ('bounds need a time', true), ('a value is needed', true), ('a partition must exist', true), ('a snapshot key is a plain name', true), ('capacity is positive', true)) t(rule, raised)")
+def guards(spark, sf_dir):
+    """Which calls are turned away."""
+    kind = T.StructType([T.StructField("ts_ticks", T.LongType()), T.StructField("value", T.DoubleType())])
+    new = lambda **o: EventStore(spark, kind, StoreOptions(partitions=1, **o))
+    cases = {
+        "a predicate needs no time": lambda: new().count(F.col("value") > 1),
+        "bounds need tracking": lambda: new(ts="ts_ticks", value="value", window_tracking=False).sum(start=1),
+        "bounds need a time": lambda: new().snapshot(start=1),
+        "a value is needed": lambda: new(ts="ts_ticks").sum(),
+        "a partition must exist": lambda: ingest.to_partition(spark.range(1), 8, P),
+        "a snapshot key is a plain name": lambda: snapshots.checked_key("../x"),
+        "capacity is positive": lambda: StoreOptions(capacity_per_partition=0),
+    }
+
+    def raised(call) -> bool:
+        try:
+            call()
+        except (ValueError, RuntimeError, PermissionError):
+            return True
+        return False
+
+    return spark.createDataFrame([(rule, raised(call)) for rule, call in cases.items()], "rule string, raised boolean")
+
+
 # retention and state
 
 
+@query("SELECT count(*) AS appended, (SELECT sum(greatest(0, n - 1000))::BIGINT FROM (SELECT count(*) AS n FROM events GROUP BY user_id % 8)) AS discarded, count(*) / 4.0::DOUBLE AS rate, 8 AS partitions, 1000 AS capacity FROM events")
+def store_statistics(spark, sf_dir):
+    """Events appended and discarded, and the rate, four seconds after the last append."""
+    store, events = _event_store(spark, sf_dir)
+    store.append(events)
+    s = store.statistics()
+    s = store.statistics(now=s["last_append"] + 4)
+    row = (s["appended"], s["discarded"], s["appends_per_second"], store.options.partitions, store.options.per_partition)
+    return spark.createDataFrame([row], "appended long, discarded long, rate double, partitions int, capacity int")
+
+
+@query(
+    "WITH b AS (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS batch, user_id FROM events), n AS (SELECT batch, count(*) AS n, sum(count(*)) OVER (ORDER BY batch) AS upto FROM b GROUP BY batch), "
+    "p AS (SELECT batch, count(*) FILTER (WHERE had > 1000) > 0 AS full_, sum(greatest(0, least(had - 1000, n)))::BIGINT AS gone FROM (SELECT batch, user_id % 8 AS part, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id % 8 ORDER BY batch) AS had FROM b GROUP BY batch, part) GROUP BY batch) "
+    "SELECT (SELECT count(*) FILTER (WHERE upto // 300 > (upto - n) // 300) FROM n) AS stats_told, (SELECT count(*) FILTER (WHERE full_) FROM p) AS full_told, (SELECT sum(gone)::BIGINT FROM p) AS discarded"
+)
+def store_callbacks(spark, sf_dir):
+    """What a store tells of four appends: statistics at every 300 events passed, that it is full, what it pushed out."""
+    told = {"stats": 0, "full": 0, "gone": 0}
+    log = _log(spark, sf_dir)
+    last = log.agg(F.max("event_id")).first()[0] + 1
+    add = lambda what: lambda x=None: told.__setitem__(what, told[what] + (x.count() if what == "gone" else 1))
+    store, events = _event_store(spark, sf_dir, stats_interval=300, on_stats=add("stats"), on_full=add("full"), on_discarded=add("gone"))
+    for k in range(4):
+        store.append(events.filter(F.floor(F.col("seq") * 4 / last) == k))
+    return spark.createDataFrame([tuple(told.values())], "stats_told long, full_told long, discarded long")
+
+
+@query(f"WITH {_R} SELECT part, count(*) AS n, min(event_id) AS first FROM r WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 600 MINUTE GROUP BY part")
+def purged_by_minutes(spark, sf_dir):
+    """Two stores purged of what is older than so many minutes; the second of them."""
+    from eddyline.store import purge_all
+
+    (a, events), (b, _) = _event_store(spark, sf_dir), _event_store(spark, sf_dir)
+    b.append(events)
+    purge_all([a, b], minutes=600, now=NOW.replace(tzinfo=dt.UTC))
+    return b.events.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
 @query(f"WITH {_N} SELECT part, seq, event_id FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY seq DESC NULLS LAST) <= 1000")
 def snapshot_all_nulls(spark, sf_dir):
     return retention.retain(_null_log(spark, sf_dir), CAP).select("part", "seq", "event_id")
@@ -633,6 +750,31 @@ def binary_roundtrip(spark, sf_dir):
     return snapshots.read_packed(spark, path).select("part_key", "seq", "key_id", "value", "ts_ticks")
 
 
+@query(
+    "WITH n AS (SELECT (user_id % 8)::INT AS part, count(*) AS head, count(*) FILTER (WHERE event_id % 4 > 0) AS saved FROM events GROUP BY part) "
+    "SELECT part, 'p' || part AS key, saved AS saved_version, head AS head_version, head - saved AS deltas, least(1000, head) AS buffered, 2::BIGINT AS attempts, 1::BIGINT AS failures FROM n"
+)
+def snapshot_metrics(spark, sf_dir):
+    """Partitions after a save that worked at the second attempt, and a further append; only those are keys that have snapshots."""
+    store, events = _event_store(spark, sf_dir)
+
+    class Failing(snapshots.SnapshotStore):
+        failed = False
+
+        def _write(self, *args):
+            if not self.failed:
+                self.failed = True
+                raise OSError("the first attempt fails")
+            super()._write(*args)
+
+    target = Failing(spark, scratch.folder(spark, "snapshots"), sleep=lambda _: None)
+    store.append(events.filter("seq % 4 > 0"))
+    store.save(target, T0)
+    store.append(events.filter("seq % 4 = 0"))
+    keys = spark.createDataFrame([(k,) for k in target.keys()], "key string")
+    return store.snapshot_metrics(target).withColumn("key", F.concat(F.lit("p"), F.col("part").cast("string"))).join(keys, "key", "left_semi")
+
+
 # streams
 
 
