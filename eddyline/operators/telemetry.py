@@ -34,6 +34,15 @@ def partition_stats(log: DataFrame, capacity: int, seq: str = "seq") -> DataFram
     )
 
 
+def segments(log: DataFrame, capacity: int) -> DataFrame:
+    """Where a ring of capacity places holds each partition's newest events: how many from the oldest up to the ring's end,
+    how many from its beginning on, and whether they wrap around."""
+    n, start = F.least(F.lit(capacity), F.col("all")), F.greatest(F.lit(0), F.col("all") - capacity) % capacity
+    first = F.least(n, capacity - start)
+    by = log.groupBy("part").agg(F.count(F.lit(1)).alias("all"))
+    return by.select("part", start.cast("long").alias("start"), first.cast("long").alias("first"), (n - first).cast("long").alias("second"), (n > first).alias("wraps"))
+
+
 def fullness(retained: DataFrame, capacity: int) -> DataFrame:
     """count, is_empty (of all partitions) and is_full (of any)."""
     by = retained.groupBy("part").agg(F.count(F.lit(1)).alias("n"))

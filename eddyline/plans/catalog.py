@@ -144,11 +144,11 @@ def partition_views(spark, sf_dir):
 
 
 @query(
-    f"WITH {_R}, v AS (SELECT part, count(*) AS n FROM r WHERE {_IN} GROUP BY part) SELECT p::INT AS part, coalesce(n, 0) AS n FROM range(8) t(p) LEFT JOIN v ON v.part = p"
+    f"WITH {_R}, v AS (SELECT part, count(*) AS n FROM r WHERE {_IN} GROUP BY part) SELECT p::INT AS part, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN TIMESTAMP '2024-01-10' END AS first_ts, CASE WHEN n > 0 THEN TIMESTAMP '2024-01-20' END AS last_ts FROM range(8) t(p) LEFT JOIN v ON v.part = p"
 )
 def partition_views_time(spark, sf_dir):
     bound = lambda t: F.lit(t.strftime("%Y-%m-%d")).cast("timestamp_ntz")
-    return scan.views(_kept(spark, sf_dir), P, CAP, "ts", start=bound(START), end=bound(END)).select("part", "n")
+    return scan.views(_kept(spark, sf_dir), P, CAP, "ts", start=bound(START), end=bound(END))
 
 
 @query(f"WITH {_R} SELECT event_type, count(*) AS n, {_D} AS sum FROM r WHERE value > 20 GROUP BY event_type")
@@ -581,6 +581,15 @@ def partition_stats(spark, sf_dir):
     return telemetry.partition_stats(_log(spark, sf_dir), CAP)
 
 
+@query(
+    "WITH n AS (SELECT (user_id % 8)::INT AS part, count(*) AS n FROM events GROUP BY part), s AS (SELECT part, least(n, 1000) AS n, (greatest(0, n - 1000) % 1000)::BIGINT AS start FROM n) "
+    "SELECT part, start, least(n, 1000 - start)::BIGINT AS first, (n - least(n, 1000 - start))::BIGINT AS second, n > 1000 - start AS wraps FROM s"
+)
+def partition_segments(spark, sf_dir):
+    """Both segments of each partition's ring."""
+    return telemetry.segments(_log(spark, sf_dir), CAP)
+
+
 @query(f"WITH {_R}, n AS (SELECT part, count(*) AS n FROM r GROUP BY part) SELECT sum(n)::BIGINT AS count, sum(n) = 0 AS is_empty, max(n) >= 1000 AS is_full FROM n")
 def store_fullness(spark, sf_dir):
     return telemetry.fullness(_kept(spark, sf_dir), CAP)
