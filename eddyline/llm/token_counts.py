@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,23 +79,33 @@ def further(piece: str) -> list[str]:
     return [*out, piece[at:]]
 
 
+def _batches(pieces: list[str]) -> Iterator[list[str]]:
+    """Pieces in batches of BATCH_BYTES bytes at most, a larger one alone; in one if they are that few."""
+    if 4 * sum(map(len, pieces)) <= BATCH_BYTES:
+        if pieces:
+            yield pieces
+        return
+    batch, size = [], 0
+    for piece in pieces:
+        n = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+        if batch and size + n > BATCH_BYTES:
+            yield batch
+            batch, size = [], 0
+        batch.append(piece)
+        size += n
+    yield batch
+
+
 class Counter:
     """Counts tokens of texts with one tokenizer; remembers the counts of short pieces."""
 
     def __init__(self, data: bytes):
         self.encoder, self.may_cut, self.first, self.later = _encoder(data)
 
-    def _learn(self, pieces: set[str], lead: str, memo: dict) -> None:
-        batch, size = [], 0
-        for piece in [*pieces, None]:
-            n = 0 if piece is None else len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
-            if piece is None or (batch and size + n > BATCH_BYTES):
-                for p, e in zip(batch, self.encoder.encode_batch_fast([lead + p for p in batch], add_special_tokens=False), strict=True):
-                    memo[p] = len(e)
-                batch, size = [], 0
-            if piece is not None:
-                batch.append(piece)
-                size += n
+    def _learn(self, pieces: list[str], lead: str, memo: dict) -> None:
+        for batch in _batches(pieces):
+            found = self.encoder.encode_batch_fast([lead + p for p in batch] if lead else batch, add_special_tokens=False)
+            memo.update(zip(batch, map(len, found), strict=True))
 
     def _split(self, text: str) -> tuple[list[str], list[str]]:
         """What begins a text or goes on without a space, and what a space was before."""
@@ -113,13 +124,16 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         """All texts' counts. The texts of one call together should be of bounded size."""
         split = [self._split(t) if t else ([], []) for t in texts]
+        long = []
         for place, (lead, memo) in enumerate((("", self.first), (" ", self.later))):
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
-            self._learn({p for s in split for p in s[place]}.difference(memo), lead, memo)
+            fresh = list(set(chain.from_iterable(s[place] for s in split)).difference(memo))
+            self._learn(fresh, lead, memo)
+            long.append([p for p in fresh if len(p) > MEMO_LENGTH])
         out = [sum(map(self.first.__getitem__, bare)) + sum(map(self.later.__getitem__, later)) for bare, later in split]
-        for memo in (self.first, self.later):
-            for p in [p for p in memo if len(p) > MEMO_LENGTH]:
+        for memo, pieces in zip((self.first, self.later), long, strict=True):
+            for p in pieces:
                 del memo[p]
         return out
 
