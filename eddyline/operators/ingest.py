@@ -41,7 +41,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0)
 
 
 def dictionary(df: DataFrame, key: str, seq: str, known: DataFrame | None = None) -> DataFrame:
-    """(key, key_id): ids from 1 in order of first arrival, continuing the known ones.
+    """(key, key_id): ids from 1 in order of first arrival, continuing the known ones."""
+    fresh = fresh_keys(df, key, seq, known)
+    return fresh if known is None else known.select("key", "key_id").unionByName(fresh)
+
+
+def fresh_keys(df: DataFrame, key: str, seq: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, key_id) of the keys that are not known yet.
 
     First arrivals are found by an aggregate; only distinct keys are numbered, and not in one task.
     """
@@ -50,8 +56,7 @@ def dictionary(df: DataFrame, key: str, seq: str, known: DataFrame | None = None
     if known is not None:
         firsts = firsts.join(known.select("key"), "key", "left_anti")
         base = known.agg(F.coalesce(F.max("key_id"), F.lit(0))).first()[0]
-    fresh = numbered(firsts, ["first", "key"], "key_id", base + 1).select("key", F.col("key_id").cast("int"))
-    return fresh if known is None else known.select("key", "key_id").unionByName(fresh)
+    return numbered(firsts, ["first", "key"], "key_id", base + 1).select("key", F.col("key_id").cast("int"))
 
 
 def encoded(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

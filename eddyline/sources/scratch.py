@@ -31,10 +31,10 @@ def root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared place. It stays until its scope ends, or clear() is called."""
+def folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder's path in the shared place. It stays until its scope ends, a lasting one or one of no scope until clear() is called."""
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    inner = _SCOPE.get()
+    inner = None if lasting else _SCOPE.get()
     (inner.paths if inner else _made(spark)).append(path)
     return path
 
@@ -69,9 +69,9 @@ class Scope:
             delete(self.spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """The same rows from a table in the shared place: computed once, lineage cut, safe to reread."""
-    path = folder(df.sparkSession, name)
+    path = folder(df.sparkSession, name, lasting)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path

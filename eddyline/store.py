@@ -45,7 +45,7 @@ class EventStore:
         self._rollup: DataFrame | None = None
         self._asked = False
         self._last: float | None = None
-        self.keys = spark.createDataFrame([], "key string, key_id int")
+        self._key_paths: list[str] = []
 
     def _system(self, kind: T.StructType) -> list[T.StructField]:
         have = {f.name for f in kind.fields}
@@ -65,6 +65,14 @@ class EventStore:
         """Appends events and returns how many. They go to their key's partition (those without a key to one of their own), to part if that is
         given, or by a hash of the whole event. Without a seq column they are numbered by order
         (by all columns, without that)."""
+        path = scratch.folder(self.spark, "store", lasting=True)
+        with scratch.Scope(self.spark):
+            n = self._append(events, part, order, path)
+        if self._fresh_events > COMPACT_EVENTS * self.options.per_partition * self.options.partitions or len(self._fresh) >= COMPACT_APPENDS:
+            self.compact()
+        return n
+
+    def _append(self, events: DataFrame, part: int | None, order: list[str] | None, path: str) -> int:
         o = self.options
         if part is not None:
             routed = ingest.to_partition(events, part, o.partitions)
@@ -75,7 +83,7 @@ class EventStore:
         if o.seq not in routed.columns:
             routed = ingest.numbered(routed, order or self.kind.names, o.seq, self._appended)
         routed = routed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._full_kind.fields])
-        seen, path = Observation(), scratch.folder(self.spark, "store")
+        seen = Observation()
         routed.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         n = seen.get["n"]
         if n and (o.on_discarded or o.on_full):
@@ -91,8 +99,6 @@ class EventStore:
                 o.on_stats(self.stats().first().asDict())
             except Exception:
                 log.warning("on_stats failed", exc_info=True)
-        if self._fresh_events > COMPACT_EVENTS * o.per_partition * o.partitions or len(self._fresh) >= COMPACT_APPENDS:
-            self.compact()
         return n
 
     def _tell_discarded(self, everything: DataFrame) -> None:
@@ -109,10 +115,23 @@ class EventStore:
 
     def append_named(self, events: DataFrame, key: str, order: list[str] | None = None) -> int:
         """Appends events whose key is a text: it gets a number, kept in keys, that routes it."""
+        path = scratch.folder(self.spark, "store-keys", lasting=True)
+        with scratch.Scope(self.spark):
+            return self._append_named(events, key, order, path)
+
+    @property
+    def keys(self) -> DataFrame:
+        """key and key_id of all names that were appended by."""
+        kind = "key string, key_id int"
+        return self.spark.read.schema(kind).parquet(*self._key_paths) if self._key_paths else self.spark.createDataFrame([], kind)
+
+    def _append_named(self, events: DataFrame, key: str, order: list[str] | None, path: str) -> int:
         seq = self.options.seq
         if seq not in events.columns:
             events = ingest.numbered(events, order or [c for c in events.columns], seq, self._appended)
-        self.keys = ingest.dictionary(events, key, seq, self.keys)
+        whole = len(self._key_paths) >= COMPACT_APPENDS
+        (ingest.dictionary if whole else ingest.fresh_keys)(events, key, seq, self.keys).write.parquet(path)
+        self._key_paths = [path] if whole else [*self._key_paths, path]
         coded = ingest.encoded(events, self.keys, key)
         return self.append(ingest.by_key(coded, "key_id", self.options.partitions)) if self.options.key == "key_id" else self.append(coded)
 
@@ -187,7 +206,7 @@ class EventStore:
                 self._clocks[r["part"]] = max(r["clock"], self._clocks.get(r["part"], r["clock"]))
         path = None
         if events is not None:
-            path = scratch.folder(self.spark, "store")
+            path = scratch.folder(self.spark, "store", lasting=True)
             events.write.parquet(path)
             for r in self._read([path]).groupBy("part").agg(n).collect():
                 self._gone[r["part"]] = self._gone.get(r["part"], 0) - r["n"]
@@ -252,7 +271,7 @@ class EventStore:
             v = F.col(o.value)
             by = self.events.groupBy(window.align_down(F.col(o.ts), o.width).alias("bucket"))
             made = by.agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
-            self._rollup = scratch.written(made, "store-rollup")
+            self._rollup = scratch.written(made, "store-rollup", lasting=True)
         return self._rollup.filter(F.col("bucket").between(start, end))
 
     def count(self, where: Column | None = None, start=None, end=None) -> DataFrame:
@@ -344,7 +363,7 @@ class EventStore:
         self._goes_on_from(None)
         self._stats, self._last, self._dropped_before = 0, None, self._dropped
         if keys:
-            self.keys = self.spark.createDataFrame([], self.keys.schema)
+            self._key_paths = []
 
     reset = clear
 
