@@ -135,7 +135,8 @@ def mix(
     )
     line = base.written(line, "mix-line")
     lined = plan.join(line, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls")
-    placed = (keyed if carry else slim).join(base.sized(lined, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
+    in_plan = lambda rows: rows.join(base.sized(lined, SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s")
+    placed = in_plan(keyed if carry else slim)
     # without a line the rest is nothing (target = epochs), or rounding left it at the source's size
     whole = F.when(F.col("line").isNull(), F.col("rest") > 0).otherwise(F.col("bucket") < F.col("line"))
     on_line = F.coalesce(F.col("bucket") == F.col("line"), F.lit(False))
@@ -144,6 +145,14 @@ def mix(
     away = placed.filter(~on_line).select(*out, taken(F.when(whole, F.col("size")).otherwise(0)))
     order = Window.partitionBy("source").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    if carry:  # what the rows on a line give is known without their texts, which are then read once
+        few = in_plan(slim).filter(on_line).withColumn("left", left)
+        few = few.select(F.col("id").alias("lid"), F.col("source").alias("ls"), F.col("key").alias("lkey"), F.col("size").alias("lsize"), taken(F.greatest(F.lit(0), F.least("left", "size"))).alias("ltaken"))
+        few = base.written(few, "mix-on-line")
+        if few.groupBy("lid", "ls", "lkey", "lsize").count().filter("count > 1").isEmpty():  # equal rows are told apart by their order alone
+            same = F.col("id").eqNullSafe(F.col("lid")) & F.col("source").eqNullSafe(F.col("ls")) & (F.col("key") == F.col("lkey")) & (F.col("size") == F.col("lsize"))
+            plain = taken(F.when(whole, F.col("size")).otherwise(0))
+            return placed.join(base.sized(few), same, "left").select(*out, F.coalesce("ltaken", plain).alias("taken"))
     # written first: then the join may split a large source, which the window above it would forbid
     there = base.written(placed.filter(on_line), "mix-on-line").withColumn("left", left).select(*out, taken(F.greatest(F.lit(0), F.least("left", "size"))))
     return away.unionByName(there)
