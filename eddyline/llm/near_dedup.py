@@ -43,8 +43,10 @@ MISSED = 1e-5
 _A = np.random.default_rng(5).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(6).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BLOCK = 1024
-#: Shingles of a block of set members that are compared with another in one task.
+#: Shingles of a block of set members that are compared with another in one task, at most.
 BLOCK_SHINGLES = 500_000
+#: Blocks that a bucket's members are dealt into at least, if that leaves each so many; and members of a block at most.
+SPREAD, FEW, MANY = 16, 256, 4096
 
 
 def bands_for(threshold: float) -> int:
@@ -148,14 +150,18 @@ def _blocks(members: DataFrame) -> DataFrame:
     """members: key, label, n and more; buckets that hold several labels. Adds g, a pair of blocks, and side.
 
     A bucket's most frequent label is held apart: its own members need no comparison. The others
-    and it are dealt into blocks of about BLOCK_SHINGLES shingles, at least one each; each pair of a block of others with any block
+    and it are dealt into blocks, at least one each; each pair of a block of others with any block
     is a g. Pairs are due across sides, and within side 0 of g's that end in d0.
     """
     by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    tops = by_label.groupBy("key").agg(F.max(F.struct("c", "label", "n")).alias("top"), F.sum("n").alias("all"))
-    count = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+    tops = by_label.groupBy("key").agg(F.max(F.struct("c", "label", "n")).alias("top"), F.sum("n").alias("all"), F.sum("c").alias("members"))
+    up = lambda x: F.ceil(x).cast("int")
+    count = lambda c, n: F.greatest(up(n / BLOCK_SHINGLES), F.least(up(c / FEW), F.greatest(F.lit(SPREAD), up(c / MANY))))
     tops = base.written(
-        tops.select("key", F.col("top.label").alias("top"), count(F.col("top.n")).alias("nd"), count(F.col("all") - F.col("top.n")).alias("no")), "near-tops"
+        tops.select(
+            "key", F.col("top.label").alias("top"), count(F.col("top.c"), F.col("top.n")).alias("nd"), count(F.col("members") - F.col("top.c"), F.col("all") - F.col("top.n")).alias("no")
+        ),
+        "near-tops",
     )
     dealt = members.join(tops, "key").withColumn("other", F.col("label") != F.col("top"))
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("no")).otherwise(F.col("nd"))).cast("int"))

@@ -22,9 +22,11 @@ def test_documents(spark, size, percent):
     assert _found(spark.read.parquet(f"{H.TINY}/documents.parquet"), size, percent) == H.grouped(texts, size, percent)
 
 
-def test_cloud_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [{"BLOCK_SHINGLES": 800}, {"FEW": 8, "SPREAD": 3, "MANY": 20}])
+def test_cloud_of_near_copies(spark, monkeypatch, blocks):
     """A hundred variants around the threshold, in small blocks, so that every part of the second round is used."""
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 800)
+    for name, n in blocks.items():
+        monkeypatch.setattr(near_dedup, name, n)
     r = random.Random(8)
     words = [f"w{i}" for i in range(90)]
     rows = []
