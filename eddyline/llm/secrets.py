@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -54,8 +54,10 @@ QUOTED = re.compile(r"""(\\?["'`])((?:(?!\1)(?:[^\\\r\n]|\\[^\r\n]))*)\1""")
 _NEXT = re.compile(r"[;&,|?](?=[\w.-]{1,40}=)|</")
 _SPACED = re.compile(r"\S+")
 _HOSTED = re.compile(r"@(?=[A-Za-z0-9\[])")
-#: At least what candidates() finds, for the built-in pattern.
-PREFILTER = rf"{_KEY}{{16}}|(?i:{_NAMING})[^=:\r\n]{{0,{NAME + 8}}}[=:]|:[^\s/]{{{LEAST},{USERINFO}}}@"
+#: At least what candidates() finds, for built-in patterns: runs, named values, passwords before a host.
+_RUN = rf"(?<!{_KEY}){_KEY}{{16}}"
+_VALUE = rf"(?i:{_NAMING})[^=:\r\n]{{0,{NAME + 8}}}[=:]"
+_HOST = rf":[^\s/]{{{LEAST},{USERINFO}}}@"
 _PASSWORD = ("pass", "pwd", "secret", "cred", "kennwort", "contrase")
 _POSITIVE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "credential", "bearer", "access", "private")
 _NEGATIVE = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "integrity", "example", "revision", "http", "etag", "version", "public", "fingerprint")
@@ -372,6 +374,15 @@ def composed_findings(words: list[str], n: int = 5000, seed: int = 9) -> list[tu
     return out
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text may have candidates. Plain searches turn most texts away before the slower pattern."""
+    low = F.lower(text)
+    named = F.lit(False)
+    for word in _NAMING.split("|"):
+        named = named | low.contains(word)
+    return text.rlike(_RUN) | (text.contains("@") & text.rlike(_HOST)) | (named & text.rlike(_VALUE))
+
+
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
     """The size most frequent words of four letters or more, over all documents."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")).alias("w"))
@@ -388,7 +399,7 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, ident: str = "doc_
     base.ship(spark)
     held = spark.sparkContext.broadcast(forest)
     kind = docs.schema[ident].dataType
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path")).filter(F.col("text").rlike(PREFILTER))
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path")).filter(may_hold(F.col("text")))
     schema = pa.schema([("id", to_arrow_type(kind)), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string()), ("score", pa.float64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
