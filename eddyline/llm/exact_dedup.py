@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,15 @@ def _first(*more: str) -> Column:
     return F.min(F.struct("batch", F.col("id").isNull().alias("missing"), "id", *more))
 
 
+def _file(docs: DataFrame) -> Column:
+    """The file that a row is from; empty where docs are of several tables, for which Spark can't tell."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return F.lit("")
+    return F.input_file_name()
+
+
 class Inbox:
     """A state_dir: slim rows by batch, the stream's state, and what it put out for each batch."""
 
@@ -158,7 +168,7 @@ def assign(
     for n in inbox.unfinished():
         inbox.finish(n)
     content = normalised(F.col(text))
-    inbox.put(name, lambda place: docs.select(digest(content).alias("digest"), F.lit(place).alias("batch"), F.col(ident).alias("id"), F.input_file_name().alias("file")))
+    inbox.put(name, lambda place: docs.select(digest(content).alias("digest"), F.lit(place).alias("batch"), F.col(ident).alias("id"), _file(docs).alias("file")))
     rows, place = inbox.rows(name), inbox.places()[name]
     contents = docs.select(F.col(ident).alias("id"), content.alias("content"))
     if state_dir and not rows.filter("file = ''").isEmpty():

@@ -89,6 +89,20 @@ def test_digests_that_collide_across_batches(spark, tmp_path):
             seen[t] = (keep, n + len(ids))
 
 
+def test_documents_of_several_tables(spark, tmp_path):
+    """Rows of two tables, as a union and as a join, over two batches."""
+    a, b = [(1, "x"), (2, "y")], [(3, "x"), (4, "z z")]
+    for name, rows in (("a", a), ("b", b)):
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{name}")
+    one, two = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    assert _found(exact_dedup.assign(one.union(two))) == _plain(a + b)
+    where = base.shared_path(spark, "exact-test")
+    joined = one.join(two.select(F.col("doc_id").alias("other")), F.col("doc_id") + 2 == F.col("other")).select("doc_id", "text")
+    assert _found(exact_dedup.assign(joined, state_dir=where)) == _plain(a)
+    got = {x["doc_id"]: (x["keep_id"], x["kept"]) for x in exact_dedup.assign(two, state_dir=where).collect()}
+    assert got == {3: (1, False), 4: (4, True)}
+
+
 def test_odd_rows(spark):
     docs = H.odd(spark, keep_id=1, kept=True, digest="x", id=7, n=3, text_sha256="y")
     got = exact_dedup.assign(docs).collect()
