@@ -46,7 +46,7 @@ _BLOCK = 1024
 #: Shingles of a block of set members that are compared with another in one task, at most.
 BLOCK_SHINGLES = 500_000
 #: Blocks that a bucket's members are dealt into at least, if that leaves each so many; and members of a block at most.
-SPREAD, FEW, MANY = 16, 256, 4096
+SPREAD, FEW, MANY = 4, 256, 4096
 
 
 def bands_for(threshold: float) -> int:
