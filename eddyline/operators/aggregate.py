@@ -62,15 +62,16 @@ def window_aggregate(df: DataFrame, value: Column, exact: bool = False) -> DataF
     return df.agg(*five(value, exact))
 
 
-def merged(partials: DataFrame) -> DataFrame:
-    """Partial aggregates (count, sum, min, max) as one; empty partials have no say in the extremes."""
+def merged(partials: DataFrame, zeros: bool = True) -> DataFrame:
+    """Partial aggregates (count, sum, min, max) as one; empty partials have no say in the extremes. Without any partials all is 0, or null if not zeros."""
     full = F.col("count") > 0
     n, s = F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return partials.agg(
-        n.alias("count"), s.alias("sum"), zero(F.min(F.when(full, F.col("min")))).alias("min"),
-        zero(F.max(F.when(full, F.col("max")))).alias("max"), zero(F.when(n > 0, s / n)).alias("avg"),
-    )
+    out = {
+        "count": n, "sum": s, "min": zero(F.min(F.when(full, F.col("min")))),
+        "max": zero(F.max(F.when(full, F.col("max")))), "avg": zero(F.when(n > 0, s / n)),
+    }
+    return partials.agg(*[(c if zeros else F.when(F.count(F.lit(1)) > 0, c)).alias(name) for name, c in out.items()])
 
 
 def fold(df: DataFrame, columns: list[str], seed: Column, step: Callable[[Column, Column], Column], seq: str = "seq", by: list[str] | None = None) -> DataFrame:

@@ -184,6 +184,13 @@ def test_merge_of_partials(spark):
     assert tuple(aggregate.merged(parts.limit(0)).first()) == (0, 0, 0, 0, 0)
 
 
+def test_merge_of_no_partials_as_null(spark):
+    parts = spark.createDataFrame([(2, 30.0, 10.0, 20.0), (0, 0.0, 0.0, 0.0)], "count long, sum double, min double, max double")
+    assert tuple(aggregate.merged(parts, zeros=False).first()) == (2, 30, 10, 20, 15)
+    assert tuple(aggregate.merged(parts.filter("count = 0"), zeros=False).first()) == (0, 0, 0, 0, 0)
+    assert tuple(aggregate.merged(parts.limit(0), zeros=False).first()) == (None,) * 5
+
+
 def test_chunks(spark):
     import pyarrow as pa
 
